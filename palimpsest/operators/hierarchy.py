@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.dates import strip
-from palimpsest.plans.session import cut, table
+from palimpsest.plans.session import cut, discard, table
 
 
 def latest_links(lifecycle: DataFrame) -> DataFrame:
@@ -59,13 +59,14 @@ def pointer_jump(links: DataFrame, sizes: bool) -> tuple[DataFrame, DataFrame]:
             below = state.where("top is null").groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("more"))
             new = new.join(below, "id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
         new = cut(new)
+        discard(state)
         still = new.where("top is null").count()
         steps *= 2
         # Nothing closed: all that is open is cyclic. Its pointers go on until they are past any way into a cycle.
         if still == left and steps >= still:
             return new.where("top is not null").select("id", "top", "dist", "size"), new.where("top is null").select("id", "ptr")
         if still == left:
-            sizes, state = False, cut(new.where("top is null"))
+            state = cut(new.where("top is null").select("id", "ptr"))
             closed = new.where("top is not null").select("id", "top", "dist", "size")
             return closed, _jump_on(state, steps, still)
         state, left = new, still
@@ -73,9 +74,9 @@ def pointer_jump(links: DataFrame, sizes: bool) -> tuple[DataFrame, DataFrame]:
 
 
 def _jump_on(state: DataFrame, steps: int, nodes: int) -> DataFrame:
-    state = state.select("id", "ptr")
     while steps < nodes:
-        state = cut(state.join(state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2")), "ptr").select("id", F.col("ptr2").alias("ptr")))
+        before, state = state, cut(state.join(state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2")), "ptr").select("id", F.col("ptr2").alias("ptr")))
+        discard(before)
         steps *= 2
     return state
 
@@ -114,9 +115,10 @@ def heavy_paths(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     while not chains.where("ptr is not null").isEmpty():
         up = chains.select(F.col("chain_id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("segments").alias("before"))
-        chains = cut(
+        before, chains = chains, cut(
             chains.join(up, "ptr", "left").select("chain_id", F.col("ptr2").alias("ptr"), F.concat(F.coalesce("before", none), "segments").alias("segments"))
         )
+        discard(before)
     return nodes.select("id", "chain_id", "chain_pos", "size"), chains.select("chain_id", "segments"), cyclic
 
 

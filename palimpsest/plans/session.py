@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -12,18 +15,38 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared ``spark.checkpoint.dir``; only where none is set (tests, local runs) use a fresh local one."""
-    sc = spark.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+@cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-cut-", dir="/tmp")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; only where none is set (tests, local runs) an own one."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_folder()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the files.
+    """Write ``df`` as a table in the shared folder and continue from there.
 
-    Used between rounds of iterative operators: a lost executor then costs one re-read, not a replay of all rounds.
+    Used between rounds of iterative operators, and for small results that are needed twice: a lost executor then
+    costs one re-read, not a replay, and the plan starts anew.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._cut_path = path
+    return kept
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and nothing reads any more."""
+    for df in cuts:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most_rows`` (narrow) rows; beyond that the join shuffles."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
