@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import eval_leaks, lookalikes, mixture, pieces, shared_spans
+from palimpsest.llm import eval_leaks, lookalikes, mixture, pieces, scan_noise, shared_spans
 
 QUERIES = {
     "p2_found": pieces.found,
     "p2_pieces": pieces.labelled_pieces,
     "p4_found": lookalikes.found,
     "p4_forms": lookalikes.forms,
+    "p5_found": scan_noise.found,
+    "p5_paragraphs": scan_noise.repaired,
     "p6_found": eval_leaks.found,
     "p6_items": eval_leaks.leaked_items,
     "p6_clean": eval_leaks.clean_documents,

@@ -28,6 +28,7 @@ from palimpsest.plans.session import cut, small, table
 LATIN_CONFUSIONS = [
     ("e", "c"), ("t", "f"), ("o", "0"), ("s", "5"), ("i", "!"), ("l", "1"), ("i", "1"), ("g", "9"), ("b", "6"), ("b", "8"), ("z", "2"),
     ("d", "cl"), ("n", "ri"), ("u", "ii"), ("m", "rn"), ("w", "vv"), ("h", "li"), ("q", "g"), ("c", "e"), ("f", "t"), ("m", "nn"), ("k", "lc"),
+    ("cl", "d"), ("ri", "n"), ("ii", "u"), ("rn", "m"), ("vv", "w"), ("li", "h"),
 ]
 # The same for Han script, right before wrong.
 HAN_CONFUSIONS = (
@@ -56,7 +57,7 @@ def _solid(line: Column) -> Column:
 
 
 def page_lines(blocks: DataFrame) -> DataFrame:
-    """Lines of scanned blocks: document_id, page, ordinal, block_id, furniture, line_no, line, next_line, next_block.
+    """Lines of scanned blocks: document_id, page, ordinal, block_id, kind, furniture, line_no, line, next_line, next_block.
 
     ``furniture`` is running_line, page_number or null; such blocks have one row and no next line. Blocks without page
     or text are no scanned text; blocks delivered twice count once. Blocks without document are each a page of their own.
@@ -71,27 +72,30 @@ def page_lines(blocks: DataFrame) -> DataFrame:
     whole = Window.partitionBy(*page)
     down = whole.orderBy("ordinal", "block_id")
     seen = once.withColumn("lines", F.filter(lines, lambda x: x != "")).where(F.size("lines") > 0)
-    wide = F.array_max(F.transform("lines", lambda x: F.length(_solid(x))))
+    # Han characters are twice as wide as letters; gaps between the parts of a line don't count.
+    wide = F.array_max(F.transform("lines", lambda x: F.length(F.regexp_replace(_solid(x), r"[\x{2e80}-\x{ffef}]", "xx")) - F.length(F.regexp_extract(x, r"(\s{2,})", 1))))
     seen = seen.withColumn("wide", wide).withColumn("widest", F.max("wide").over(whole)).withColumn("from_top", F.row_number().over(down))
     seen = seen.withColumn("from_bottom", F.count("*").over(whole) - F.col("from_top") + 1)
     number = (F.size("lines") == 1) & _solid(F.get("lines", F.lit(0))).rlike(_NUMBER) & ~F.col("kind").eqNullSafe("table_row")
-    seen = seen.withColumn("number", number).withColumn("number_above", F.coalesce(F.lag("number").over(down), F.lit(False)))
+    bare = F.get("lines", F.lit(0)).rlike(r"^\s*\w*\d\w*\s*$")
+    seen = seen.withColumn("number", number).withColumn("in_column", bare & F.coalesce(F.lag("number").over(down), F.lit(False)))
 
     last = F.element_at("lines", -1)
     margin = F.when(F.col("y") < TOP_MARGIN, "top").when(F.col("y") >= BOTTOM_MARGIN, "bottom").when(F.col("y").isNotNull(), "body")
     edge = F.when(F.col("from_top") == 1, "top").when(F.col("from_bottom") <= 2, "bottom")
-    open_short = (F.size("lines") == 1) & (F.col("wide") < SHORT_LINE * F.col("widest")) & ~last.rlike(r"[。；，、：.,;:!?！？]\s*$")
+    open_short = (F.size("lines") == 1) & (F.col("wide") < SHORT_LINE * F.col("widest")) & ~last.rlike(r"[。；，、：.,;:!?！？]\s*$|^第.{1,4}条|^Article ")
+    open_short = open_short | (F.size("lines") == 1) & last.rlike(r"^\d+\s{2,}\S|\S\s{2,}\d+$")
     in_text = F.col("kind").isin("heading", "table_row")
     furniture = (
         F.when(in_text, None)
-        .when(F.col("number") & (F.col("from_bottom") == 1) & ((margin == "bottom") | (margin.isNull() & ~F.col("number_above"))), "page_number")
+        .when(F.col("number") & (F.col("from_bottom") == 1) & ((margin == "bottom") | (margin.isNull() & ~F.col("in_column"))), "page_number")
         .when(F.col("number") & (margin == "top"), "page_number")
         .when(F.col("number"), None)
         .when((margin == "top") & (F.col("from_top") <= 2) | (margin == "bottom") & (F.col("from_bottom") <= 2), "running_line")
         .when(margin.isNull() & edge.isNotNull() & open_short & ~last.rlike(_CUT), "running_line")
     )
     marked = seen.withColumn("furniture", furniture)
-    rows = marked.select(*page, "ordinal", "block_id", "furniture", F.posexplode(F.when(F.col("furniture").isNull(), F.col("lines")).otherwise(F.array(F.array_join("lines", " ")))).alias("line_no", "line"))
+    rows = marked.select(*page, "ordinal", "block_id", "kind", "furniture", F.posexplode(F.when(F.col("furniture").isNull(), F.col("lines")).otherwise(F.array(F.array_join("lines", " ")))).alias("line_no", "line"))
     text_down = Window.partitionBy(*page, F.col("furniture").isNull()).orderBy("ordinal", "block_id", "line_no")
     rows = cut(
         rows.withColumn("next_line", F.when(F.col("furniture").isNull(), F.lead("line").over(text_down))).withColumn("next_block", F.when(F.col("furniture").isNull(), F.lead("block_id").over(text_down)))
@@ -99,7 +103,7 @@ def page_lines(blocks: DataFrame) -> DataFrame:
     # The last line of text of a page goes on in the first of the next page.
     first = rows.where("furniture is null").groupBy("document_id", (F.col("page") - 1).alias("page")).agg(F.min(F.struct("ordinal", "block_id", "line_no", "line")).alias("first"))
     over = rows.where("furniture is null and next_line is null").join(first, page, "left").select(
-        *page, "ordinal", "block_id", "furniture", "line_no", "line", F.col("first.line").alias("next_line"), F.col("first.block_id").alias("next_block")
+        *page, "ordinal", "block_id", "kind", "furniture", "line_no", "line", F.col("first.line").alias("next_line"), F.col("first.block_id").alias("next_block")
     )
     return rows.where("furniture is not null or next_line is not null").unionByName(over)
 
@@ -156,8 +160,8 @@ def corrections(words: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def _plain(line: Column) -> Column:
-    """A line for windows of Han script: put together, numbers as one sign."""
-    return F.regexp_replace(_solid(line), r"\d+", "#")
+    """A line for windows of Han script: put together, all digits as one sign."""
+    return F.regexp_replace(_solid(line), r"\d", "#")
 
 
 def misread_latin(lines: DataFrame, candidates: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -165,8 +169,10 @@ def misread_latin(lines: DataFrame, candidates: DataFrame, blocks: DataFrame) ->
     words = cut(blocks.where("text is not null").select(F.explode(_tokens(F.lower("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
     line = F.regexp_replace(_solid(F.col("line")), rf"({_TOKEN})[{_MARKS}]\s*$", "")
     single = lines.where("furniture is null").select("block_id", F.explode(_tokens(line)).alias("token"))
-    # A token is counted once per block; a cut word stands with both its parts.
+    # A token is taken once per block; a cut word stands with both its parts, not as the tail in its next line.
     single = single.select("block_id", F.lit(None).cast("string").alias("next_block"), F.lower("token").alias("word"), F.length("token").alias("head"))
+    tails = candidates.select(F.col("next_block").alias("block_id"), F.lower("tail").alias("word"))
+    single = single.join(small(tails), ["block_id", "word"], "left_anti").select("block_id", "next_block", "word", "head")
     cut_words = candidates.select("block_id", F.when(F.col("next_block") != F.col("block_id"), F.col("next_block")).alias("next_block"), F.lower(F.concat("head", "tail")).alias("word"), F.length("head").alias("head"))
     used = single.where(F.length("word") >= 3).unionByName(cut_words).distinct()
     asked = used.select("word").distinct()
@@ -222,6 +228,53 @@ def noise(blocks: DataFrame) -> DataFrame:
     )
 
 
+def paragraphs(blocks: DataFrame) -> DataFrame:
+    """(document_id, page, paragraph, text): the continuous paragraphs of scanned documents, repaired.
+
+    Edge lines are gone, cut words joined, letters set apart put together, misread characters corrected where a frequent
+    variant is known. A paragraph begins with a heading, table row or article label, belongs to the page where it begins,
+    and goes on over page ends. ``paragraph`` counts from 1 on its page; text before the first beginning is 0.
+    """
+    lines = cut(page_lines(blocks))
+    candidates = cut(hyphen_evidence(broken_words(lines), blocks))
+    latin = misread_latin(lines, candidates, blocks).where("variant is not null").groupBy("block_id").agg(F.collect_set(F.struct("word", "variant")).alias("words"))
+    han = misread_han(lines, blocks).groupBy("block_id", "line_no").agg(F.collect_set(F.struct("at", "right")).alias("chars"))
+    joined = candidates.groupBy("block_id", "line_no").agg(F.max("spelled").alias("spelled"))
+    text = lines.where("furniture is null").join(latin, "block_id", "left").join(han, ["block_id", "line_no"], "left").join(joined, ["block_id", "line_no"], "left")
+
+    word = lambda w: F.concat(F.lit(r"(?<![A-Za-z0-9])"), w, F.lit(r"(?![A-Za-z0-9])"))
+    right = F.aggregate(F.coalesce("chars", F.array().cast("array<struct<at:int,right:string>>")), _solid(F.col("line")), lambda acc, x: F.overlay(acc, x["right"], x["at"], F.lit(1)))
+    fixed = F.aggregate(
+        F.coalesce("words", F.array().cast("array<struct<word:string,variant:string>>")), right,
+        lambda acc, x: F.regexp_replace(F.regexp_replace(acc, word(x["word"]), x["variant"]), word(F.initcap(x["word"])), F.initcap(x["variant"])),
+    )
+    ends_wide = F.col("line").rlike(r"[\x{2e80}-\x{ffef}]$")
+    piece = F.when(F.col("spelled").isNull(), F.concat(fixed, F.when(ends_wide, "").otherwise(" "))).when(F.col("spelled"), fixed).otherwise(F.regexp_replace(fixed, rf"[{_MARKS}]\s*$", ""))
+    begins = F.col("kind").isin("heading", "table_row") & (F.col("line_no") == 0) | F.col("line").rlike(r"^第.{1,6}条|^Article \w+")
+    down = Window.partitionBy("document_id", "page").orderBy("ordinal", "block_id", "line_no")
+    placed = cut(text.select("document_id", "page", "ordinal", "block_id", "line_no", piece.alias("piece"), F.sum(begins.cast("int")).over(down.rowsBetween(Window.unboundedPreceding, 0)).alias("paragraph")))
+
+    # What stands before a page's first beginning goes on from the page before, or from further back if nothing begins there.
+    ends = placed.groupBy("document_id", "page").agg(F.max("paragraph").alias("last"))
+    back = lambda c: ends.select("document_id", F.col("page").alias(c), F.col("last").alias("found"))
+    open_ = placed.where("paragraph = 0").select("document_id", "page").distinct().withColumn("home", F.col("page") - 1)
+    homes, open_ = None, cut(open_.join(back("home"), ["document_id", "home"]))
+    while True:
+        done = open_.where("found > 0").select("document_id", "page", "home", "found")
+        homes = done if homes is None else homes.unionByName(done)
+        rest = open_.where("found = 0")
+        if rest.isEmpty():
+            break
+        open_ = cut(rest.select("document_id", "page", (F.col("home") - 1).alias("home")).join(back("home"), ["document_id", "home"]))
+    all_ = placed.join(homes, ["document_id", "page"], "left").withColumn("early", F.col("paragraph") == 0)
+    owned = all_.select(
+        "document_id", F.when(F.col("early"), F.coalesce("home", "page")).otherwise(F.col("page")).alias("of_page"), F.when(F.col("early"), F.coalesce("found", F.lit(0))).otherwise(F.col("paragraph")).cast("int").alias("paragraph"),
+        F.struct("page", "ordinal", "block_id", "line_no", "piece").alias("x"),
+    )
+    whole = owned.groupBy("document_id", F.col("of_page").alias("page"), "paragraph").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return whole.select("document_id", "page", "paragraph", F.trim(F.array_join("x.piece", "")).alias("text"))
+
+
 def _blocks(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "document_blocks")
 
@@ -231,3 +284,8 @@ def found(spark: SparkSession, base: str) -> DataFrame:
     return noise(_blocks(spark, base))
 
 
+
+
+def repaired(spark: SparkSession, base: str) -> DataFrame:
+    """p5_paragraphs: the repaired paragraphs of all scanned documents."""
+    return paragraphs(_blocks(spark, base))
