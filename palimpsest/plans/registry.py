@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.operators import hierarchy, intervals
+from palimpsest.plans import queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,7 @@ QUERIES: dict[str, Query] = {
     "p3_found": hierarchy.found,
     "p3_paths": hierarchy.paths,
     "p3_descendants": hierarchy.descendant_intervals,
+    **queries.QUERIES,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {**queries.SQL}
