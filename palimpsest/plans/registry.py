@@ -20,4 +20,27 @@ QUERIES: dict[str, Query] = {
     **queries.QUERIES,
 }
 
-SQL: dict[str, str] = {**queries.SQL}
+_DAYS = f"""
+  x AS (SELECT 'source_documents' AS entity_table, source_key AS entity_key, {queries._start_sql('effective_from')} AS s, {queries._end_sql('effective_to')} AS e FROM source_documents WHERE source_key IS NOT NULL
+    UNION ALL SELECT 'evidence_relations', subject_document_id || '|' || lower(trim(predicate, ' \t\n\r')) || '|' || object_document_id, {queries._start_sql('valid_from')}, {queries._end_sql('valid_to')} FROM evidence_relations WHERE object_document_id IS NOT NULL),
+  n AS (SELECT *, max(e) OVER (PARTITION BY entity_table, entity_key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x WHERE s < e),
+  r AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY entity_table, entity_key ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM n),
+  p AS (SELECT entity_table, entity_key, min(s) AS s, max(e) AS e FROM r GROUP BY entity_table, entity_key, run)"""
+
+_LINKS = """
+  rec AS (SELECT source_id AS id, previous_source_id AS link FROM source_lifecycle WHERE source_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY recorded_at DESC NULLS LAST, previous_source_id DESC NULLS LAST) = 1),
+  names AS (SELECT lower(regexp_replace(id, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS name, min(id) AS id FROM rec GROUP BY 1),
+  link AS (SELECT rec.id, names.id AS parent FROM rec LEFT JOIN names ON names.name = lower(regexp_replace(rec.link, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AND names.name <> '')"""
+
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH {_DAYS}, g AS (SELECT entity_table, entity_key, 'gap' AS kind, e AS s, lead(s) OVER (PARTITION BY entity_table, entity_key ORDER BY s) AS e FROM p)
+      SELECT entity_table, entity_key, kind, strftime(s, '%Y-%m-%d') AS start_on, strftime(e, '%Y-%m-%d') AS end_on FROM (SELECT entity_table, entity_key, 'period' AS kind, s, e FROM p UNION ALL SELECT * FROM g WHERE e IS NOT NULL)""",
+    "p1_coverage": f"""WITH {_DAYS} SELECT entity_table, entity_key, count(*) AS periods, CAST(sum(e - s) AS BIGINT) AS days_covered, CAST(max(e) - min(s) - sum(e - s) AS BIGINT) AS days_in_gaps FROM p GROUP BY ALL""",
+    "p3_found": f"""WITH RECURSIVE {_LINKS},
+      walk AS (SELECT id, id AS root_id, 0 AS node_depth FROM link WHERE parent IS NULL UNION ALL SELECT link.id, walk.root_id, walk.node_depth + 1 FROM walk JOIN link ON link.parent = walk.id),
+      lost AS (SELECT id, parent FROM link WHERE id NOT IN (SELECT id FROM walk)),
+      reach AS (SELECT id, parent AS at FROM lost UNION SELECT reach.id, lost.parent FROM reach JOIN lost ON lost.id = reach.at)
+      SELECT id AS source_id, root_id, CAST(node_depth AS INT) AS node_depth, 0 AS on_cycle FROM walk
+      UNION ALL SELECT id, '', -1, CAST(EXISTS (SELECT 1 FROM reach WHERE reach.id = lost.id AND reach.at = lost.id) AS INT) FROM lost""",
+    **queries.SQL,
+}
