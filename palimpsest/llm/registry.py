@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from palimpsest.llm import eval_leaks, lookalikes, mixture, pieces, scan_noise, shared_spans
 
 QUERIES = {
@@ -19,4 +21,39 @@ QUERIES = {
     "p8_found": shared_spans.found,
 }
 
-SQL: dict[str, str] = {}
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _look_sql(column: str) -> str:
+    """The consistent form: one character for one by translate, several by replace, then composed."""
+    forms = lookalikes.mapping()
+    single = {a: b for a, b in forms.items() if len(b) == 1}
+    dropped = [a for a, b in forms.items() if not b]
+    several = {a: b for a, b in forms.items() if len(b) > 1 and unicodedata.normalize("NFC", b) != unicodedata.normalize("NFC", a)}
+    out = f"translate({column}, {_quoted(''.join(single) + ''.join(dropped))}, {_quoted(''.join(single.values()))})"
+    for a, b in several.items():
+        out = f"replace({out}, {_quoted(a)}, {_quoted(b)})"
+    return f"nfc_normalize({out})"
+
+
+_VALUES = " UNION ALL ".join(f"SELECT '{f}' AS field_name, document_id AS id, {f} AS text FROM source_documents WHERE {f} IS NOT NULL" for f in ("title", "normalized_title", "normalized_names"))
+_GRAMS = """
+  g_words AS (SELECT id, lang, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM t),
+  grams AS (SELECT DISTINCT id, lang, 'en' AS kind, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS gram FROM g_words
+    UNION SELECT DISTINCT id, lang, 'zh', unnest(list_transform(range(1, length(array_to_string(w, '')) - 22), lambda i: substr(array_to_string(w, ''), i, 24))) FROM g_words)"""
+
+SQL: dict[str, str] = {
+    "p2_found": r"""WITH s AS (SELECT segment_id, string_split(regexp_replace(regexp_replace(text, '([\n。；！？])', '\1' || chr(1), 'g'), '([.;!?])(\s|\p{Z})', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM segments WHERE length(text) > 4500)
+      SELECT segment_id, CAST(max(CASE WHEN list_max(list_transform(parts, lambda p: length(p))) > 4500 THEN 1 ELSE 0 END) AS INT) AS hard_cut FROM s GROUP BY segment_id""",
+    "p4_found": f"""WITH v AS (SELECT DISTINCT field_name, id, text, {_look_sql('text')} AS look FROM ({_VALUES} UNION ALL SELECT 'segment_text', segment_id, text FROM segments WHERE text IS NOT NULL))
+      SELECT DISTINCT a.field_name, a.id AS id_a, b.id AS id_b FROM v a JOIN v b ON a.field_name = b.field_name AND a.look = b.look AND a.id < b.id AND a.text <> b.text""",
+    "p6_found": f"""WITH docs AS (WITH t AS (SELECT doc_id AS id, '' AS lang, text FROM documents WHERE text IS NOT NULL), {_GRAMS} SELECT * FROM grams),
+      items AS (WITH t AS (SELECT item_id AS id, lower(trim(lang)) AS lang, passage AS text FROM eval_items), {_GRAMS} SELECT * FROM grams WHERE lang = kind)
+      SELECT DISTINCT docs.id AS doc_id, items.id AS item_id FROM docs JOIN items ON docs.kind = items.kind AND docs.gram = items.gram""",
+    "p8_found": """WITH w AS (SELECT doc_id, i, md5_number(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)),
+      s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+      k AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w WHERE h IN (SELECT h FROM s))
+      SELECT doc_id, CAST(sum(CASE WHEN before IS NULL THEN 300 ELSE least(300, i - before) END) AS INT) AS shared_chars FROM k GROUP BY doc_id""",
+}
