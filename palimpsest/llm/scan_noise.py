@@ -18,10 +18,15 @@ Grouping is by page, word or paragraph, never by document; counts are combined b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from palimpsest.llm.codepoints import slices
 from palimpsest.plans.session import cut, small, table
 
 # What a scanned character is taken for, Latin script in lower case (right, wrong).
@@ -46,6 +51,7 @@ _SPACED = rf"(?U)(?<!\w)(?:\w{_BLANK}){{2,}}\w(?!\w)"
 _NUMBER = r"(?iU)^[-·.—–\s]*(?:page\s*|第\s*)?(?:[0-9lozibs]*[0-9][0-9lozibs]*|[lo]{1,2}|[ivxlc]+)(?:\s*/\s*[0-9lozibs]+|\s*页)?[-·.—–\s]*$"
 _MARKS = "-‐¬­"
 _CUT = rf"[\p{{L}}\d!\x{{fffd}}][{_MARKS}]\s*$"
+_LETTER = r"[A-Za-z\x{c0}-\x{24f}]"
 _TOKEN = r"[A-Za-z\x{c0}-\x{24f}0-9!\x{fffd}]+"
 _HAN = "".join(sorted({c for pair in HAN_CONFUSIONS for c in pair}))
 
@@ -121,13 +127,18 @@ def broken_words(lines: DataFrame) -> DataFrame:
     ).where("head <> '' and tail <> ''")
 
 
-def hyphen_evidence(candidates: DataFrame, blocks: DataFrame) -> DataFrame:
+def vocabulary(blocks: DataFrame) -> DataFrame:
+    """(word, n): words of Latin script of all blocks, in lower case."""
+    return blocks.where("text is not null").select(F.explode(_tokens(F.lower("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def hyphen_evidence(candidates: DataFrame, blocks: DataFrame, words: DataFrame) -> DataFrame:
     """``candidates`` with ``spelled``: the mark belongs to the word, which stands hyphenated elsewhere more often than joined."""
-    inside = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{2,}[-‐][\p{L}]{2,}"), F.lit(0))
+    inside = F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<!{_LETTER}){_LETTER}{{2,}}+[-‐]{_LETTER}{{2,}}+"), F.lit(0))
     hyphenated = blocks.select(F.explode(inside).alias("w")).groupBy(F.translate("w", "‐", "-").alias("w")).agg(F.count("*").alias("hyphenated"))
     asked = candidates.withColumn("w", F.lower(F.concat("head", F.lit("-"), "tail"))).withColumn("j", F.lower(F.concat("head", "tail")))
     wanted = asked.select("j").distinct()
-    joined = blocks.select(F.explode(_tokens(F.lower("text"))).alias("j")).groupBy("j").agg(F.count("*").alias("joined")).join(wanted, "j", "left_semi")
+    joined = words.select(F.col("word").alias("j"), F.col("n").alias("joined")).join(wanted, "j", "left_semi")
     both = asked.join(small(hyphenated), "w", "left").join(small(joined), "j", "left").fillna(0, ["hyphenated", "joined"])
     return both.withColumn("spelled", F.col("mark").isin("-", "‐") & (F.col("hyphenated") > F.col("joined"))).drop("w", "j", "hyphenated", "joined")
 
@@ -143,10 +154,11 @@ def corrections(words: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     ``words`` has word and n. ``at`` is the 1-based place of the wrong characters. A variant must come VARIANT_RATIO
     times as often as the word, and LEAST_VARIANT times; rank 1 is the most frequent.
     """
-    spark = words.sparkSession
-    confusions = spark.createDataFrame(pairs, "right string, wrong string").withColumn("shift", anagram_hash(F.col("right")) - anagram_hash(F.col("wrong")))
+    shifts = words.sparkSession.createDataFrame(pairs, "right string, wrong string").withColumn("shift", anagram_hash(F.col("right")) - anagram_hash(F.col("wrong"))).collect()
+    confusions = F.array(*[F.struct(F.lit(c["right"]).alias("right"), F.lit(c["wrong"]).alias("wrong"), F.lit(c["shift"]).cast("long").alias("shift")) for c in shifts])
     hashed = words.withColumn("ah", anagram_hash(F.col("word")))
-    rare = hashed.join(F.broadcast(confusions), F.col("word").contains(F.col("wrong"))).select("word", "n", "right", "wrong", (F.col("ah") + F.col("shift")).alias("ah"))
+    held = F.filter(confusions, lambda c: F.contains("word", c["wrong"]))
+    rare = hashed.select("word", "n", "ah", F.explode(held).alias("c")).select("word", "n", "c.right", "c.wrong", (F.col("ah") + F.col("c.shift")).alias("ah"))
     variants = hashed.where(F.col("n") >= LEAST_VARIANT).select(F.col("word").alias("variant"), F.col("n").alias("times"), "ah")
     near = rare.join(variants, "ah").where(F.col("times") >= VARIANT_RATIO * F.col("n"))
     places = F.filter(
@@ -164,9 +176,8 @@ def _plain(line: Column) -> Column:
     return F.regexp_replace(_solid(line), r"\d", "#")
 
 
-def misread_latin(lines: DataFrame, candidates: DataFrame, blocks: DataFrame) -> DataFrame:
+def misread_latin(lines: DataFrame, candidates: DataFrame, words: DataFrame) -> DataFrame:
     """(block_id, word, variant): misread words of Latin script; variant is null where only the spelling shows it."""
-    words = cut(blocks.where("text is not null").select(F.explode(_tokens(F.lower("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
     line = F.regexp_replace(_solid(F.col("line")), rf"({_TOKEN})[{_MARKS}]\s*$", "")
     single = lines.where("furniture is null").select("block_id", F.explode(_tokens(line)).alias("token"))
     # A token is taken once per block; a cut word stands with both its parts, not as the tail in its next line.
@@ -189,18 +200,36 @@ def misread_latin(lines: DataFrame, candidates: DataFrame, blocks: DataFrame) ->
     return known.unionByName(odd.unionByName(lost).withColumn("variant", F.lit(None).cast("string")))
 
 
+def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    easily = np.zeros(0x110000, dtype=bool)
+    easily[[ord(c) for c in _HAN]] = True
+    for batch in batches:
+        for s in slices(pa.array(np.zeros(batch.num_rows, dtype=np.int64)), batch.column(0)):
+            if len(s.cp) < 3:
+                continue
+            cp = np.where((s.cp >= 0x30) & (s.cp <= 0x39), ord("#"), s.cp).astype(np.int64)
+            inside, line_end, owner = easily[cp], cp == 0xA, s.owner()
+            keep = (inside[:-2] | inside[1:-1] | inside[2:]) & ~(line_end[:-2] | line_end[1:-1] | line_end[2:]) & (owner[:-2] == owner[2:])
+            coded, n = np.unique(((cp[:-2] << 42) | (cp[1:-1] << 21) | cp[2:])[keep], return_counts=True)
+            words = ["".join(map(chr, x)) for x in np.stack([coded >> 42, (coded >> 21) & 0x1FFFFF, coded & 0x1FFFFF], axis=1)]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n.astype(np.int64))], names=["word", "n"])
+
+
+def han_windows(blocks: DataFrame) -> DataFrame:
+    """(word, n): windows of three characters of a line, digits as one sign, around characters that are easily confused."""
+    return blocks.where("text is not null").select("text").mapInArrow(_count_windows, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def misread_han(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     """(block_id, line_no, at, right): misread characters of Han script; ``at`` is the 1-based place in the plain line."""
-    one = f"[{_HAN}]"
-    windows = lambda line: F.regexp_extract_all(line, F.lit(f"(?s)(?=({one}..|.{one}.|..{one}))"), F.lit(1))
-    every = blocks.where("text is not null").select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(windows(_plain(F.col("line")))).alias("word"))
-    grams = cut(every.groupBy("word").agg(F.count("*").alias("n")))
+    grams = cut(han_windows(blocks))
     pairs = [(p[0], p[1]) for p in HAN_CONFUSIONS]
     lexicon = corrections(grams, pairs).select("word", "right", "wrong", "at")
 
     wrongs = "".join(sorted({p[1] for p in HAN_CONFUSIONS}))
-    plain = lines.where("furniture is null").select("block_id", "line_no", _plain(F.col("line")).alias("line")).where(F.col("line").rlike(f"[{wrongs}]"))
-    place = plain.select("block_id", "line_no", "line", F.explode(F.sequence(F.lit(1), F.length("line"))).alias("at")).where(F.substring("line", F.col("at"), F.lit(1)).isin(*wrongs))
+    plain = lines.where("furniture is null").select("block_id", "line_no", _plain(F.col("line")).alias("line")).where(F.length("line") > 0)
+    is_wrong = lambda i: F.substring("line", i, F.lit(1)).isin(*wrongs)
+    place = plain.select("block_id", "line_no", "line", F.explode(F.filter(F.sequence(F.lit(1), F.length("line")), is_wrong)).alias("at"))
     starts = F.filter(F.transform(F.array(F.lit(2), F.lit(1), F.lit(0)), lambda k: F.col("at") - k), lambda s: (s >= 1) & (s + 2 <= F.length("line")))
     seen = place.withColumn("windows", F.size(starts)).select("block_id", "line_no", "at", "windows", F.explode(starts).alias("start"), "line").select(
         "block_id", "line_no", F.col("at").alias("place"), "windows", F.substring("line", F.col("start"), F.lit(3)).alias("word"), (F.col("at") - F.col("start") + 1).alias("at")
@@ -217,12 +246,13 @@ def noise(blocks: DataFrame) -> DataFrame:
     """
     lines = cut(page_lines(blocks))
     furniture = lines.where("furniture is not null").select("block_id", F.col("furniture").alias("noise"))
-    candidates = cut(hyphen_evidence(broken_words(lines), blocks))
+    words = cut(vocabulary(blocks))
+    candidates = cut(hyphen_evidence(broken_words(lines), blocks, words))
     kind = lambda df, name: df.select("block_id", F.lit(name).alias("noise"))
     return (
         furniture.unionByName(kind(candidates.where("not spelled"), "broken_word"))
         .unionByName(kind(lines.where("furniture is null").where(F.col("line").rlike(_SPACED)), "spaced_out"))
-        .unionByName(kind(misread_latin(lines, candidates, blocks), "misread"))
+        .unionByName(kind(misread_latin(lines, candidates, words), "misread"))
         .unionByName(kind(misread_han(lines, blocks), "misread"))
         .distinct()
     )
@@ -236,8 +266,9 @@ def paragraphs(blocks: DataFrame) -> DataFrame:
     and goes on over page ends. ``paragraph`` counts from 1 on its page; text before the first beginning is 0.
     """
     lines = cut(page_lines(blocks))
-    candidates = cut(hyphen_evidence(broken_words(lines), blocks))
-    latin = misread_latin(lines, candidates, blocks).where("variant is not null").groupBy("block_id").agg(F.collect_set(F.struct("word", "variant")).alias("words"))
+    words = cut(vocabulary(blocks))
+    candidates = cut(hyphen_evidence(broken_words(lines), blocks, words))
+    latin = misread_latin(lines, candidates, words).where("variant is not null").groupBy("block_id").agg(F.collect_set(F.struct("word", "variant")).alias("words"))
     han = misread_han(lines, blocks).groupBy("block_id", "line_no").agg(F.collect_set(F.struct("at", "right")).alias("chars"))
     joined = candidates.groupBy("block_id", "line_no").agg(F.max("spelled").alias("spelled"))
     text = lines.where("furniture is null").join(latin, "block_id", "left").join(han, ["block_id", "line_no"], "left").join(joined, ["block_id", "line_no"], "left")
