@@ -14,6 +14,7 @@ accents and raised or lowered figures stay different. Conjoining Hangul jamo are
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import cache
 
@@ -69,9 +70,14 @@ def mapping() -> dict[str, str]:
 
 
 @cache
-def _ranges() -> str:
-    """The replaced code points and all combining marks as the inside of a regular expression's class."""
-    codes = sorted({ord(c) for c in mapping()} | {c for c in range(0x300, 0x30000) if unicodedata.category(chr(c))[0] == "M"})
+def _marks() -> frozenset[int]:
+    """Combining marks, and characters whose form begins with one."""
+    return frozenset({c for c in range(0x300, 0x30000) if unicodedata.category(chr(c))[0] == "M"} | {ord(c) for c, form in mapping().items() if form and unicodedata.combining(form[0])})
+
+
+def _ranges(chosen: frozenset[int]) -> str:
+    """Code points as the inside of a regular expression's class."""
+    codes = sorted(chosen)
     out, start, last = [], codes[0], codes[0]
     for c in [*codes[1:], -1]:
         if c != last + 1:
@@ -85,9 +91,11 @@ def _ranges() -> str:
 def run_pattern() -> str:
     """A run: replaced characters and marks, with the letter before if a mark follows, and never ending before a mark."""
     # The first, small set decides for most characters; ASCII and the plain ideographs fail there.
-    special = f"[\\t\\x{{80}}-\\x{{2fff}}\\x{{3000}}-\\x{{33ff}}\\x{{a000}}-\\x{{10ffff}}&&[{_ranges()}]]"
-    weightless = "[\\p{M}\\p{Cf}]"
-    return f"(?:(?!{special})[^\\n](?={weightless}*\\p{{M}}))?{special}{{1,{RUN_CHARS}}}+{weightless}*+"
+    outer = "\\t\\x{80}-\\x{2fff}\\x{3000}-\\x{33ff}\\x{a000}-\\x{10ffff}"
+    gone = frozenset(ord(c) for c, form in mapping().items() if not form)
+    special = f"[{outer}&&[{_ranges(frozenset(map(ord, mapping())) | _marks())}]]"
+    mark, weightless = f"[{outer}&&[{_ranges(_marks())}]]", f"[{outer}&&[{_ranges(_marks() | gone)}]]"
+    return f"(?:(?!{special})[^\\n](?={weightless}*{mark}))?{special}{{1,{RUN_CHARS}}}+{weightless}*+"
 
 
 def _mapping_table(spark: SparkSession) -> DataFrame:
@@ -124,11 +132,11 @@ def run_forms(runs: DataFrame) -> DataFrame:
     place = Window.partitionBy("k").orderBy("pos", "sub")
     ordered = classed.withColumn("starter", F.sum((F.col("ccc") == 0).cast("int")).over(place))
     lists = ordered.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("starter", "ccc", "pos", "sub", "cp"))).alias("x"))
-    pairs = spark.createDataFrame([(_pairs(),)], "pairs map<string,string>")
+    pairs = F.from_json(F.lit(json.dumps(_pairs())), "map<string,string>")  # a constant
 
     def step(acc: Column, x: Column) -> Column:
         free = (acc["last"] == 0) | (acc["last"] < x["ccc"])
-        whole = F.when((x["ccc"] > 0) & free, F.element_at("pairs", F.concat(acc["base"], x["cp"])))
+        whole = F.when((x["ccc"] > 0) & free, F.element_at(pairs, F.concat(acc["base"], x["cp"])))
         state = lambda done, base, marks, last: F.struct(done.alias("done"), base.alias("base"), marks.alias("marks"), last.alias("last"))
         return (
             F.when(x["ccc"] == 0, state(F.concat(acc["done"], acc["base"], acc["marks"]), x["cp"], F.lit(""), F.lit(0)))
@@ -138,7 +146,7 @@ def run_forms(runs: DataFrame) -> DataFrame:
 
     empty = F.struct(F.lit("").alias("done"), F.lit("").alias("base"), F.lit("").alias("marks"), F.lit(0).alias("last"))
     join = lambda acc: F.concat(acc["done"], acc["base"], acc["marks"])
-    forms = lists.join(F.broadcast(pairs)).select("k", F.aggregate("x", empty, step, join).alias("form"))
+    forms = lists.select("k", F.aggregate("x", empty, step, join).alias("form"))
     # A run of weightless characters only has no code points left.
     return runs.withColumn("k", F.xxhash64("run")).join(forms, "k", "left").select("run", F.coalesce("form", F.lit("")).alias("form"))
 
@@ -155,7 +163,8 @@ def looks(values: DataFrame) -> DataFrame:
     parts = rows.where("special").select(
         "field", "id", "raw", F.posexplode(F.arrays_zip(F.split("text", pattern, -1).alias("plain"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("run"))).alias("pos", "x")
     ).select("field", "id", "raw", "pos", "x.plain", "x.run")
-    forms = cut(run_forms(parts.where("run is not null").select("run").distinct()))
+    runs = rows.where("special").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("run"))
+    forms = cut(run_forms(runs.distinct()))
     mapped = parts.join(small(forms, MAX_BROADCAST_RUNS), "run", "left").select("field", "id", "raw", F.struct("pos", F.concat("plain", F.coalesce("form", F.lit(""))).alias("t")).alias("p"))
     built = mapped.groupBy("field", "id", "raw").agg(F.array_sort(F.collect_set("p")).alias("p")).select("field", "id", "raw", F.array_join("p.t", "").alias("form"))
     return built.unionByName(rows.where("not special").select("field", "id", "raw", F.col("text").alias("form")))
