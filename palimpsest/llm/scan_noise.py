@@ -37,7 +37,7 @@ LATIN_CONFUSIONS = [
 ]
 # The same for Han script, right before wrong.
 HAN_CONFUSIONS = (
-    "的旳 人入 理埋 日曰 应庆 期朝 运云 承丞 管菅 保堡 申中 证征 编遍 货贷 单早 仓仑 大犬 未末 持待 更吏 检俭 处外 交文 费贾 封対 由甲 申甲 清淸 "
+    "的旳 人入 理埋 日曰 应庆 期朝 运云 承丞 管菅 保堡 申中 证征 编遍 货贷 单早 仓仑 大犬 未末 持待 更吏 检俭 处外 交文 费贾 封対 由甲 申甲 清淸 已巳 "
     "入人 末未 土士 士土 干千 千干 己已 已己 大太 太大 日目 目日 人八 由田 间问 问间 自白 白自 今令 令今 治冶 师帅 析折 侯候 候侯 拔拨 天夫 力刀 贝见 王玉 主王 木本 休体 买卖 刑型 拆折 密蜜"
 ).split()
 
@@ -159,7 +159,7 @@ def corrections(words: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     hashed = words.withColumn("ah", anagram_hash(F.col("word")))
     held = F.filter(confusions, lambda c: F.contains("word", c["wrong"]))
     rare = hashed.select("word", "n", "ah", F.explode(held).alias("c")).select("word", "n", "c.right", "c.wrong", (F.col("ah") + F.col("c.shift")).alias("ah"))
-    variants = hashed.where(F.col("n") >= LEAST_VARIANT).select(F.col("word").alias("variant"), F.col("n").alias("times"), "ah")
+    variants = hashed.where((F.col("n") >= LEAST_VARIANT) & (F.length("word") >= 3)).select(F.col("word").alias("variant"), F.col("n").alias("times"), "ah")
     near = rare.join(variants, "ah").where(F.col("times") >= VARIANT_RATIO * F.col("n"))
     places = F.filter(
         F.sequence(F.lit(1), F.length("word")),
