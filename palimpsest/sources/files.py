@@ -142,7 +142,7 @@ def read_files(spark: SparkSession, folder: str, extension: str) -> DataFrame:
 
 def read_text(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks of plain text files: one per non-empty line."""
-    whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(folder)
+    whole = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
     lines = whole.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n")).alias("n", "line"))
     return lines.select("path", (F.col("n") + 1).alias("ordinal"), F.lit("paragraph").alias("kind"), F.lit(None).cast("int").alias("page"), squeeze(F.col("line")).alias("text")).where("text <> ''")
 
@@ -163,7 +163,7 @@ def markdown_nodes(texts: DataFrame) -> DataFrame:
         .when(line.rlike(r"^\s*([-*+]|\d+[.)]) "), "list_item").when(F.regexp_count(line, F.lit(r"\|")) >= 2, "table")
     )
     level = F.when(kind == "heading", F.length(F.regexp_extract(line, r"^(#+)", 1)))
-    return rows.select("path", F.col("n").alias("line_no"), kind.alias("kind"), level.alias("level"), F.trim(F.regexp_replace(line, r"^#{1,6} ", "")).alias("text")).where("kind is not null")
+    return rows.select("path", F.col("n").alias("line_no"), kind.alias("kind"), level.alias("level"), F.when(kind == "heading", F.trim(F.regexp_replace(line, r"^#{1,6} ", ""))).otherwise(F.rtrim(line)).alias("text")).where("kind is not null")
 
 
 def delimited_nodes(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
