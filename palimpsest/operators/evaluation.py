@@ -21,15 +21,22 @@ def ranking_metrics(results: DataFrame, expected: DataFrame, by: str) -> DataFra
     )
 
 
-def index_percentiles(df: DataFrame, by: str, value: str) -> DataFrame:
+def index_percentiles(df: DataFrame, by: str, value: str, buckets: int = 4096) -> DataFrame:
     """(by, n, p50, p95): values at index n // 2 and max(0, int(.95 n) - 1) of each group's ascending order.
 
-    Equal values are counted before the shuffle, so a group is ordered by its distinct values only. Nulls are left out.
+    A histogram of equal-width buckets finds the two buckets that hold the answers; only their values, counted before the
+    shuffle, are put in order. Nulls are left out; infinite values aren't allowed.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(by)
-    upto = counted.withColumn("upto", F.sum("c").over(w.orderBy("v"))).withColumn("n", F.sum("c").over(w))
-    at = lambda index: F.min(F.when(F.col("upto") > index, F.col("v")))
-    return upto.groupBy(by).agg(
-        F.max("n").alias("n"), at(F.floor(F.col("n") / 2)).alias("p50"), at(F.greatest(F.lit(0).cast("long"), F.floor(F.col("n") * F.lit(0.95)) - 1)).alias("p95")
-    )
+    span = counted.groupBy(by).agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    part = F.coalesce(F.try_divide((F.col("v") - F.col("lo")).cast("double") * buckets, (F.col("hi") - F.col("lo")).cast("double")), F.lit(0.0))
+    same = F.col(by).eqNullSafe(F.col("_by"))
+    put = counted.join(span.withColumnRenamed(by, "_by"), same).drop("_by").withColumn("bucket", F.least(F.floor(part), F.lit(buckets - 1)))
+    wanted = F.array(F.floor(F.col("n") / 2), F.greatest(F.lit(0).cast("long"), F.floor(F.col("n") * F.lit(0.95)) - 1))
+    histogram = put.groupBy(by, "bucket").agg(F.sum("c").alias("c"), F.max("n").alias("n"))
+    upto = histogram.withColumn("upto", F.sum("c").over(Window.partitionBy(by).orderBy("bucket")))
+    holds = upto.withColumn("before", F.col("upto") - F.col("c")).where(F.exists(wanted, lambda i: (i >= F.col("before")) & (i < F.col("upto"))))
+    inside = put.join(holds.select(F.col(by).alias("_by"), F.col("bucket").alias("_bucket"), "before"), same & (F.col("bucket") == F.col("_bucket")))
+    placed = inside.withColumn("last", F.col("before") + F.sum("c").over(Window.partitionBy(by, "bucket").orderBy("v")))
+    at = lambda k: F.min(F.when(F.col("last") > F.get(wanted, F.lit(k)), F.col("v")))
+    return placed.groupBy(by).agg(F.max("n").alias("n"), at(0).alias("p50"), at(1).alias("p95"))

@@ -37,23 +37,24 @@ def _coalesce(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def merge_intervals(intervals: DataFrame, keys: list[str], start: str, end: str, shard_days: int = SHARD_DAYS) -> DataFrame:
-    """Continuous periods of each entity from integer half-open intervals.
+    """Continuous periods of each entity from half-open intervals of int or bigint bounds (days, microseconds).
 
     Output: ``keys``, ``s``, ``e``. Rows with a null key, start or end, or with end <= start, cover nothing. Repeated
     rows and touching intervals join one period. An empty input gives an empty output. Other columns are ignored.
     """
-    kept = intervals.select(*[F.col(k) for k in keys], F.col(start).cast("int").alias("s"), F.col(end).cast("int").alias("e"))
+    kept = intervals.select(*[F.col(k) for k in keys], F.col(start).alias("s"), F.col(end).alias("e"))
     kept = kept.where(F.col("s") < F.col("e")).dropna(subset=keys)
     spans = _longest(kept, *keys)
 
-    shard = lambda day: F.floor(day / F.lit(shard_days)).cast("int")
+    kind = dict(spans.dtypes)["s"]
+    shard = lambda day: F.floor(day / F.lit(shard_days)).cast(kind)
     first, last = shard(F.col("s")), shard(F.col("e") - 1)
-    piece = lambda no, s, e: F.struct(no.cast("int").alias("shard"), s.cast("int").alias("s"), e.cast("int").alias("e"))
+    piece = lambda no, s, e: F.struct(no.cast(kind).alias("shard"), s.cast(kind).alias("s"), e.cast(kind).alias("e"))
     clipped = F.when(first == last, F.array(piece(first, F.col("s"), F.col("e")))).otherwise(
         F.concat(
             F.array(piece(first, F.col("s"), (first + 1) * shard_days), piece(last, last * shard_days, F.col("e"))),
             # A stretch of whole shards belongs to no single shard; null marks it.
-            F.when(last > first + 1, F.array(piece(F.lit(None), (first + 1) * shard_days, last * shard_days))).otherwise(F.array().cast("array<struct<shard:int,s:int,e:int>>")),
+            F.when(last > first + 1, F.array(piece(F.lit(None), (first + 1) * shard_days, last * shard_days))).otherwise(F.array().cast(f"array<struct<shard:{kind},s:{kind},e:{kind}>>")),
         )
     )
     pieces = spans.select(*keys, F.explode(clipped).alias("p")).select(*keys, "p.shard", "p.s", "p.e")

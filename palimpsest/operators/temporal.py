@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -22,6 +23,20 @@ def as_of(df: DataFrame, keys: list[str], order: list[str], recorded: str, momen
     return latest_per_key(df.where(F.col(recorded) <= moment), keys, order)
 
 
+def following(df: DataFrame, key: str, at: str, tie: str, name: str) -> DataFrame:
+    """``df`` with the ``tie`` value of the next row of its key by (``at``, ``tie``), null dates first.
+
+    In two levels: within each date of a key, and over the first rows of its dates, so a key with very many rows is no
+    single group. Rows with a null key have one group of their own.
+    """
+    inner = F.lead(tie).over(Window.partitionBy(key, at).orderBy(tie))
+    firsts = df.groupBy(key, at).agg(F.min(tie).alias("_first"))
+    over = F.lead("_first").over(Window.partitionBy(key).orderBy(F.asc_nulls_first(at)))
+    nexts = firsts.select(F.col(key).alias("_key"), F.col(at).alias("_at"), over.alias("_over"))
+    both = df.withColumn(name, inner).join(nexts, F.col(key).eqNullSafe(F.col("_key")) & F.col(at).eqNullSafe(F.col("_at")), "left")
+    return both.withColumn(name, F.coalesce(name, "_over")).drop("_key", "_at", "_over")
+
+
 def interval_allows(start: Column, end: Column, day: Column) -> Column:
     """Half-open: start <= day < end; null bounds are open."""
     return (start.isNull() | (start <= day)) & (end.isNull() | (end > day))

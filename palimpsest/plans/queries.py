@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from palimpsest.functions import text as T
 from palimpsest.functions.dates import end_day, parse_date, start_day
 from palimpsest.operators import audit, dense, diff, evaluation, fulltext, fusion, graph, segment, temporal
+from palimpsest.operators.intervals import merge_intervals
 from palimpsest.plans.session import table
 
 QUERIES: dict = {}
@@ -380,11 +381,16 @@ def weighted_confidence(spark, base):
     )
 
 
-@query("SELECT source_key, count(*) AS versions, string_agg(document_id, ',' ORDER BY document_id) AS document_ids FROM (SELECT DISTINCT source_key, document_id FROM source_documents WHERE source_key IS NOT NULL) GROUP BY source_key")
-def lineage_lists(spark, base):
-    """The versions of each source key as one list."""
-    docs = table(spark, base, "source_documents").where("source_key is not null").select("source_key", "document_id").distinct()
-    return docs.groupBy("source_key").agg(F.count("*").alias("versions"), F.array_join(F.array_sort(F.collect_list("document_id")), ",").alias("document_ids"))
+@query(
+    """SELECT source_key, count(*) AS versions, min(document_id) AS first_id, max(document_id) AS last_id, count(DISTINCT status) AS states, max(recorded_at) AS last_recorded
+      FROM (SELECT source_key, document_id, max(status) AS status, max(recorded_at) AS recorded_at FROM source_documents WHERE source_key IS NOT NULL GROUP BY ALL) GROUP BY source_key"""
+)
+def lineage_summary(spark, base):
+    """The versions of each source key: how many, first and last id, states, last record. Summed up, never listed in one row."""
+    docs = table(spark, base, "source_documents").where("source_key is not null").groupBy("source_key", "document_id").agg(F.max("status").alias("status"), F.max("recorded_at").alias("recorded_at"))
+    return docs.groupBy("source_key").agg(
+        F.count("*").alias("versions"), F.min("document_id").alias("first_id"), F.max("document_id").alias("last_id"), F.count_distinct("status").alias("states"), F.max("recorded_at").alias("last_recorded")
+    )
 
 
 @query("SELECT d.doc_id, c.class_id, c.copies FROM documents d JOIN (SELECT text, min(doc_id) AS class_id, count(*) AS copies FROM documents WHERE length(text) > 0 GROUP BY text HAVING count(*) > 1) c ON d.text = c.text")
@@ -478,9 +484,8 @@ def move_detection(spark, base):
 )
 def source_diff(spark, base):
     """Articles of each version against the next version of the same source."""
-    order = Window.partitionBy("source_key").orderBy(F.asc_nulls_first("at"), "document_id")
     held = temporal.latest_per_key(table(spark, base, "source_documents"), ["document_id"], ["recorded_at"]).where("source_key is not null")
-    v = held.select("document_id", "source_key", parse_date(F.col("effective_from")).alias("at")).withColumn("next_id", F.lead("document_id").over(order)).where("next_id is not null").select("document_id", "next_id")
+    v = temporal.following(held.select("document_id", "source_key", parse_date(F.col("effective_from")).alias("at")), "source_key", "at", "document_id", "next_id").where("next_id is not null").select("document_id", "next_id")
     s = table(spark, base, "segments").where("article_label is not null").groupBy("document_id", "article_label").agg(F.min("text_sha256").alias("h"))
     old = v.join(s, "document_id").select(F.col("document_id").alias("old_id"), F.col("next_id").alias("new_id"), "article_label", F.col("h").alias("a"))
     new = v.join(s.withColumnRenamed("document_id", "next_id"), "next_id").select(F.col("document_id").alias("old_id"), F.col("next_id").alias("new_id"), "article_label", F.col("h").alias("b"))
@@ -665,3 +670,179 @@ def star_join(spark, base):
     asia = t("nation").join(t("region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
     joined = t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(asia, F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.groupBy("n_name").agg(F.count_distinct("o_orderkey").alias("orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+# --- listings, resolution, integrity --------------------------------------------------------------------------------
+
+
+@query(
+    """WITH f AS (SELECT DISTINCT block_id, document_id, unnest(from_json(CASE WHEN risk_flags_json IS NULL OR trim(risk_flags_json) = '' THEN '[]' ELSE risk_flags_json END, '["VARCHAR"]')) AS flag FROM document_blocks)
+      SELECT flag, count(*) AS blocks, count(DISTINCT document_id) AS documents FROM f GROUP BY flag"""
+)
+def risk_flag_counts(spark, base):
+    """Blocks and documents by flag inside the JSON arrays of risk flags."""
+    flags = F.explode(F.from_json("risk_flags_json", "array<string>")).alias("flag")
+    once = table(spark, base, "document_blocks").select("block_id", "document_id", flags).distinct()
+    return once.groupBy("flag").agg(F.count("*").alias("blocks"), F.count_distinct("document_id").alias("documents"))
+
+
+@query(
+    f"""WITH {_HELD}, names AS (SELECT lower(trim(unnest(string_split(normalized_names, ' ')))) AS name, document_id, source_key FROM held WHERE normalized_names IS NOT NULL)
+      SELECT name, count(DISTINCT document_id) AS candidates, min(document_id) AS first_candidate, CASE WHEN count(DISTINCT document_id) = 1 THEN 'resolved' WHEN count(DISTINCT source_key) = 1 THEN 'versions' ELSE 'ambiguous' END AS status
+      FROM names WHERE name <> '' GROUP BY name"""
+)
+def resolve_names(spark, base):
+    """What each name of the catalogue stands for: one document, versions of one source, or several."""
+    names = _titles(spark, base).where("normalized_names is not null").select(F.explode(F.split("normalized_names", " ")).alias("name"), "document_id", "source_key")
+    names = names.withColumn("name", F.lower(F.trim("name"))).where("name <> ''")
+    status = F.when(F.col("candidates") == 1, "resolved").when(F.col("sources") == 1, "versions").otherwise("ambiguous")
+    found = names.groupBy("name").agg(F.count_distinct("document_id").alias("candidates"), F.min("document_id").alias("first_candidate"), F.count_distinct("source_key").alias("sources"))
+    return found.select("name", "candidates", "first_candidate", status.alias("status"))
+
+
+@query(
+    """WITH r AS (SELECT DISTINCT source_id, source_key, status, recorded_at FROM source_lifecycle ORDER BY recorded_at DESC, source_id, status LIMIT 500)
+      SELECT *, CAST((row_number() OVER (ORDER BY recorded_at DESC, source_id, status) - 1) // 100 AS INT) AS shard FROM r"""
+)
+def recent_changes(spark, base):
+    """The newest 500 lifecycle records in shards of 100."""
+    newest = table(spark, base, "source_lifecycle").select("source_id", "source_key", "status", "recorded_at").distinct().orderBy(F.desc("recorded_at"), "source_id", "status").limit(500)
+    # 500 rows at most: numbering them in one task is bounded.
+    place = F.row_number().over(Window.orderBy(F.desc("recorded_at"), "source_id", "status"))
+    return newest.withColumn("shard", F.floor((place - 1) / 100).cast("int"))
+
+
+@query(
+    f"""WITH {_bm25_sql(_QUESTIONS, 'segments', 'segment_id', _SEGMENT_WEIGHTS, 20)},
+      d AS (SELECT r.query_id, s.document_id, r.item_id, r.score FROM ranked r JOIN segments s ON s.segment_id = r.item_id QUALIFY row_number() OVER (PARTITION BY r.query_id, s.document_id ORDER BY r.score DESC, r.item_id) = 1)
+      SELECT query_id, document_id, item_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INT) AS rank FROM d QUALIFY rank <= 3"""
+)
+def document_representatives(spark, base):
+    """Of the 20 best segments of each question the best of each of 3 documents."""
+    owner = table(spark, base, "segments").select(F.col("segment_id").alias("item_id"), "document_id").distinct()
+    best = fulltext.bm25(_questions(spark, base), _unique_segments(spark, base), "segment_id", _SEGMENT_WEIGHTS, 20).join(owner, "item_id")
+    return fusion.diverse(best, "document_id", 3).select("query_id", "document_id", "item_id", "score", "rank")
+
+
+@query(
+    f"""WITH {_bm25_sql(_QUESTIONS, 'segments', 'segment_id', _SEGMENT_WEIGHTS, 10)},
+      other AS (WITH {_bm25_sql(_QUESTIONS, 'segments', 'segment_id', {'text': 1.0}, 10)} SELECT * FROM ranked)
+      SELECT coalesce(a.query_id, b.query_id) AS query_id, count(a.item_id) AS weighted, count(b.item_id) AS plain, count(CASE WHEN a.item_id IS NOT NULL AND b.item_id IS NOT NULL THEN 1 END) AS shared
+      FROM ranked a FULL JOIN other b ON a.query_id = b.query_id AND a.item_id = b.item_id GROUP BY 1"""
+)
+def channel_agreement(spark, base):
+    """How many of the 10 best segments of two ways of ranking are the same."""
+    asked, items = _questions(spark, base), _unique_segments(spark, base)
+    a = fulltext.bm25(asked, items, "segment_id", _SEGMENT_WEIGHTS, 10).select("query_id", "item_id", F.lit(1).alias("a"))
+    b = fulltext.bm25(asked, items, "segment_id", {"text": 1.0}, 10).select("query_id", "item_id", F.lit(1).alias("b"))
+    return a.join(b, ["query_id", "item_id"], "full_outer").groupBy("query_id").agg(F.count("a").alias("weighted"), F.count("b").alias("plain"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"))
+
+
+@query(
+    f"""WITH {_HELD}, v AS (SELECT document_id, lead(document_id) OVER (PARTITION BY source_key ORDER BY {_date_sql('effective_from')} NULLS FIRST, document_id) AS next_id FROM held WHERE source_key IS NOT NULL),
+      s AS (SELECT document_id, text_sha256 AS h, min(ordinal) AS ordinal, count(*) AS n FROM segments GROUP BY ALL)
+      SELECT v.document_id AS old_id, v.next_id AS new_id, count(*) AS segments, count(CASE WHEN b.ordinal = a.ordinal THEN 1 END) AS unchanged, count(CASE WHEN b.ordinal <> a.ordinal THEN 1 END) AS moved, count(CASE WHEN b.ordinal IS NULL THEN 1 END) AS missing
+      FROM v JOIN s a ON a.document_id = v.document_id LEFT JOIN s b ON b.document_id = v.next_id AND b.h = a.h WHERE v.next_id IS NOT NULL GROUP BY ALL"""
+)
+def fragment_moves(spark, base):
+    """How many distinct segments of a version stand unchanged, moved or not at all in the next version."""
+    held = temporal.latest_per_key(table(spark, base, "source_documents"), ["document_id"], ["recorded_at"]).where("source_key is not null")
+    v = temporal.following(held.select("document_id", "source_key", parse_date(F.col("effective_from")).alias("at")), "source_key", "at", "document_id", "new_id").where("new_id is not null").select(F.col("document_id").alias("old_id"), "new_id")
+    s = table(spark, base, "segments").groupBy("document_id", F.col("text_sha256").alias("h")).agg(F.min("ordinal").alias("ordinal"))
+    old = v.join(s.withColumnRenamed("document_id", "old_id").withColumnRenamed("ordinal", "a"), "old_id")
+    both = old.join(s.withColumnRenamed("document_id", "new_id").withColumnRenamed("ordinal", "b"), ["new_id", "h"], "left")
+    return both.groupBy("old_id", "new_id").agg(
+        F.count("*").alias("segments"), F.count_if(F.col("a") == F.col("b")).alias("unchanged"), F.count_if(F.col("a") != F.col("b")).alias("moved"), F.count_if(F.col("b").isNull()).alias("missing")
+    )
+
+
+_NOT = r"(?i)\b(shall|may|must|does|is) not\b|不得|不应|未"
+
+
+@query(
+    rf"""WITH s AS (SELECT DISTINCT trim(regexp_replace(unnest(regexp_split_to_array(regexp_replace(text, '\d+', '#', 'g'), '[。；，\n]|[.,] ')), '\s+', ' ', 'g')) AS clause FROM segments),
+      k AS (SELECT trim(regexp_replace(regexp_replace(clause, '{_NOT}', '', 'g'), '\s+', ' ', 'g')) AS bare, regexp_matches(clause, '{_NOT}') AS negated FROM s WHERE length(clause) >= 6)
+      SELECT bare, count_if(negated) AS negated, count_if(NOT negated) AS plain FROM k GROUP BY bare HAVING count_if(negated) > 0 AND count_if(NOT negated) > 0"""
+)
+def contradictions(spark, base):
+    """Clauses that stand both with and without a negation, numbers aside; one row per clause, not per pair."""
+    parts = F.explode(F.split(F.regexp_replace("text", r"\d+", "#"), r"[。；，\n]|[.,] ")).alias("clause")
+    clauses = table(spark, base, "segments").select(parts).select(F.trim(F.regexp_replace("clause", r"\s+", " ")).alias("clause")).where(F.length("clause") >= 6).distinct()
+    bare = F.trim(F.regexp_replace(F.regexp_replace("clause", _NOT, ""), r"\s+", " "))
+    keyed = clauses.select(bare.alias("bare"), F.col("clause").rlike(_NOT).alias("negated"))
+    return keyed.groupBy("bare").agg(F.count_if("negated").alias("negated"), F.count_if(~F.col("negated")).alias("plain")).where("negated > 0 and plain > 0")
+
+
+@query(
+    """WITH r AS (SELECT * FROM evidence_relations QUALIFY row_number() OVER (PARTITION BY relation_id ORDER BY recorded_at DESC) = 1),
+      s AS (SELECT segment_id, document_id, text_sha256, sha256(text) AS real FROM segments)
+      SELECT r.provenance_segment_id IS NOT NULL AS has_segment, s.segment_id IS NOT NULL AS segment_found, coalesce(s.document_id = r.subject_document_id, false) AS same_document,
+        coalesce(s.text_sha256 = r.evidence_sha256, false) AS same_hash, coalesce(s.real = s.text_sha256, false) AS hash_holds, count(*) AS relations
+      FROM r LEFT JOIN s ON s.segment_id = r.provenance_segment_id GROUP BY ALL"""
+)
+def citation_audit(spark, base):
+    """Relations by the checks that their evidence passes: segment there, of the subject, hashes equal and true."""
+    held = temporal.latest_per_key(table(spark, base, "evidence_relations").select("relation_id", "recorded_at", "subject_document_id", "provenance_segment_id", "evidence_sha256"), ["relation_id"], ["recorded_at"])
+    segs = table(spark, base, "segments").select(F.col("segment_id").alias("provenance_segment_id"), "document_id", "text_sha256", F.sha2("text", 256).alias("real"), F.lit(True).alias("there"))
+    no = F.lit(False)
+    return held.join(segs, "provenance_segment_id", "left").groupBy(
+        F.col("provenance_segment_id").isNotNull().alias("has_segment"), F.col("there").isNotNull().alias("segment_found"), F.coalesce(F.col("document_id") == F.col("subject_document_id"), no).alias("same_document"),
+        F.coalesce(F.col("text_sha256") == F.col("evidence_sha256"), no).alias("same_hash"), F.coalesce(F.col("real") == F.col("text_sha256"), no).alias("hash_holds"),
+    ).agg(F.count("*").alias("relations"))
+
+
+@query(
+    """SELECT doc_id, CAST(i AS INT) AS window_no, sha256(substr(text, i * 2000 + 1, 2000)) AS digest, CAST(length(substr(text, i * 2000 + 1, 2000)) AS INT) AS n_chars
+      FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 2000) AS BIGINT))) AS i FROM documents WHERE length(text) > 0)"""
+)
+def text_windows(spark, base):
+    """Texts in windows of 2,000 characters with their digests, row by row."""
+    docs = table(spark, base, "documents").where(F.length("text") > 0)
+    parts = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s).{1,2000}"), F.lit(0))).alias("window_no", "part"))
+    return parts.select("doc_id", "window_no", F.sha2("part", 256).alias("digest"), F.length("part").alias("n_chars"))
+
+
+@query(
+    """SELECT 'relation subject' AS reference, count(*) AS dangling FROM evidence_relations WHERE subject_document_id IS NOT NULL AND subject_document_id NOT IN (SELECT document_id FROM source_documents)
+      UNION ALL SELECT 'relation object', count(*) FROM evidence_relations WHERE object_document_id IS NOT NULL AND object_document_id NOT IN (SELECT document_id FROM source_documents UNION SELECT document_id FROM core_documents)
+      UNION ALL SELECT 'relation segment', count(*) FROM evidence_relations WHERE provenance_segment_id IS NOT NULL AND provenance_segment_id NOT IN (SELECT segment_id FROM segments)
+      UNION ALL SELECT 'text document', count(*) FROM documents WHERE document_id IS NOT NULL AND document_id NOT IN (SELECT document_id FROM source_documents)"""
+)
+def integrity_checks(spark, base):
+    """References that lead nowhere, by kind; a kind without any has 0."""
+    ids = lambda name, column: table(spark, base, name).select(F.col(column).alias("k"))
+    checks = [
+        ("relation subject", ids("evidence_relations", "subject_document_id"), ids("source_documents", "document_id")),
+        ("relation object", ids("evidence_relations", "object_document_id"), ids("source_documents", "document_id").union(ids("core_documents", "document_id"))),
+        ("relation segment", ids("evidence_relations", "provenance_segment_id"), ids("segments", "segment_id")),
+        ("text document", ids("documents", "document_id"), ids("source_documents", "document_id")),
+    ]
+    out = None
+    for name, a, b in checks:
+        n = a.where("k is not null").join(b.distinct(), "k", "left_anti").agg(F.count("*").alias("dangling")).select(F.lit(name).alias("reference"), "dangling")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT user_id, ts FROM events), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM e),
+      s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+      SELECT user_id, min(ts) AS started, max(ts) AS last_event FROM s GROUP BY user_id, session"""
+)
+def event_sessions(spark, base):
+    """Sessions of each user's events, apart by more than half an hour: merged intervals, in shards of a day for busy users."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    half_hour, day = 30 * 60 * 1_000_000, 24 * 3600 * 1_000_000
+    spans = table(spark, base, "events").select("user_id", at.alias("a"), (at + half_hour).alias("b"))
+    found = merge_intervals(spans, ["user_id"], "a", "b", day)
+    moment = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return found.select("user_id", moment(F.col("s")).alias("started"), moment(F.col("e") - half_hour).alias("last_event"))
+
+
+@query(
+    """SELECT jurisdiction, count(*) AS documents, bit_xor(CAST('0x' || substr(sha256(document_id), 1, 12) AS BIGINT)) AS digest FROM (SELECT DISTINCT jurisdiction, document_id FROM source_documents) GROUP BY jurisdiction"""
+)
+def membership_digests(spark, base):
+    """A digest of the set of documents of each jurisdiction code, the same in any order, so that it adds up in parts."""
+    ids = table(spark, base, "source_documents").select("jurisdiction", "document_id").distinct()
+    return ids.groupBy("jurisdiction").agg(F.count("*").alias("documents"), F.bit_xor(F.conv(F.substring(F.sha2("document_id", 256), 1, 12), 16, 10).cast("long")).alias("digest"))
