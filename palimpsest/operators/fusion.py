@@ -45,6 +45,24 @@ def first_fit(ranked: DataFrame, size: str, most_items: int, most_size: int) ->
     return listed.select("query_id", pick.alias("p")).select("query_id", F.col("p.ids").alias("ids"), F.col("p.used").alias("used"))
 
 
+def fair_share(ranked: DataFrame, size: str, total: int, reserve: int) -> DataFrame:
+    """(query_id, item_id, rank, share): characters each item gets, in rank order.
+
+    An item gets what it needs of what is left, less ``reserve`` for each item still to come, and at least nothing.
+    ``ranked`` holds the bounded candidate list of each query (query_id, item_id, rank, size); null sizes need nothing.
+    """
+    listed = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id", F.coalesce(F.col(size), F.lit(0)).cast("long").alias("need")))).alias("x"))
+    numbered = listed.withColumn("x", F.transform("x", lambda v, i: F.struct(v["rank"].alias("rank"), v["item_id"].alias("item_id"), v["need"].alias("need"), (F.size("x") - 1 - i).cast("long").alias("after"))))
+    kind = dict(ranked.dtypes)
+    start = F.struct(F.array().cast(f"array<struct<rank:{kind['rank']},item_id:{kind['item_id']},share:bigint>>").alias("out"), F.lit(total).cast("long").alias("left"))
+
+    def give(acc, v):
+        share = F.greatest(F.lit(0).cast("long"), F.least(v["need"], acc["left"] - v["after"] * reserve))
+        return F.struct(F.array_append(acc["out"], F.struct(v["rank"].alias("rank"), v["item_id"].alias("item_id"), share.alias("share"))).alias("out"), (acc["left"] - share).alias("left"))
+
+    return numbered.select("query_id", F.explode(F.aggregate("x", start, give)["out"]).alias("o")).select("query_id", "o.item_id", "o.rank", "o.share")
+
+
 def greedy_cover(candidates: DataFrame, most_items: int, most_size: int) -> DataFrame:
     """Greedy choice of items that add duties: query_id, item_id, place, adds.
 

@@ -11,6 +11,7 @@ from palimpsest.functions.dates import end_day, parse_date, start_day
 from palimpsest.operators import audit, dense, diff, evaluation, fulltext, fusion, graph, segment, temporal
 from palimpsest.operators.intervals import merge_intervals
 from palimpsest.plans.session import table
+from palimpsest.sources import files
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -846,3 +847,45 @@ def membership_digests(spark, base):
     """A digest of the set of documents of each jurisdiction code, the same in any order, so that it adds up in parts."""
     ids = table(spark, base, "source_documents").select("jurisdiction", "document_id").distinct()
     return ids.groupBy("jurisdiction").agg(F.count("*").alias("documents"), F.bit_xor(F.conv(F.substring(F.sha2("document_id", 256), 1, 12), 16, 10).cast("long")).alias("digest"))
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '`[^`\n]*`', '', 'g'), '\[\[([^\[\]\n]+)\]\]', 1)) AS target FROM documents),
+      n AS (SELECT DISTINCT lower(trim(alias)) AS name, source_key FROM (SELECT unnest(from_json(aliases_json, '["VARCHAR"]')) AS alias, source_key FROM source_documents WHERE aliases_json IS NOT NULL AND source_key IS NOT NULL
+        UNION SELECT title, source_key FROM source_documents WHERE source_key IS NOT NULL AND title IS NOT NULL)),
+      c AS (SELECT name, count(*) AS k FROM n GROUP BY name)
+      SELECT target, count(*) AS links, count(DISTINCT doc_id) AS pages, CASE WHEN max(k) IS NULL THEN 'missing' WHEN max(k) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status
+      FROM l LEFT JOIN c ON c.name = lower(trim(regexp_extract(target, '^([^|#]+)', 1))) GROUP BY target"""
+)
+def wiki_link_index(spark, base):
+    """Targets of [[links]] in the corpus, how often they stand, and whether a title or alias answers to them."""
+    docs = table(spark, base, "source_documents").where("source_key is not null")
+    aliases = docs.where("aliases_json is not null").select(F.explode(F.from_json("aliases_json", "array<string>")).alias("name"), "source_key")
+    names = aliases.unionByName(docs.where("title is not null").select(F.col("title").alias("name"), "source_key")).withColumn("name", F.trim("name"))
+    pages = table(spark, base, "documents").where(F.contains("text", F.lit("[["))).select(F.col("doc_id").alias("page_id"), F.col("text").alias("body"))
+    links = graph.resolve_links(graph.wiki_links(pages), names.withColumnRenamed("source_key", "page_id"))
+    return links.groupBy("target").agg(F.count("*").alias("links"), F.count_distinct("page_id").alias("pages"), F.max("status").alias("status"))
+
+
+@query()
+def markdown_nodes(spark, base):
+    """Headings, list items, table and code lines of the corpus by kind and source."""
+    docs = table(spark, base, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    return files.markdown_nodes(docs).groupBy("kind", "level").agg(F.count("*").alias("lines"), F.count_distinct("path").alias("texts"))
+
+
+@query(
+    """WITH b AS (SELECT DISTINCT document_id, ordinal, block_id, text FROM document_blocks WHERE text IS NOT NULL)
+      SELECT document_id, ordinal, 'block_' || substr(sha256(document_id || chr(0) || CAST(ordinal AS VARCHAR) || chr(0) || sha256(text)), 1, 24) AS content_id, CAST(length(text) AS INT) AS n_chars FROM b"""
+)
+def block_content_ids(spark, base):
+    """Blocks once each, with an id made of document, place and content."""
+    once = table(spark, base, "document_blocks").where("text is not null").select("document_id", "ordinal", "block_id", "text").distinct()
+    return once.select("document_id", "ordinal", T.stable_id("block", F.col("document_id"), F.col("ordinal"), F.sha2("text", 256)).alias("content_id"), F.length("text").alias("n_chars"))
+
+
+@query()
+def context_shares(spark, base):
+    """How 2,000 characters are shared among the 6 best segments of each question, 150 kept for each one still to come."""
+    best = _candidates(spark, base).where("rank <= 6")
+    return fusion.fair_share(best, "size", 2000, 150).select("query_id", "item_id", "rank", "share")

@@ -61,6 +61,8 @@ def test_fusion_and_budget(spark):
     assert [r.item_id for r in fused] == ["b", "a", "c"] and fused[0].score == round(1 / 62 + 1 / 61, 9) and fused[2].score == 0
     ranked = spark.createDataFrame([(1, "a", 1, 5), (1, "b", 2, 9), (1, "c", 3, 3), (1, "d", 4, None)], "query_id int, item_id string, rank int, size int")
     assert fusion.first_fit(ranked, "size", 9, 10).head().ids == ["a", "c", "d"]
+    shares = fusion.fair_share(spark.createDataFrame([(1, "a", 1, 50), (1, "b", 2, 5), (1, "c", 3, None), (1, "d", 4, 90)], "query_id int, item_id string, rank int, size int"), "size", 60, 10)
+    assert [r.share for r in shares.orderBy("rank").collect()] == [30, 5, 0, 25]
     views = spark.createDataFrame([(1, "a", 0.5, 2), (1, "a", 0.5, 1), (1, "a", 0.1, 0)], "query_id int, item_id string, score double, view int")
     assert fusion.best_view(views).head().view == 1
     cands = spark.createDataFrame([(1, "a", 1, 4, ["p"]), (1, "b", 2, 4, ["p", "q"]), (1, "c", 3, 99, ["r", "s", "t"]), (1, "d", 4, 1, ["r"])], "query_id int, item_id string, rank int, size int, duties array<string>")
