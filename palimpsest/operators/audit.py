@@ -32,6 +32,7 @@ def broken_links(ledger: DataFrame) -> DataFrame:
     Each event meets its predecessor by an equi-join on the sequence; no order over the whole ledger is needed. The
     first event must have an empty or null previous_hash.
     """
+    ledger = ledger.select("sequence", "previous_hash", "event_hash", "payload")
     before = ledger.select((F.col("sequence") + 1).alias("sequence"), F.col("event_hash").alias("expected"))
     first = ledger.agg(F.min("sequence").alias("first"))
     both = ledger.join(before, "sequence", "left").join(F.broadcast(first))

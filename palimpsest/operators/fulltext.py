@@ -86,6 +86,7 @@ def mentions(names: DataFrame, texts: DataFrame) -> DataFrame:
     have, then checked by containment, so no name is compared with every text. Names without terms and null texts find
     nothing; repeated rows give one row.
     """
+    texts = texts.select("item_id", "text")
     keyed = names.where(F.length("name") > 0).select("name_id", "name", F.explode(F.array_distinct(terms(F.col("name")))).alias("term"))
     common = keyed.groupBy("term").agg(F.count("*").alias("names"))
     keys = cut(keyed.join(common, "term").groupBy("name_id", "name").agg(F.min(F.struct("names", "term"))["term"].alias("term")))

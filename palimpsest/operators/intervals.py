@@ -58,7 +58,7 @@ def merge_intervals(intervals: DataFrame, keys: list[str], start: str, end: str,
         )
     )
     pieces = spans.select(*keys, F.explode(clipped).alias("p")).select(*keys, "p.shard", "p.s", "p.e")
-    # Whole stretches have a shard of their own per start: no merge is needed there, only the longest end.
+    # Stretches of whole shards are a shard of their own; they start at shard borders, so they are few.
     local = _coalesce(_longest(pieces, *keys, "shard"), *keys, "shard")
     return _coalesce(_longest(local, *keys), *keys)
 

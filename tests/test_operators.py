@@ -51,7 +51,7 @@ def test_bm25_edges(spark):
 
 def test_mentions(spark):
     names = spark.createDataFrame([(1, "Seal Act"), (2, "印章登记所"), (3, "!"), (4, None), (5, "Act No. 3")], "name_id int, name string")
-    texts = spark.createDataFrame([(1, "the Seal Act applies"), (2, "Seal Action"), (3, "由印章登记所保管"), (4, None), (5, "Act No. 33"), (6, "see Act No. 3.")], "item_id int, text string")
+    texts = spark.createDataFrame([(1, "the Seal Act applies"), (2, "Seal Action"), (3, "由印章登记所保管"), (4, None), (5, "Act No. 33"), (6, "see Act No. 3.")], "item_id int, text string").withColumn("name", F.lit("x")).withColumn("term", F.lit("x"))
     assert {tuple(r) for r in fulltext.mentions(names, texts).collect()} == {(1, 1), (2, 3), (5, 6)}
 
 
