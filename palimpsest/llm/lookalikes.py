@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 from palimpsest.plans.session import cut, small, table
 
 RUN_CHARS = 32
+_MARK = "\x01"
 MAX_BROADCAST_RUNS = 100_000
 
 # Letters and signs that are drawn alike, each row a script's characters over the Latin ones.
@@ -158,16 +159,20 @@ def looks(values: DataFrame) -> DataFrame:
     texts gives a row for each.
     """
     pattern = run_pattern()
-    # Also cheap for plain rows: one search that fails.
-    rows = values.where("id is not null and text is not null").select("field", "id", "text", F.xxhash64("text").alias("raw"), F.col("text").rlike(pattern).alias("special"))
-    parts = rows.where("special").select(
-        "field", "id", "raw", F.posexplode(F.arrays_zip(F.split("text", pattern, -1).alias("plain"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("run"))).alias("pos", "x")
-    ).select("field", "id", "raw", "pos", "x.plain", "x.run")
-    runs = rows.where("special").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("run"))
-    forms = cut(run_forms(runs.distinct()))
-    mapped = parts.join(small(forms, MAX_BROADCAST_RUNS), "run", "left").select("field", "id", "raw", F.struct("pos", F.concat("plain", F.coalesce("form", F.lit(""))).alias("t")).alias("p"))
-    built = mapped.groupBy("field", "id", "raw").agg(F.array_sort(F.collect_set("p")).alias("p")).select("field", "id", "raw", F.array_join("p.t", "").alias("form"))
-    return built.unionByName(rows.where("not special").select("field", "id", "raw", F.col("text").alias("form")))
+    # One search marks the runs, then the text falls apart at the marks: plain, run, plain, run, ..., plain. A text that
+    # holds the mark itself is taken apart by two searches.
+    marked = F.split(F.regexp_replace("text", f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK, -1)
+    plains, runs = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    paired = F.flatten(F.transform(F.arrays_zip(plains.alias("p"), runs.alias("r")), lambda x: F.array(x["p"], F.coalesce(x["r"], F.lit("")))))
+    kept = values.where("id is not null and text is not null")
+    rows = kept.select("field", "id", F.xxhash64("text").alias("raw"), F.when(F.col("text").contains(_MARK), paired).otherwise(marked).alias("parts"))
+    seen = rows.select(F.explode(F.array_distinct(F.filter("parts", lambda x, i: (i % 2 == 1) & (x != "")))).alias("run"))
+    forms = cut(run_forms(seen.distinct()))
+    pair = F.transform(F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / 2).cast("int")), lambda i: F.struct(F.get("parts", 2 * i).alias("plain"), F.get("parts", 2 * i + 1).alias("run")))
+    pieces = rows.select("field", "id", "raw", F.posexplode(pair).alias("pos", "x")).select("field", "id", "raw", "pos", "x.plain", "x.run")
+    mapped = pieces.join(small(forms, MAX_BROADCAST_RUNS), "run", "left").select("field", "id", "raw", F.struct("pos", F.concat("plain", F.coalesce("form", F.lit(""))).alias("t")).alias("p"))
+    built = mapped.groupBy("field", "id", "raw").agg(F.array_sort(F.collect_set("p")).alias("p"))
+    return built.select("field", "id", "raw", F.array_join("p.t", "").alias("form"))
 
 
 def alike_pairs(values: DataFrame) -> DataFrame:
