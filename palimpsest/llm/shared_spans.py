@@ -105,16 +105,17 @@ def _repeated(df: DataFrame, *keys: str) -> DataFrame:
 
 def anchors(texts: DataFrame, span: int = SPAN) -> DataFrame:
     """Anchors of all texts (id, text): id, h, right, left, hull, hull2, lo, hi."""
-    long_enough = texts.where(F.length("text") >= span)
+    long_enough = texts.select(F.col("id").cast("long"), "text").where(F.length("text") >= span)
     return long_enough.mapInArrow(_anchor_batches(span), "id bigint, h bigint, right bigint, left bigint, hull bigint, hull2 bigint, lo int, hi int")
 
 
 def shared_windows(texts: DataFrame, span: int = SPAN) -> DataFrame:
     """(id, lo, hi): the windows of ``span`` characters starting from lo to hi that other records hold too.
 
-    ``texts`` has a unique bigint ``id`` and a ``text``. Null, empty and short texts have none. Repetition inside one
+    ``texts`` has a unique bigint ``id`` and a ``text``; other columns are ignored. Null, empty and short texts have none. Repetition inside one
     record alone does not count. ``span`` should be a multiple of 4.
     """
+    texts = texts.select(F.col("id").cast("long"), "text")
     found = anchors(texts, span)
     # A tenth of the anchors or less goes on; kept, so that the texts are hashed once for each side of this join only.
     level1 = cut(found.join(_repeated(found, "h"), "h"))

@@ -65,7 +65,7 @@ def test_looks_against_brute_force(spark):
     rng = random.Random(4)
     alphabet = "ab céèü²Ａｂ　 ​﻿аеοﬁ⻅̧̖́ｶﾞ，、\n\t中見1"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 90))) for _ in range(200)]
-    texts += ["ｆｕｌｌｗｉｄｔｈ" * 40, "e​́", "é​", "́", "", "plain"]
+    texts += ["ｆｕｌｌｗｉｄｔｈ" * 40, "e​́", "é​", "́", "", "plain", "a\x01ｂ", "\x01", "ａ\x01", "\x02ｃ\x01\x01ｃd"]
     rows = [("t", f"{i}", t) for i, t in enumerate(texts)] + [("t", None, "x"), ("t", "n", None)]
     df = spark.createDataFrame(rows, "field string, id string, text string")
     got = {r.id: r.form for r in lookalikes.looks(df.unionByName(df)).collect()}
@@ -197,7 +197,7 @@ def test_shared_spans_against_brute_force(spark):
         covered = {q for p in range(len(t or "") - span + 1) if len(where[t[p : p + span]]) > 1 for q in range(p, p + span)}
         if covered:
             want[i] = len(covered)
-    df = spark.createDataFrame(texts, "id long, text string")
+    df = spark.createDataFrame([(0, "x", i, 1, t) for i, t in texts], "lo int, r string, id long, h int, text string")
     got = {r.id: r.shared_chars for r in shared_spans.shared_chars(df, span).collect()}
     assert got == want
     assert shared_spans.shared_chars(df.where("false"), span).count() == 0
