@@ -135,7 +135,7 @@ def vocabulary(blocks: DataFrame) -> DataFrame:
 def hyphen_evidence(candidates: DataFrame, blocks: DataFrame, words: DataFrame) -> DataFrame:
     """``candidates`` with ``spelled``: the mark belongs to the word, which stands hyphenated elsewhere more often than joined."""
     inside = F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<!{_LETTER}){_LETTER}{{2,}}+[-‐]{_LETTER}{{2,}}+"), F.lit(0))
-    hyphenated = blocks.select(F.explode(inside).alias("w")).groupBy(F.translate("w", "‐", "-").alias("w")).agg(F.count("*").alias("hyphenated"))
+    hyphenated = cut(blocks.select(F.explode(inside).alias("w")).groupBy(F.translate("w", "‐", "-").alias("w")).agg(F.count("*").alias("hyphenated")))
     asked = candidates.withColumn("w", F.lower(F.concat("head", F.lit("-"), "tail"))).withColumn("j", F.lower(F.concat("head", "tail")))
     wanted = asked.select("j").distinct()
     joined = words.select(F.col("word").alias("j"), F.col("n").alias("joined")).join(wanted, "j", "left_semi")
