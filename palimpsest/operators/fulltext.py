@@ -16,37 +16,37 @@ from palimpsest.plans.session import cut, small
 K1, B = 1.2, 0.75
 
 
-def postings(items: DataFrame, item: str, weights: dict[str, float], asked: DataFrame) -> DataFrame:
-    """(item_id, term, f): weighted frequency of the asked terms in each item.
+def _weighted(items: DataFrame, item: str, weights: dict[str, float]) -> DataFrame:
+    """(item_id, x, d): the weighted terms of each item, and how many they are. Null columns are empty."""
 
-    ``asked`` has distinct terms. The weight of a column multiplies its counts. Null columns are empty.
-    """
-
-    def weighted(column: str, weight: float) -> Column:
+    def terms_of(column: str, weight: float) -> Column:
         return F.transform(terms(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
 
-    parts = [weighted(c, w) for c, w in weights.items() if w]
-    each = items.select(F.col(item).alias("item_id"), F.explode(F.concat(*parts)).alias("x")).select("item_id", "x.term", "x.w")
-    return each.join(small(asked), "term", "left_semi").groupBy("item_id", "term").agg(F.sum("w").alias("f"))
+    every = F.concat(*[terms_of(c, w) for c, w in weights.items() if w])
+    return items.select(F.col(item).alias("item_id"), every.alias("x")).select("item_id", "x", F.size("x").cast("double").alias("d"))
+
+
+def postings(weighted: DataFrame, asked: DataFrame) -> DataFrame:
+    """(item_id, term, f, d): weighted frequency of the asked (distinct) terms in each item, and the item's length."""
+    each = weighted.select("item_id", "d", F.explode("x").alias("x")).select("item_id", "d", "x.term", "x.w")
+    return each.join(small(asked), "term", "left_semi").groupBy("item_id", "term").agg(F.sum("w").alias("f"), F.max("d").alias("d"))
 
 
 def bm25(queries: DataFrame, items: DataFrame, item: str, weights: dict[str, float], k: int) -> DataFrame:
     """Best ``k`` items of each query (query_id, text) by BM25: query_id, item_id, score (6 decimals), rank.
 
-    Terms count once per query. Equal scores rank by item_id. Queries and items without terms find nothing. The inverse
-    document frequency has a floor of 1e-6.
+    ``weights`` multiply the counts in the columns. Terms count once per query. Equal scores rank by item_id. Queries and
+    items without terms find nothing. Item ids are unique. The inverse document frequency has a floor of 1e-6.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    length = sum((F.size(terms(F.col(c))) for c, w in weights.items() if w), F.lit(0))
-    sizes = items.select(F.col(item).alias("item_id"), length.cast("double").alias("d"))
-    hits = cut(postings(items, item, weights, asked.select("term").distinct()))
-    whole = F.broadcast(sizes.agg(F.count("*").alias("n_items"), F.avg("d").alias("mean")))  # one row
+    asked = cut(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")))
+    weighted = _weighted(items, item, weights)
+    hits = cut(postings(weighted, asked.select("term").distinct()))
+    whole = F.broadcast(weighted.agg(F.count("*").alias("n_items"), F.avg("d").alias("mean")))  # one row
     df = hits.groupBy("term").agg(F.count("*").alias("n"))
-    scored = hits.join(df, "term").join(sizes, "item_id").join(whole)
+    scored = hits.join(small(asked), "term").join(df, "term").join(whole)
     idf = F.greatest(F.ln((F.col("n_items") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     per_term = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.col("mean")))
-    scores = scored.select("item_id", "term", per_term.alias("s")).join(small(asked), "term").groupBy("query_id", "item_id").agg(F.round(F.sum("s"), 6).alias("score"))
-    return top(scores, k)
+    return top(scored.groupBy("query_id", "item_id").agg(F.round(F.sum(per_term), 6).alias("score")), k)
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:
