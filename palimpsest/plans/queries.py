@@ -375,10 +375,15 @@ def coverage_distinct_counts(spark, base):
       FROM document_blocks WHERE page IS NOT NULL GROUP BY document_id"""
 )
 def weighted_confidence(spark, base):
-    """Mean confidence of scanned documents weighted by characters; null where none is known."""
-    n = F.when(F.col("confidence") <= 1, F.length("text"))
+    """Mean confidence of scanned documents weighted by characters; null where none is known.
+
+    Values above 1 and up to 100 are percent; those below 0 or above 100 are impossible and count as unknown.
+    """
+    c = F.col("confidence")
+    unit = F.when(c.between(0, 1), c).when((c > 1) & (c <= 100), c / 100)
+    n = F.when(unit.isNotNull(), F.length("text"))
     return table(spark, base, "document_blocks").where("page is not null").groupBy("document_id").agg(
-        F.count("*").alias("blocks"), F.round(F.try_divide(F.sum(F.col("confidence") * n), F.sum(n)), 6).alias("confidence")
+        F.count("*").alias("blocks"), F.round(F.try_divide(F.sum(unit * n), F.sum(n)), 6).alias("confidence")
     )
 
 

@@ -38,3 +38,10 @@ def test_core_does_not_need_the_text_operators():
 
 def test_every_sql_belongs_to_a_query():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_weighted_confidence_takes_every_scale(spark, tmp_path):
+    rows = [("mixed", 1, 0.5, "ab"), ("mixed", 1, 90.0, "ab"), ("percent", 1, 80.0, "a"), ("percent", 2, 100.0, "a"), ("edge", 1, 1.0, "a"), ("none", 1, None, "a"), ("none", 1, 101.0, "a"), ("none", 1, -0.5, "a"), ("none", 1, float("nan"), "a"), ("text", None, 0.9, "a")]
+    spark.createDataFrame(rows, "document_id string, page int, confidence double, text string").write.parquet(f"{tmp_path}/document_blocks.parquet")
+    got = {r.document_id: (r.blocks, r.confidence) for r in QUERIES["weighted_confidence"](spark, str(tmp_path)).collect()}
+    assert got == {"mixed": (2, 0.7), "percent": (2, 0.9), "edge": (1, 1.0), "none": (4, None)}
