@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.fulltext import top
+from palimpsest.operators.fusion import diverse
 
 BLOCK = 2048
 
@@ -25,23 +26,50 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def cosine_top(queries: DataFrame, items: DataFrame, k: int, with_self: bool = False) -> DataFrame:
+def _best_of_groups(s: np.ndarray, ids: np.ndarray, group: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Query and item places of a batch: of each query's best ``k`` groups, and those equal to the k-th, the best item each.
+
+    A group's best item of all batches is the best of its own batch, and at most ``k - 1`` groups there are better, so
+    nothing that belongs to the whole table's best ``k`` groups is lost.
+    """
+    codes = group.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    order = np.lexsort((ids, codes))
+    starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    ends = np.append(starts[1:], len(order))
+    s = s[:, order]
+    best = np.maximum.reduceat(s, starts, axis=1)
+    need = min(k, best.shape[1])
+    least = np.partition(best, best.shape[1] - need, axis=1)[:, best.shape[1] - need, None]
+    kept = (best >= least) & (best > -2.0)
+    r, c = [], []
+    for g in np.flatnonzero(kept.any(axis=0)):
+        rows = np.flatnonzero(kept[:, g])
+        r.append(rows)
+        c.append(order[starts[g] + s[rows, starts[g] : ends[g]].argmax(axis=1)])
+    return (np.concatenate(r), np.concatenate(c)) if r else (np.zeros(0, int), np.zeros(0, int))
+
+
+def cosine_top(queries: DataFrame, items: DataFrame, k: int, with_self: bool = False, group: str | None = None) -> DataFrame:
     """Best ``k`` items of each query by cosine: query_id, item_id, score (6 decimals), rank.
 
+    With ``group``, a column of ``items``, the best item of each of the best ``k`` groups of all items, and that column
+    too; null groups are one group.
+
     Both have a bigint id and an array ``vector``. Null vectors and vectors of another width than the first query's find
     nothing; a vector without length has cosine 0. Equal scores rank by item_id. The item with the query's own id is left
     out unless ``with_self``.
     """
     usable = queries.where("vector is not null")
     first = usable.select(F.size("vector").alias("n")).head()
-    kind = "query_id bigint, item_id bigint, score double"
+    kind = "query_id bigint, item_id bigint, score double" + (f", `{group}` {dict(items.dtypes)[group]}" if group else "")
     spark = queries.sparkSession
+    best = (lambda df: diverse(df, group, k)) if group else (lambda df: top(df, k))
     if first is None:
-        return top(spark.createDataFrame([], kind), k)
+        return best(spark.createDataFrame([], kind))
     width = first["n"]
     usable = usable.where(F.size("vector") == width)
     blocks = max(1, -(-usable.count() // BLOCK))
-    corpus = items.where((F.size("vector") == width)).select("id", "vector")
+    corpus = items.where((F.size("vector") == width)).select("id", "vector", *[group] * bool(group))
     parts = None
     for b in range(blocks):
         chosen = usable.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "vector").toArrow()
@@ -57,6 +85,11 @@ def cosine_top(queries: DataFrame, items: DataFrame, k: int, with_self: bool = F
                 s = np.round(q @ _matrix(batch.column(1), width).T, 6) + 0.0
                 if not with_self:
                     s[q_ids[:, None] == i_ids[None, :]] = -2.0
+                if group:
+                    s[np.isnan(s)] = -2.0
+                    r, c = _best_of_groups(s, i_ids, batch.column(2), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array(i_ids[c]), pa.array(s[r, c]), batch.column(2).take(pa.array(c))], names=["query_id", "item_id", "score", group])
+                    continue
                 # Ties at the k-th place all go on; the ranking decides by id.
                 need = min(k, s.shape[1])
                 least = np.partition(s, s.shape[1] - need, axis=1)[:, s.shape[1] - need, None]
@@ -65,4 +98,4 @@ def cosine_top(queries: DataFrame, items: DataFrame, k: int, with_self: bool = F
 
         found = corpus.mapInArrow(score, kind)
         parts = found if parts is None else parts.unionByName(found)
-    return top(parts, k)
+    return best(parts)

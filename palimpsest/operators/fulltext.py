@@ -11,42 +11,54 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palimpsest.functions.text import terms
+from palimpsest.operators.fusion import diverse
 from palimpsest.plans.session import cut, small
 
 K1, B = 1.2, 0.75
 
 
-def _weighted(items: DataFrame, item: str, weights: dict[str, float]) -> DataFrame:
-    """(item_id, x, d): the weighted terms of each item, and how many they are. Null columns are empty."""
+def _weighted(items: DataFrame, item: str, weights: dict[str, float], *more: str) -> DataFrame:
+    """(item_id, x, d, more): the weighted terms of each item, and how many they are. Null columns are empty."""
 
     def terms_of(column: str, weight: float) -> Column:
         return F.transform(terms(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
 
     every = F.concat(*[terms_of(c, w) for c, w in weights.items() if w])
-    return items.select(F.col(item).alias("item_id"), every.alias("x")).select("item_id", "x", F.size("x").cast("double").alias("d"))
+    return items.select(F.col(item).alias("item_id"), every.alias("x"), *more).select("item_id", "x", F.size("x").cast("double").alias("d"), *more)
 
 
-def postings(weighted: DataFrame, asked: DataFrame) -> DataFrame:
-    """(item_id, term, f, d): weighted frequency of the asked (distinct) terms in each item, and the item's length."""
-    each = weighted.select("item_id", "d", F.explode("x").alias("x")).select("item_id", "d", "x.term", "x.w")
-    return each.join(small(asked), "term", "left_semi").groupBy("item_id", "term").agg(F.sum("w").alias("f"), F.max("d").alias("d"))
+def postings(weighted: DataFrame, asked: DataFrame, *more: str) -> DataFrame:
+    """(item_id, term, more, f, d): weighted frequency of the asked (distinct) terms in each item, and the item's length."""
+    each = weighted.select("item_id", "d", *more, F.explode("x").alias("x")).select("item_id", "d", *more, "x.term", "x.w")
+    return each.join(small(asked), "term", "left_semi").groupBy("item_id", "term", *more).agg(F.sum("w").alias("f"), F.max("d").alias("d"))
 
 
-def bm25(queries: DataFrame, items: DataFrame, item: str, weights: dict[str, float], k: int) -> DataFrame:
+def bm25(queries: DataFrame, items: DataFrame, item: str, weights: dict[str, float], k: int, group: str | None = None) -> DataFrame:
     """Best ``k`` items of each query (query_id, text) by BM25: query_id, item_id, score (6 decimals), rank.
 
+    With ``group``, a column of ``items``, the best item of each of the best ``k`` groups of all items found, and that
+    column too; null groups are one group.
     ``weights`` multiply the counts in the columns. Terms count once per query. Equal scores rank by item_id. Queries and
     items without terms find nothing. Item ids are unique. The inverse document frequency has a floor of 1e-6.
     """
     asked = cut(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")))
-    weighted = _weighted(items, item, weights)
-    hits = cut(postings(weighted, asked.select("term").distinct()))
+    more = [group] if group else []
+    weighted = _weighted(items, item, weights, *more)
+    hits = cut(postings(weighted, asked.select("term").distinct(), *more))
     whole = F.broadcast(weighted.agg(F.count("*").alias("n_items"), F.avg("d").alias("mean")))  # one row
     df = hits.groupBy("term").agg(F.count("*").alias("n"))
-    scored = hits.join(small(asked), "term").join(df, "term").join(whole)
     idf = F.greatest(F.ln((F.col("n_items") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     per_term = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.col("mean")))
-    return top(scored.groupBy("query_id", "item_id").agg(F.round(F.sum(per_term), 6).alias("score")), k)
+    score = F.round(F.sum(per_term), 6).alias("score")
+    if not group:
+        scored = hits.join(small(asked), "term").join(df, "term").join(whole)
+        return top(scored.groupBy("query_id", "item_id").agg(score), k)
+    # An item's postings lie in one bucket, where it is scored; of a bucket the best k groups of each query go on, as a
+    # group's best item is the best of its bucket too and at most k - 1 groups there are better.
+    buckets = 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = hits.withColumn("_bucket", F.pmod(F.xxhash64("item_id"), F.lit(buckets)).cast("int")).repartitionById(buckets, "_bucket")
+    scored = spread.join(small(asked.join(df, "term").join(whole)), "term").groupBy("_bucket", "query_id", group, "item_id").agg(score)
+    return diverse(diverse(scored, group, k, "_bucket"), group, k).drop("_bucket")
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:

@@ -88,9 +88,12 @@ def greedy_cover(candidates: DataFrame, most_items: int, most_size: int) -> Data
     return candidates.withColumnRenamed("size", "size_").groupBy("query_id").applyInPandas(pick, schema)
 
 
-def diverse(ranked: DataFrame, group: str, k: int) -> DataFrame:
-    """Best ``k`` of each query with at most one item per group: query_id, item_id, score, rank. Null groups are one group."""
-    first = Window.partitionBy("query_id", group).orderBy(F.desc("score"), "item_id")
+def diverse(ranked: DataFrame, group: str, k: int, *per: str) -> DataFrame:
+    """Best ``k`` of each query with at most one item per group: query_id, item_id, score, rank. Null groups are one group.
+
+    With ``per``, the same within each value of those columns.
+    """
+    first = Window.partitionBy(*per, "query_id", group).orderBy(F.desc("score"), "item_id")
     one = ranked.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "rank")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
+    place = F.row_number().over(Window.partitionBy(*per, "query_id").orderBy(F.desc("score"), "item_id"))
     return one.withColumn("rank", place).where(F.col("rank") <= k)

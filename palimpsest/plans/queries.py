@@ -212,10 +212,9 @@ def dense_topk_cosine(spark, base):
       SELECT query_id, item_id, label, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INT) AS rank FROM one QUALIFY rank <= 5"""
 )
 def dense_group_diversity(spark, base):
-    """Of the 50 nearest vectors the best 5 with different labels."""
+    """The nearest vector of each label, the best 5 of them, for every hundredth vector."""
     v = _vectors(spark, base)
-    near = dense.cosine_top(v.where("id % 100 = 0"), v, 50).join(v.select(F.col("id").alias("item_id"), "label"), "item_id")
-    return fusion.diverse(near, "label", 5).select("query_id", "item_id", "label", "score", "rank")
+    return dense.cosine_top(v.where("id % 100 = 0"), v, 5, group="label").select("query_id", "item_id", "label", "score", "rank")
 
 
 # --- versions and intervals -----------------------------------------------------------------------------------------
@@ -724,10 +723,10 @@ def recent_changes(spark, base):
       SELECT query_id, document_id, item_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INT) AS rank FROM d QUALIFY rank <= 3"""
 )
 def document_representatives(spark, base):
-    """Of the 20 best segments of each question the best of each of 3 documents."""
-    owner = table(spark, base, "segments").select(F.col("segment_id").alias("item_id"), "document_id").distinct()
-    best = fulltext.bm25(_questions(spark, base), _unique_segments(spark, base), "segment_id", _SEGMENT_WEIGHTS, 20).join(owner, "item_id")
-    return fusion.diverse(best, "document_id", 3).select("query_id", "document_id", "item_id", "score", "rank")
+    """The best segment of each document, the best 3 of them, for each question."""
+    items = table(spark, base, "segments").select("segment_id", "document_id", *_SEGMENT_WEIGHTS)
+    best = fulltext.bm25(_questions(spark, base), items, "segment_id", _SEGMENT_WEIGHTS, 3, group="document_id")
+    return best.select("query_id", "document_id", "item_id", "score", "rank")
 
 
 @query(

@@ -45,3 +45,20 @@ def test_weighted_confidence_takes_every_scale(spark, tmp_path):
     spark.createDataFrame(rows, "document_id string, page int, confidence double, text string").write.parquet(f"{tmp_path}/document_blocks.parquet")
     got = {r.document_id: (r.blocks, r.confidence) for r in QUERIES["weighted_confidence"](spark, str(tmp_path)).collect()}
     assert got == {"mixed": (2, 0.7), "percent": (2, 0.9), "edge": (1, 1.0), "none": (4, None)}
+
+
+def test_dense_group_diversity_looks_beyond_one_full_label(spark, tmp_path):
+    near = [(i, [1.0, i / 1000], "full") for i in range(1, 100)]
+    far = [(200 + i, [1.0, 2.0 + i // 2], None if i == 9 else f"label{i // 2}") for i in range(10)]
+    spark.createDataFrame([(0, [1.0, 0.0], "full"), *near, *far], "vec_id long, embedding array<double>, label string").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [(r.rank, r.item_id, r.label) for r in QUERIES["dense_group_diversity"](spark, str(tmp_path)).where("query_id = 0").orderBy("rank").collect()]
+    assert got == [(1, 1, "full"), (2, 200, "label0"), (3, 202, "label1"), (4, 204, "label2"), (5, 206, "label3")]
+
+
+def test_document_representatives_look_beyond_one_full_document(spark, tmp_path):
+    spark.createDataFrame([("q", "apple pear")], "item_id string, question string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    rows = [(f"full{i:02}", "full", "apple pear") for i in range(30)] + [("b", "other", "apple plum"), ("c", "third", "apple plum fig"), ("d", "fourth", "apple plum fig kiwi"), ("e", "fifth", "plum")]
+    items = spark.createDataFrame([(*r, None, None) for r in rows], "segment_id string, document_id string, text string, heading string, article_label string")
+    items.write.parquet(f"{tmp_path}/segments.parquet")
+    got = [(r.rank, r.item_id, r.document_id) for r in QUERIES["document_representatives"](spark, str(tmp_path)).orderBy("rank").collect()]
+    assert got == [(1, "full00", "full"), (2, "b", "other"), (3, "c", "third")]
