@@ -772,10 +772,10 @@ _NOT = r"(?i)\b(shall|may|must|does|is) not\b|不得|不应|未"
 def contradictions(spark, base):
     """Clauses that stand both with and without a negation, numbers aside; one row per clause, not per pair."""
     parts = F.explode(F.split(F.regexp_replace("text", r"\d+", "#"), r"[。；，\n]|[.,] ")).alias("clause")
-    clauses = table(spark, base, "segments").select(parts).select(F.trim(F.regexp_replace("clause", r"\s+", " ")).alias("clause")).where(F.length("clause") >= 6).distinct()
+    clauses = table(spark, base, "segments").select(parts).select(F.trim(F.regexp_replace("clause", r"\s+", " ")).alias("clause")).distinct()
     bare = F.trim(F.regexp_replace(F.regexp_replace("clause", _NOT, ""), r"\s+", " "))
     keyed = clauses.select(bare.alias("bare"), F.col("clause").rlike(_NOT).alias("negated"))
-    return keyed.groupBy("bare").agg(F.count_if("negated").alias("negated"), F.count_if(~F.col("negated")).alias("plain")).where("negated > 0 and plain > 0")
+    return keyed.where("bare <> ''").groupBy("bare").agg(F.count_if("negated").alias("negated"), F.count_if(~F.col("negated")).alias("plain")).where("negated > 0 and plain > 0")
 
 
 @query(

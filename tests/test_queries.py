@@ -62,3 +62,9 @@ def test_document_representatives_look_beyond_one_full_document(spark, tmp_path)
     items.write.parquet(f"{tmp_path}/segments.parquet")
     got = [(r.rank, r.item_id, r.document_id) for r in QUERIES["document_representatives"](spark, str(tmp_path)).orderBy("rank").collect()]
     assert got == [(1, "full00", "full"), (2, "b", "other"), (3, "c", "third")]
+
+
+def test_contradictions_have_no_least_length(spark, tmp_path):
+    spark.createDataFrame([("不得超过。超过。不得。共同申请人不得延期；共同申请人延期",), ("may not. go",)], "text string").write.parquet(f"{tmp_path}/segments.parquet")
+    got = {tuple(r) for r in QUERIES["contradictions"](spark, str(tmp_path)).select("bare", "negated", "plain").collect()}
+    assert got == {("超过", 1, 1), ("共同申请人延期", 1, 1)}
