@@ -488,10 +488,12 @@ def move_detection(spark, base):
       FROM o FULL JOIN n ON o.document_id = n.document_id AND o.next_id = n.next_id AND o.article_label = n.article_label"""
 )
 def source_diff(spark, base):
-    """Articles of each version against the next version of the same source."""
+    """Articles of each version against the next version of the same source, by the distinct texts of all their parts."""
     held = temporal.latest_per_key(table(spark, base, "source_documents"), ["document_id"], ["recorded_at"]).where("source_key is not null")
     v = temporal.following(held.select("document_id", "source_key", parse_date(F.col("effective_from")).alias("at")), "source_key", "at", "document_id", "next_id").where("next_id is not null").select("document_id", "next_id")
-    s = table(spark, base, "segments").where("article_label is not null").groupBy("document_id", "article_label").agg(F.min("text_sha256").alias("h"))
+    parts = table(spark, base, "segments").where("article_label is not null").select("document_id", "article_label", "text_sha256").distinct()
+    digest = [F.bit_xor(F.xxhash64("text_sha256", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    s = parts.groupBy("document_id", "article_label").agg(F.count("text_sha256").alias("n"), *digest).select("document_id", "article_label", F.struct("n", "x0", "x1").alias("h"))
     old = v.join(s, "document_id").select(F.col("document_id").alias("old_id"), F.col("next_id").alias("new_id"), "article_label", F.col("h").alias("a"))
     new = v.join(s.withColumnRenamed("document_id", "next_id"), "next_id").select(F.col("document_id").alias("old_id"), F.col("next_id").alias("new_id"), "article_label", F.col("h").alias("b"))
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") == F.col("b"), "unchanged").otherwise("changed")

@@ -68,3 +68,15 @@ def test_contradictions_have_no_least_length(spark, tmp_path):
     spark.createDataFrame([("不得超过。超过。不得。共同申请人不得延期；共同申请人延期",), ("may not. go",)], "text string").write.parquet(f"{tmp_path}/segments.parquet")
     got = {tuple(r) for r in QUERIES["contradictions"](spark, str(tmp_path)).select("bare", "negated", "plain").collect()}
     assert got == {("超过", 1, 1), ("共同申请人延期", 1, 1)}
+
+
+def test_source_diff_sees_every_part(spark, tmp_path):
+    docs = [("old", "k", "2000-01-01"), ("new", "k", "2001-01-01")]
+    from datetime import datetime
+
+    spark.createDataFrame([(*d, datetime(2020, 1, 1)) for d in docs], "document_id string, source_key string, effective_from string, recorded_at timestamp_ntz").write.parquet(f"{tmp_path}/source_documents.parquet")
+    parts = {"same": ("ab", "baa"), "changed": ("ab", "ac"), "gained": ("a", "ab"), "lost": ("ab", "a"), "gone": ("a", ""), "fresh": ("", "a")}
+    rows = [(d, label, h) for label, both in parts.items() for d, hashes in zip(("old", "new"), both, strict=True) for h in hashes]
+    spark.createDataFrame(rows, "document_id string, article_label string, text_sha256 string").write.parquet(f"{tmp_path}/segments.parquet")
+    got = {r.article_label: r.change for r in QUERIES["source_diff"](spark, str(tmp_path)).collect()}
+    assert got == {"same": "unchanged", "changed": "changed", "gained": "changed", "lost": "changed", "gone": "removed", "fresh": "added"}
