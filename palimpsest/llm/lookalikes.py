@@ -43,6 +43,8 @@ LOOKALIKES = {
 # Ranges of compatibility characters drawn like what they decompose to.
 _SAME_COMPAT = ((0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0xB5, 0xB5), (0x2024, 0x2026), (0x2160, 0x217F), (0x2E80, 0x2FDF), (0xFB00, 0xFB06))
 _HANGUL = range(0xAC00, 0xD7A4)
+# Tags and ideographic variation selectors; between the ideographs and these nothing is assigned that is replaced.
+_LAST = range(0xE0000, 0xE01F0)
 
 
 def _form(c: int) -> str | None:
@@ -66,14 +68,14 @@ def _form(c: int) -> str | None:
 def mapping() -> dict[str, str]:
     """Every code point that is replaced, and by what, by rule from the character database and the fixed look-alikes."""
     alike = {a: b for row in LOOKALIKES.values() for a, b in zip(*row, strict=True)}
-    forms = {chr(c): f for c in range(0x80, 0x30000) if (f := _form(c)) is not None} | {"\t": " "}
+    forms = {chr(c): f for c in (*range(0x80, 0x30000), *_LAST) if (f := _form(c)) is not None} | {"\t": " "}
     return alike | {a: "".join(alike.get(x, x) for x in f) for a, f in forms.items()}
 
 
 @cache
 def _marks() -> frozenset[int]:
     """Combining marks, and characters whose form begins with one."""
-    return frozenset({c for c in range(0x300, 0x30000) if unicodedata.category(chr(c))[0] == "M"} | {ord(c) for c, form in mapping().items() if form and unicodedata.combining(form[0])})
+    return frozenset({c for c in (*range(0x300, 0x30000), *_LAST) if unicodedata.category(chr(c))[0] == "M"} | {ord(c) for c, form in mapping().items() if form and unicodedata.combining(form[0])})
 
 
 def _ranges(chosen: frozenset[int]) -> str:

@@ -201,3 +201,9 @@ def test_shared_spans_against_brute_force(spark):
     got = {r.id: r.shared_chars for r in shared_spans.shared_chars(df, span).collect()}
     assert got == want
     assert shared_spans.shared_chars(df.where("false"), span).count() == 0
+
+
+def test_invisible_characters_of_the_last_plane_go(spark):
+    texts = ["法典", "法\U000e0100典\U000e01ef", "\U000e0001法典\U000e0041\U000e007f"]
+    df = spark.createDataFrame([("t", str(i), x) for i, x in enumerate(texts)], "field string, id string, text string")
+    assert {tuple(r) for r in lookalikes.alike_pairs(df).collect()} >= {("t", "0", "1"), ("t", "0", "2")}
