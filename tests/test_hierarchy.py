@@ -2,7 +2,7 @@
 
 import random
 
-from palimpsest.operators.hierarchy import heavy_paths, latest_links
+from palimpsest.operators.hierarchy import descendant_nodes, heavy_paths, latest_links, path_nodes
 
 
 def brute(parent):
@@ -42,6 +42,22 @@ def test_random_forest(spark):
         assert r.size == below[x] + 1
         assert len(above[r.chain_id]) <= 8
     assert {r.id: r.on_cycle for r in cyclic.collect()} == {x: on for x, (p, on) in want.items() if p is None}
+    asked = spark.createDataFrame([(x,) for x in [*parent, "nowhere", names[0]]], "id string")
+    got = {}
+    for r in path_nodes(asked, nodes, chains).collect():
+        got.setdefault(r.id, {})[r.depth] = r.node
+    assert got == {x: dict(enumerate(p)) for x, (p, _) in want.items() if p}
+    found = [tuple(r) for r in descendant_nodes(asked, nodes, chains).collect()]
+    assert len(found) == len(set(found)) and set(found) == {(y, x) for x, (p, _) in want.items() for y in (p or [])[:-1]}
+    assert path_nodes(asked.where("false"), nodes, chains).count() == descendant_nodes(asked.where("false"), nodes, chains).count() == 0
+
+
+def test_deep_chain_and_wide_parent(spark):
+    parent = {f"c{i:04d}": None if i == 0 else f"c{i - 1:04d}" for i in range(300)} | {f"w{i:03d}": "c0150" for i in range(200)}
+    nodes, chains, cyclic = heavy_paths(spark.createDataFrame(list(parent.items()), "id string, parent string"))
+    at = {r.id: (r.chain_id, r.chain_pos, r.size) for r in nodes.collect()}
+    assert at["c0299"] == ("c0000", 299, 1) and at["c0150"][2] == 350 and at["w007"] == ("w007", 0, 1)
+    assert {r.chain_id: [tuple(s) for s in r.segments] for r in chains.collect()}["w007"] == [("c0000", 150)] and cyclic.count() == 0
 
 
 def test_records_and_links(spark):

@@ -4,9 +4,10 @@ import os
 import subprocess
 import sys
 
+import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.plans.session import cut, discard, ship, small
+from palimpsest.plans.session import cut, cut_counted, discard, scratch, shared_folder, ship, small
 
 
 def test_cut_and_discard(spark):
@@ -45,3 +46,36 @@ assert files.read_files(spark, {str(tmp_path)!r}, "html").count() == 1
 def test_ship_once(spark):
     ship(spark)
     ship(spark)
+
+
+def test_scratch_deletes_its_tables(spark):
+    with scratch():
+        kept, n = cut_counted(spark.range(7), "id > 2")
+        folder = kept._cut_path.removeprefix("file://")
+        assert n == 4 and kept.count() == 7 and os.path.isdir(folder)
+    assert not os.path.exists(folder)
+
+
+def test_only_local_masters_go_without_a_shared_folder(spark):
+    class Context:
+        def __init__(self, master, folder=None):
+            self.master, self.folder = master, folder
+
+        def getCheckpointDir(self):
+            return self.folder
+
+    class Session:
+        def __init__(self, master, folder=None):
+            self.sparkContext, self.conf = Context(master, folder), {}
+
+    for master in ("yarn", "spark://host:7077", "k8s://https://host", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_folder(Session(master))
+        assert shared_folder(Session(master, "hdfs://host/shared")) == "hdfs://host/shared"
+    assert shared_folder(Session("local[4]")).startswith("file:///tmp/spark-cut-")
+
+
+def test_small_counts_bytes_too(spark):
+    wide = spark.range(3).select("id", F.repeat(F.lit("x"), 1000).alias("t"))
+    plan = lambda df: spark.range(10).join(df, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(small(wide, 5, 4000)) and "broadcast" not in plan(small(wide, 5, 2000))
