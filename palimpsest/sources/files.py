@@ -19,12 +19,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import squeeze
+from palimpsest.plans.session import in_arrow
 
 BLOCK_SCHEMA = "path string, ordinal int, kind string, page int, text string"
 # Elements of HTML that become blocks.
 HTML_BLOCKS = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "p": "paragraph", "li": "list_item", "pre": "code_block", "code": "code_block", "td": "cell", "th": "cell", "figcaption": "caption"}
 
 
+# Bound on one unzipped member; a file with a larger one gives an error row.
+MAX_MEMBER_BYTES = 256 << 20
+
+
+def _member(z: zipfile.ZipFile, name: str) -> bytes:
+    if z.getinfo(name).file_size > MAX_MEMBER_BYTES:
+        raise ValueError(f"{name} is larger than {MAX_MEMBER_BYTES} bytes")
+    with z.open(name) as f:
+        data = f.read(MAX_MEMBER_BYTES + 1)
+    if len(data) > MAX_MEMBER_BYTES:
+        raise ValueError(f"{name} is larger than {MAX_MEMBER_BYTES} bytes")
+    return data
+
+
+def _xml(z: zipfile.ZipFile, name: str):
+    """A member as XML; one that declares a document type could hold entities that grow without end and is refused."""
+    data = _member(z, name)
+    if b"<!DOCTYPE" in data or b"<!ENTITY" in data:
+        raise ValueError(f"{name} declares a document type")
+    return ElementTree.fromstring(data)
+
+
 def _inner(element, tag: str) -> str:
     return "".join(x.text or "" for x in element.iter() if x.tag.rpartition("}")[2] == tag)
 
@@ -35,7 +58,8 @@ def _named(root, tag: str):
 
 def _docx(data: bytes) -> Iterator[tuple[str, int | None, str]]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        body = next(_named(ElementTree.fromstring(z.read("word/document.xml")), "body"))
+        body = next(_named(_xml(z, "word/document.xml"), "body"))
+        notes = [(kind, note) for kind in ("footnote", "endnote") if f"word/{kind}s.xml" in z.namelist() for note in _named(_xml(z, f"word/{kind}s.xml"), kind)]
     for part in body:
         tag = part.tag.rpartition("}")[2]
         if tag == "p":
@@ -44,6 +68,10 @@ def _docx(data: bytes) -> Iterator[tuple[str, int | None, str]]:
         elif tag == "tbl":
             for row in _named(part, "tr"):
                 yield "table_row", None, " | ".join(_inner(cell, "t") for cell in _named(row, "tc"))
+    for kind, note in notes:
+        # Notes with a type draw lines only.
+        if not any(k.endswith("type") for k in note.attrib):
+            yield kind, None, _inner(note, "t")
 
 
 def _numbered(names: list[str], pattern: str) -> list[str]:
@@ -54,16 +82,27 @@ def _numbered(names: list[str], pattern: str) -> list[str]:
 def _pptx(data: bytes) -> Iterator[tuple[str, int | None, str]]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for page, name in enumerate(_numbered(z.namelist(), r"ppt/slides/slide(\d+)\.xml"), 1):
-            for p in _named(ElementTree.fromstring(z.read(name)), "p"):
-                yield "paragraph", page, _inner(p, "t")
+            slide = _xml(z, name)
+            in_tables = {p for table in _named(slide, "tbl") for p in _named(table, "p")}
+            for p in _named(slide, "p"):
+                if p not in in_tables:
+                    yield "paragraph", page, _inner(p, "t")
+            for table in _named(slide, "tbl"):
+                for row in _named(table, "tr"):
+                    yield "table_row", page, " | ".join(_inner(cell, "t") for cell in _named(row, "tc"))
+            notes = re.sub(r"slides/slide(\d+)", r"notesSlides/notesSlide\1", name)
+            if notes in z.namelist():
+                for p in _named(_xml(z, notes), "p"):
+                    yield "note", page, _inner(p, "t")
 
 
 def _xlsx(data: bytes) -> Iterator[tuple[str, int | None, str]]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = [_inner(s, "t") for s in _named(ElementTree.fromstring(z.read("xl/sharedStrings.xml")), "si")] if "xl/sharedStrings.xml" in z.namelist() else []
+        shared = [_inner(s, "t") for s in _named(_xml(z, "xl/sharedStrings.xml"), "si")] if "xl/sharedStrings.xml" in z.namelist() else []
+        titles = [s.get("name") for s in _named(_xml(z, "xl/workbook.xml"), "sheet")] if "xl/workbook.xml" in z.namelist() else []
         for page, name in enumerate(_numbered(z.namelist(), r"xl/worksheets/sheet(\d+)\.xml"), 1):
-            yield "heading", page, f"Sheet {page}"
-            for row in _named(ElementTree.fromstring(z.read(name)), "row"):
+            yield "heading", page, titles[page - 1] if page <= len(titles) else f"Sheet {page}"
+            for row in _named(_xml(z, name), "row"):
                 cells = []
                 for c in _named(row, "c"):
                     value = _inner(c, "v") if c.get("t") != "inlineStr" else _inner(c, "t")
@@ -106,12 +145,12 @@ def _html(data: bytes) -> Iterator[tuple[str, int | None, str]]:
 
 def _epub(data: bytes) -> Iterator[tuple[str, int | None, str]]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        package = next(r.get("full-path") for r in _named(ElementTree.fromstring(z.read("META-INF/container.xml")), "rootfile"))
-        root = ElementTree.fromstring(z.read(package))
+        package = next(r.get("full-path") for r in _named(_xml(z, "META-INF/container.xml"), "rootfile"))
+        root = _xml(z, package)
         items = {i.get("id"): i.get("href") for i in _named(root, "item")}
         base = package.rpartition("/")[0]
         for page, ref in enumerate(_named(root, "itemref"), 1):
-            for kind, _, text in _html(z.read(f"{base}/{items[ref.get('idref')]}".lstrip("/"))):
+            for kind, _, text in _html(_member(z, f"{base}/{items[ref.get('idref')]}".lstrip("/"))):
                 yield kind, page, text
 
 
@@ -137,7 +176,7 @@ def read_files(spark: SparkSession, folder: str, extension: str) -> DataFrame:
     if extension not in PARSERS:
         raise ValueError(f"no reader for {extension}")
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extension}").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "content").mapInArrow(_parse, BLOCK_SCHEMA)
+    return in_arrow(files.select("path", "content"), _parse, BLOCK_SCHEMA)
 
 
 def read_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,16 +189,33 @@ def read_text(spark: SparkSession, folder: str) -> DataFrame:
 def markdown_nodes(texts: DataFrame) -> DataFrame:
     """(path, line_no, kind, level, text) of Markdown texts (path, text): heading, list_item, table, code line, property.
 
-    Lines of fenced code belong to the fence that opened before them; whether a line is fenced is counted within its
-    text. Other lines are dropped.
+    Lines of fenced code belong to the fence that opened before them: the text is split at its fence lines, so a line's
+    part tells whether it is fenced, and each line is looked at once. Properties stand between ``---`` in the first line
+    and the next ``---``. Other lines are dropped. Null texts have no lines.
     """
-    fenced = lambda upto: F.pmod(F.size(F.filter(upto, lambda x: x.rlike(r"^\s*(```|~~~)"))), F.lit(2)) == 1
-    rows = texts.select("path", F.split("text", "\n").alias("l")).select("path", "l", F.posexplode("l").alias("n", "line"))
+    text = F.col("text")
+    head = F.substring_index(F.concat(text, F.lit("\n")), "\n---\n", 1)
+    closing = F.when(text.startswith("---\n") & (F.length(head) <= F.length(text)), F.regexp_count(head, F.lit("\n")) + 1).otherwise(0)
+    # Fence lines stay at the head of the part they begin: odd parts are code.
+    parts = F.split(text, r"(?m)^(?=[^\S\n]*(?:```|~~~))", -1)
+    lines_of = lambda part: F.split(part, "\n", -1)
+    cells = F.flatten(
+        F.transform(
+            parts,
+            # A part that ends with its line end has an empty last cell, which belongs to the next part's first line.
+            lambda part, i: F.transform(
+                F.when((i < F.size(parts) - 1) & part.endswith("\n"), F.slice(lines_of(part), F.lit(1), F.size(lines_of(part)) - 1)).otherwise(lines_of(part)),
+                lambda line: F.struct(line.alias("line"), i.alias("part")),
+            ),
+        )
+    )
+    starts_fenced = text.rlike(r"\A[^\S\n]*(?:```|~~~)")
+    rows = texts.select("path", closing.alias("front"), starts_fenced.alias("early"), F.posexplode(cells).alias("n", "c")).select("path", "front", "early", "n", "c.line", "c.part")
     line = F.col("line")
-    fence = fenced(F.slice("l", F.lit(1), F.col("n")))
-    front = (F.get("l", F.lit(0)) == "---") & (F.col("n") > 0) & (F.col("n") < F.array_position(F.slice("l", F.lit(2), F.size("l")), F.lit("---")))
+    # Without an empty first part, a text that begins with a fence has its first code in part 0.
+    fence = F.pmod(F.col("part") + F.col("early").cast("int"), F.lit(2)) == 1
     kind = (
-        F.when(front & line.rlike(r"^[\w-]+:"), "property").when(line.rlike(r"^\s*(```|~~~)"), None).when(fence, "code").when(line.rlike(r"^#{1,6} "), "heading")
+        F.when((F.col("n") > 0) & (F.col("n") < F.col("front")) & line.rlike(r"^[\w-]+:"), "property").when(line.rlike(r"^\s*(```|~~~)"), None).when(fence, "code").when(line.rlike(r"^#{1,6} "), "heading")
         .when(line.rlike(r"^\s*([-*+]|\d+[.)]) "), "list_item").when(F.regexp_count(line, F.lit(r"\|")) >= 2, "table")
     )
     level = F.when(kind == "heading", F.length(F.regexp_extract(line, r"^(#+)", 1)))

@@ -14,18 +14,29 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def put_json(spark: SparkSession, path: str, value) -> None:
+    """Write ``value`` beside ``path`` and rename it there in one step, over what stands there; a reader finds the old or the new."""
+    jvm = spark._jvm.org.apache.hadoop
+    fs, target = _fs(spark, path)
+    temp = jvm.fs.Path(f"{path.rpartition('/')[0]}/.new-{uuid.uuid4().hex}")
+    stream = fs.create(temp, True)
+    stream.write(bytearray(json.dumps(value), "utf-8"))
+    stream.close()
+    rename = getattr(jvm.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    jvm.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(temp, target, over)
+
+
 def write_release(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
-    """Write all tables below a new version folder, then point ``active.json`` there; readers see the old or the new, never a mixture."""
+    """Write all tables below a new version folder, then point ``active.json`` there by one renaming.
+
+    Readers see the old version or the new, never a mixture and never none. Old versions stay until they are deleted.
+    """
     version = uuid.uuid4().hex
     for name, df in tables.items():
         df.write.parquet(f"{root}/{version}/{name}")
-    fs, temp = _fs(spark, f"{root}/active-{version}.json")
-    stream = fs.create(temp, True)
-    stream.write(bytearray(json.dumps({"version": version, "tables": sorted(tables)}), "utf-8"))
-    stream.close()
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/active.json")
-    fs.delete(target, False)
-    fs.rename(temp, target)
+    put_json(spark, f"{root}/active.json", {"version": version, "tables": sorted(tables)})
     return version
 
 

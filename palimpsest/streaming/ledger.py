@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators.temporal import latest_per_key
+from palimpsest.sources.tables import _fs, put_json
 
 
 def event_stream(spark: SparkSession, folder: str, schema, late: str = "1 hour") -> DataFrame:
@@ -25,23 +29,59 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
     return events.groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n")).select("s.start", "s.end", "user_id", "n")
 
 
-def keep_latest(path: str, keys: list[str], order: list[str]):
-    """A ``foreachBatch`` function that keeps the latest row of each key below ``path``, a new version folder per batch.
+def _numbers(fs, folder) -> list[int]:
+    """Numbers of the committed manifests in ``folder``."""
+    if not fs.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    return sorted(int(n.removeprefix("state-").removesuffix(".json")) for n in names if n.startswith("state-") and n.endswith(".json"))
+
+
+def _manifest(spark: SparkSession, path: str, number: int) -> dict[str, str]:
+    return json.loads("".join(r.value for r in spark.read.text(f"{path}/state-{number}.json").collect()))
+
 
-    A batch that is run again writes the same version again, so a restart does no harm.
+def keep_latest(path: str, keys: list[str], order: list[str], buckets: int = 64):
+    """A ``foreachBatch`` function that keeps the latest row of each key below ``path``; read it with ``latest_state``.
+
+    The state lies in folders by hash bucket of the key. A batch rewrites the buckets it touches and then commits a new
+    manifest, which names the folder of each bucket, under the next free number: batch ids play no part, so gaps in
+    them, a batch run again or a new checkpoint lose nothing (merging a batch twice changes nothing). Readers see the
+    highest manifest; folders that the last two don't name are deleted. Null keys form one key; one query may write.
     """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = f"{path}/v{batch_id - 1}"
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(before)
-        known = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
-        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(before)) if known else batch
-        latest_per_key(rows, keys, order).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        fs, root = _fs(spark, path)
+        numbers = _numbers(fs, root)
+        known = _manifest(spark, path, numbers[-1]) if numbers else {}
+        batch = batch.persist()
+        touched = sorted(r["b"] for r in batch.select(bucket.alias("b")).distinct().collect())  # at most ``buckets`` numbers
+        before = [known[str(b)] for b in touched if str(b) in known]
+        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(*[f"{path}/{f}" for f in before]), allowMissingColumns=True) if before else batch
+        folder = f"data-{uuid.uuid4().hex}"
+        latest_per_key(rows, keys, order).withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(f"{path}/{folder}")
+        batch.unpersist()
+        now = known | {str(b): f"{folder}/_bucket={b}" for b in touched}
+        put_json(spark, f"{path}/state-{numbers[-1] + 1 if numbers else 0}.json", now)
+        in_use = {f.partition("/")[0] for f in [*now.values(), *known.values()]}
+        for status in fs.listStatus(root):
+            name = status.getPath().getName()
+            if name.startswith("data-") and name not in in_use or name.startswith("state-") and name.endswith(".json") and int(name[6:-5]) < (numbers[-1] if numbers else 0):
+                fs.delete(status.getPath(), True)
 
     return merge
 
 
+def latest_state(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows that ``keep_latest`` has below ``path``; none if nothing was committed yet."""
+    fs, root = _fs(spark, path)
+    numbers = _numbers(fs, root)
+    folders = sorted(_manifest(spark, path, numbers[-1]).values()) if numbers else []
+    return spark.read.schema(schema).parquet(*[f"{path}/{f}" for f in folders]) if folders else spark.createDataFrame([], schema)
+
+
 def expired(items: DataFrame, expires: str, now) -> DataFrame:
     """Items whose time has come at ``now``; null never expires."""
     return items.where(F.col(expires).isNotNull() & (F.col(expires) <= now))

@@ -38,6 +38,23 @@ def test_office_files(spark, tmp_path):
     assert read(spark, tmp_path, "epub") == [("heading", 1, "A"), ("paragraph", 1, "b c")]
 
 
+def test_office_notes_and_bombs(spark, tmp_path):
+    w = 'xmlns:w="w"'
+    notes = f'<w:footnotes {w}><w:footnote w:type="separator"><w:p><w:r><w:t>-</w:t></w:r></w:p></w:footnote><w:footnote><w:p><w:r><w:t>See below.</w:t></w:r></w:p></w:footnote></w:footnotes>'
+    archive(tmp_path / "n.docx", {"word/document.xml": f"<w:document {w}><w:body><w:p><w:r><w:t>One</w:t></w:r></w:p></w:body></w:document>", "word/footnotes.xml": notes})
+    assert read(spark, tmp_path, "docx") == [("paragraph", None, "One"), ("footnote", None, "See below.")]
+    bomb = '<!DOCTYPE x [<!ENTITY a "aaaaaaaaaa"><!ENTITY b "&a;&a;&a;&a;">]><s><row><c r="A1"><v>&b;</v></c></row></s>'
+    archive(tmp_path / "n.xlsx", {"xl/workbook.xml": '<w><sheet name="Fees"/></w>', "xl/worksheets/sheet1.xml": '<s><row><c r="A1"><v>7</v></c></row></s>'})
+    archive(tmp_path / "o.xlsx", {"xl/worksheets/sheet1.xml": bomb})
+    assert [(k, t[:12]) for k, _, t in read(spark, tmp_path, "xlsx")] == [("heading", "Fees"), ("table_row", "A1=7"), ("error", "ValueError: ")]
+    cell = "<a:tc><a:p><a:r><a:t>{}</a:t></a:r></a:p></a:tc>"
+    archive(tmp_path / "n.pptx", {
+        "ppt/slides/slide1.xml": f'<p:sld xmlns:p="p" xmlns:a="a"><a:p><a:r><a:t>x</a:t></a:r></a:p><a:tbl><a:tr>{cell.format("a")}{cell.format("b")}</a:tr></a:tbl></p:sld>',
+        "ppt/notesSlides/notesSlide1.xml": '<p:n xmlns:p="p" xmlns:a="a"><a:p><a:r><a:t>say</a:t></a:r></a:p></p:n>',
+    })
+    assert read(spark, tmp_path, "pptx") == [("paragraph", 1, "x"), ("table_row", 1, "a | b"), ("note", 1, "say")]
+
+
 def test_html_and_text(spark, tmp_path):
     (tmp_path / "a.html").write_text("<body>lost<h2>Head</h2><ul><li>one<li>two</ul><p>p &amp; q<script>x</script></p></body>")
     assert read(spark, tmp_path, "html")[:3] == [("heading", None, "Head"), ("list_item", None, "one"), ("list_item", None, "two")]
@@ -50,6 +67,12 @@ def test_markdown_delimited_json(spark, tmp_path):
     md = "---\nkey: v\n---\n# Head\ntext\n- item\n```\n# code\n```\n| a | b |\n"
     got = [(r.kind, r.level, r.text) for r in files.markdown_nodes(spark.createDataFrame([("m", md), ("n", None)], "path string, text string")).orderBy("line_no").collect()]
     assert got == [("property", None, "key: v"), ("heading", 1, "Head"), ("list_item", None, "- item"), ("code", None, "# code"), ("table", None, "| a | b |")]
+    # A fence in the first line, an open fence at the end, indented fences, no line end at the end, and front matter without an end.
+    for md, want in [
+        ("```\n# a\n```\n# b", [(1, "code"), (3, "heading")]), ("# a\n  ~~~\n- b\n\n# c", [(0, "heading"), (2, "code"), (3, "code"), (4, "code")]), ("---\nk: v\n- x", [(2, "list_item")]),
+        ("---\nk: v\nj: w\n---", [(1, "property"), (2, "property")]), ("```\n```\n```\nx\n", [(3, "code"), (4, "code")]), ("", []), ("# a\n" * 20_000, [(i, "heading") for i in range(20_000)]),
+    ]:
+        assert [(r.line_no, r.kind) for r in files.markdown_nodes(spark.createDataFrame([("m", md)], "path string, text string")).orderBy("line_no").collect()] == want
     (tmp_path / "a.csv").write_text("x,y\n1,\n2,b\n")
     assert {tuple(r) for r in files.delimited_nodes(spark, str(tmp_path / "a.csv")).collect()} == {("header", "x | y"), ("row", "1 | "), ("row", "2 | b")}
     (tmp_path / "a.jsonl").write_text('{"a": 1, "b": {"c": "d"}}\nbad{\n')
@@ -83,8 +106,35 @@ def test_streams(spark, tmp_path):
     plain = spark.readStream.schema(schema).parquet(f"{tmp_path}/events")
     q = plain.writeStream.foreachBatch(ledger.keep_latest(f"file://{tmp_path}/latest", ["user_id"], ["ts", "event_id"])).option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert {(r.user_id, r.event_id) for r in spark.read.parquet(f"{tmp_path}/latest/v0").collect()} == {(1, 2), (2, 3)}
+    assert {(r.user_id, r.event_id) for r in ledger.latest_state(spark, f"file://{tmp_path}/latest", schema).collect()} == {(1, 2), (2, 3)}
     items = spark.createDataFrame([(1, 5), (2, None), (3, 9)], "id int, until int")
     assert [r.id for r in ledger.expired(items, "until", F.lit(5)).collect()] == [1]
 
 
+
+
+def test_latest_state_loses_nothing(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/state", "k string, at int, v string"
+    merge = ledger.keep_latest(path, ["k"], ["at"], buckets=4)
+    put = lambda batch, *rows: merge(spark.createDataFrame(rows, schema), batch)
+    state = lambda: {tuple(r) for r in ledger.latest_state(spark, path, schema).collect()}
+    assert state() == set()
+    put(0, ("a", 1, "x"), ("b", 5, "y"), (None, 1, "n"))
+    put(2, ("c", 1, "z"), ("b", 4, "late"))
+    want = {("a", 1, "x"), ("b", 5, "y"), ("c", 1, "z"), (None, 1, "n")}
+    assert state() == want
+    put(2, ("c", 1, "z"), ("b", 4, "late"))
+    assert state() == want
+    put(0, ("a", 3, "again"))
+    assert state() == want - {("a", 1, "x")} | {("a", 3, "again")}
+    put(1)
+    assert state() == want - {("a", 1, "x")} | {("a", 3, "again")}
+    assert len(list((tmp_path / "state").glob("state-*.json"))) == 2
+
+
+def test_release_pointer_is_replaced_in_one_step(spark, tmp_path):
+    root = f"file://{tmp_path}/r"
+    for i in range(3):
+        tables.write_release(spark, root, {"t": spark.range(i + 1)})
+        assert tables.read_release(spark, root, "t").count() == i + 1
+    assert not list((tmp_path / "r").glob(".new-*"))
