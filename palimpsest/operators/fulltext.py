@@ -17,50 +17,69 @@ from palimpsest.plans.session import cut, small
 K1, B = 1.2, 0.75
 
 
-def _weighted(items: DataFrame, item: str, weights: dict[str, float], *more: str) -> DataFrame:
-    """(item_id, x, d, more): the weighted terms of each item, and how many they are. Null columns are empty."""
+def asked_terms(queries: DataFrame, make=terms) -> DataFrame:
+    """(query_id, term): the distinct terms of queries (query_id, text), as a table. ``make`` takes a text to its terms."""
+    return cut(queries.select("query_id", F.explode(F.array_distinct(make(F.col("text")))).alias("term")))
 
-    def terms_of(column: str, weight: float) -> Column:
-        return F.transform(terms(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
 
-    every = F.concat(*[terms_of(c, w) for c, w in weights.items() if w])
-    return items.select(F.col(item).alias("item_id"), every.alias("x"), *more).select("item_id", "x", F.size("x").cast("double").alias("d"), *more)
+def postings(asked: DataFrame, items: DataFrame, item: str, columns: list[str], *more: str, make=terms) -> DataFrame:
+    """(item_id, term, more, f, d) of the asked terms, as a table: counts of the term and lengths of the item, by column.
 
+    One pass over the texts, each tokenized once; it serves every weighting of the columns. Each item has one more row
+    with the empty term, so that the corpus' size and mean length come from this table too. Null columns are empty.
+    """
 
-def postings(weighted: DataFrame, asked: DataFrame, *more: str) -> DataFrame:
-    """(item_id, term, more, f, d): weighted frequency of the asked (distinct) terms in each item, and the item's length."""
-    each = weighted.select("item_id", "d", *more, F.explode("x").alias("x")).select("item_id", "d", *more, "x.term", "x.w")
-    return each.join(small(asked), "term", "left_semi").groupBy("item_id", "term", *more).agg(F.sum("w").alias("f"), F.max("d").alias("d"))
+    def terms_of(i: int) -> Column:
+        return F.transform(make(F.col(columns[i])), lambda t: F.struct(t.alias("term"), F.lit(i).alias("c")))
 
+    n = range(len(columns))
+    listed = items.select(F.col(item).alias("item_id"), *more, *[terms_of(i).alias(f"x{i}") for i in n])
+    empty = F.array(F.struct(F.lit("").alias("term"), F.lit(-1).alias("c")))
+    each = listed.select("item_id", *more, F.array(*[F.size(f"x{i}") for i in n]).alias("d"), F.explode(F.concat(empty, *[F.col(f"x{i}") for i in n])).alias("x"))
+    wanted = asked.select("term").distinct()
+    wanted = wanted.unionByName(wanted.sparkSession.createDataFrame([("",)], "term string"))
+    kept = each.select("item_id", *more, "d", "x.term", "x.c").join(small(wanted), "term", "left_semi")
+    return cut(kept.groupBy("item_id", "term", *more).agg(F.array(*[F.count_if(F.col("c") == i) for i in n]).alias("f"), F.max("d").alias("d")))
 
-def bm25(queries: DataFrame, items: DataFrame, item: str, weights: dict[str, float], k: int, group: str | None = None) -> DataFrame:
-    """Best ``k`` items of each query (query_id, text) by BM25: query_id, item_id, score (6 decimals), rank.
 
-    With ``group``, a column of ``items``, the best item of each of the best ``k`` groups of all items found, and that
-    column too; null groups are one group.
-    ``weights`` multiply the counts in the columns. Terms count once per query. Equal scores rank by item_id. Queries and
-    items without terms find nothing. Item ids are unique. The inverse document frequency has a floor of 1e-6.
+def score(asked: DataFrame, index: DataFrame, weights: list[float], k: int, group: str | None = None) -> DataFrame:
+    """Best ``k`` items of each query by BM25 over ``postings``, whose columns have the ``weights``; as ``bm25``.
+
+    A column of weight 0 takes no part, neither in counts nor in lengths.
     """
-    asked = cut(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")))
-    more = [group] if group else []
-    weighted = _weighted(items, item, weights, *more)
-    hits = cut(postings(weighted, asked.select("term").distinct(), *more))
-    whole = F.broadcast(weighted.agg(F.count("*").alias("n_items"), F.avg("d").alias("mean")))  # one row
+    used = [i for i, w in enumerate(weights) if w]
+    f = sum((F.col("f")[i] * float(weights[i]) for i in used), F.lit(0.0))
+    d = sum((F.col("d")[i] for i in used), F.lit(0)).cast("double")
+    weighted = index.select("item_id", "term", *[group] * bool(group), f.alias("f"), d.alias("d"))
+    hits = weighted.where("term <> '' and f > 0")
+    whole = F.broadcast(weighted.where("term = ''").agg(F.count("*").alias("n_items"), F.avg("d").alias("mean")))  # one row
     df = hits.groupBy("term").agg(F.count("*").alias("n"))
     idf = F.greatest(F.ln((F.col("n_items") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     per_term = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.col("mean")))
-    score = F.round(F.sum(per_term), 6).alias("score")
+    total = F.round(F.sum(per_term), 6).alias("score")
+    idfs = small(asked.join(df, "term").join(whole))
     if not group:
-        scored = hits.join(small(asked), "term").join(df, "term").join(whole)
-        return top(scored.groupBy("query_id", "item_id").agg(score), k)
+        return top(hits.join(idfs, "term").groupBy("query_id", "item_id").agg(total), k)
     # An item's postings lie in one bucket, where it is scored; of a bucket the best k groups of each query go on, as a
     # group's best item is the best of its bucket too and at most k - 1 groups there are better.
-    buckets = 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = hits.withColumn("_bucket", F.pmod(F.xxhash64("item_id"), F.lit(buckets)).cast("int")).repartitionById(buckets, "_bucket")
-    scored = spread.join(small(asked.join(df, "term").join(whole)), "term").groupBy("_bucket", "query_id", group, "item_id").agg(score)
+    scored = spread.join(idfs, "term").groupBy("_bucket", "query_id", group, "item_id").agg(total)
     return diverse(diverse(scored, group, k, "_bucket"), group, k).drop("_bucket")
 
 
+def bm25(queries: DataFrame, items: DataFrame, item: str, weights: dict[str, float], k: int, group: str | None = None) -> DataFrame:
+    """Best ``k`` items of each query (query_id, text) by BM25: query_id, item_id, score (6 decimals), rank.
+
+    With ``group``, a column of ``items``, the best item of each of the best ``k`` groups of all items found, and that
+    column too; null groups are one group.
+    ``weights`` multiply the counts in the columns. Terms count once per query. Equal scores rank by item_id. Queries and
+    items without terms find nothing. Item ids are unique. The inverse document frequency has a floor of 1e-6.
+    """
+    asked = asked_terms(queries)
+    return score(asked, postings(asked, items, item, list(weights), *[group] * bool(group)), list(weights.values()), k, group)
+
+
 def top(scores: DataFrame, k: int) -> DataFrame:
     """Best ``k`` per query by score, then item_id, with their rank. Spark keeps k per task before the shuffle (window group limit)."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
@@ -76,8 +95,8 @@ def osa_is_one(a: Column, b: Column) -> Column:
     return (a != b) & ((F.levenshtein(a, b, 1) == 1) | swap)
 
 
-def typo_matches(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(word, candidate): vocabulary entries at distance one that begin with the same three letters.
+def typo_matches(words: DataFrame, vocabulary: DataFrame, prefix: int = 0) -> DataFrame:
+    """(word, candidate): vocabulary entries at distance one, whose first ``prefix`` letters are the same.
 
     Both inputs have distinct ``word``. The words meet on their forms with one letter deleted, an equi-join, and are then
     checked; words under four letters have no candidates.
@@ -85,10 +104,10 @@ def typo_matches(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     def forms(df: DataFrame, name: str) -> DataFrame:
         w = F.col("word")
-        less = F.transform(F.sequence(F.lit(4), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+        less = F.transform(F.sequence(F.lit(prefix + 1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
         return df.where(F.length("word") >= 4).withColumn("form", F.explode(F.array_distinct(F.concat(F.array(w), less)))).withColumnRenamed("word", name)
 
-    return forms(words, "word").join(forms(vocabulary, "candidate"), "form").where(osa_is_one(F.col("word"), F.col("candidate"))).select("word", "candidate").distinct()
+    return forms(words, "word").join(forms(vocabulary, "candidate"), "form").where(osa_is_one(F.col("word"), F.col("candidate"))).where(F.substring("word", 1, prefix) == F.substring("candidate", 1, prefix)).select("word", "candidate").distinct()
 
 
 def mentions(names: DataFrame, texts: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from palimpsest.plans.session import ship
+
 # Fixed value: the constant of reciprocal-rank fusion.
 RANK_CONSTANT = 60
 
@@ -83,6 +85,7 @@ def greedy_cover(candidates: DataFrame, most_items: int, most_size: int) -> Data
             out.append((group.query_id.iloc[0], i, len(out) + 1, -adds))
         return pd.DataFrame(out, columns=["query_id", "item_id", "place", "adds"])
 
+    ship(candidates.sparkSession)
     kinds = dict(candidates.dtypes)
     schema = f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, place int, adds int"
     return candidates.withColumnRenamed("size", "size_").groupBy("query_id").applyInPandas(pick, schema)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.plans.session import cut, discard
+from palimpsest.functions.text import compact_text
+from palimpsest.operators.temporal import following
+from palimpsest.plans.session import cut, cut_counted, discard
 
 # Freshness from best to worst.
 FRESHNESS = ["fresh", "unknown", "stale", "invalidated"]
@@ -55,27 +57,42 @@ def bridges(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return out.groupBy(F.col("src").alias("node"), F.col("l1").alias("label")).agg(F.count_distinct("l2").alias("outside"))
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, label): weighted label propagation, all nodes at once, ties to the least label, for at most ``rounds`` rounds.
+def communities(edges: DataFrame, rounds: int = 25) -> DataFrame:
+    """(node, label, settled): weighted label propagation, all nodes at once, ties to the least label, for at most ``rounds`` rounds.
 
     ``edges``: src, dst, weight; both directions count, loops don't. Labels are node names. Unlike the one-by-one order,
     two-coloured parts may swing; a node then keeps the smaller of its own and the winning label on odd rounds.
+    ``settled`` tells if the node's neighbours voted for its label when the last round began; propagation ends when all
+    nodes are settled, and nodes that are not when the rounds run out are shown by it.
     """
     clean = edges.where("src is not null and dst is not null and src <> dst")
     both = clean.select("src", "dst", "weight").unionByName(clean.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     links = cut(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
-    now = cut(links.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
+    now = cut(links.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("label"), F.lit(False).alias("settled")))
     for i in range(rounds):
-        votes = links.join(now.withColumnRenamed("node", "dst"), "dst").groupBy("src", "label").agg(F.sum("weight").alias("w"))
+        votes = links.join(now.select(F.col("node").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.round(F.sum("weight"), 9).alias("w"))
         # The greatest weight, then the least label.
         best = votes.groupBy("src").agg(F.max("w").alias("w")).join(votes, ["src", "w"]).groupBy(F.col("src").alias("node")).agg(F.min("label").alias("won"))
         label = F.least("won", "label") if i % 2 else F.col("won")
-        new = cut(now.join(best, "node").select("node", label.alias("label"), (label != F.col("label")).alias("moved")))
+        new, moving = cut_counted(now.join(best, "node").select("node", label.alias("label"), (F.col("won") == F.col("label")).alias("settled")), "not settled")
         discard(now)
         now = new
-        if now.where("moved").isEmpty():
+        if not moving:
             break
-    return now.select("node", "label")
+    return now
+
+
+def name_bridges(names: DataFrame, letters: int = 8, weight: float = 0.35) -> DataFrame:
+    """(src, dst, weight): weak edges between nodes (node, name) whose plain names begin with the same ``letters`` letters.
+
+    Each node is tied to the next one of its bucket, so a bucket of any size gives one edge per node and not one per
+    pair. Names under three letters, null names and null nodes have none; repeated rows count once.
+    """
+    plain = F.substring(compact_text(F.col("name")), 1, letters)
+    keyed = names.where("node is not null").select("node", plain.alias("bucket")).where(F.length("bucket") >= 3).distinct()
+    # Nodes are put in shards of their hash, so that a bucket of very many nodes is no single group.
+    put = keyed.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(1024)))
+    return following(put, "bucket", "shard", "node", "dst").where("dst is not null").select(F.col("node").alias("src"), "dst", F.lit(weight).alias("weight"))
 
 
 def wiki_links(pages: DataFrame) -> DataFrame:
@@ -89,9 +106,49 @@ def wiki_links(pages: DataFrame) -> DataFrame:
 
 
 def resolve_links(links: DataFrame, registry: DataFrame) -> DataFrame:
-    """(page_id, place, target, candidates, status) against registry (name, page_id): resolved, ambiguous or missing."""
-    names = registry.select(F.lower("name").alias("key"), F.col("page_id").alias("to_page")).distinct().groupBy("key").agg(F.array_sort(F.collect_set("to_page")).alias("candidates"))
+    """(page_id, place, target, candidates, first_candidate, status) against registry (name, page_id): resolved, ambiguous or missing.
+
+    ``candidates`` is the number of pages with the name and ``first_candidate`` the least of them; they are counted, not
+    listed, so a name of very many pages is no large row.
+    """
+    names = registry.select(F.lower("name").alias("key"), F.col("page_id").alias("to_page")).distinct().groupBy("key").agg(F.count("to_page").alias("candidates"), F.min("to_page").alias("first_candidate"))
     keyed = links.withColumn("key", F.lower(F.trim(F.regexp_extract("target", r"^([^|#]+)", 1))))
-    joined = keyed.join(names, "key", "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
-    status = F.when(F.size("candidates") == 1, "resolved").when(F.size("candidates") > 1, "ambiguous").otherwise("missing")
-    return joined.select("page_id", "place", "target", "candidates", status.alias("status"))
+    joined = keyed.join(names, "key", "left").fillna(0, ["candidates"])
+    status = F.when(F.col("candidates") == 1, "resolved").when(F.col("candidates") > 1, "ambiguous").otherwise("missing")
+    return joined.select("page_id", "place", "target", "candidates", "first_candidate", status.alias("status"))
+
+
+def backlinks(links: DataFrame, cursor: tuple[str, str] | None = None, limit: int = 100) -> DataFrame:
+    """(to_page, from_page, links): a page of the listing of backlinks after the keyset ``cursor`` (to_page, from_page).
+
+    ``links``: resolved links (page_id, to_page). One aggregation, then the first ``limit`` rows after the cursor in
+    order, of which each task keeps its own; rows without an end are left out.
+    """
+    counted = links.where("page_id is not null and to_page is not null").groupBy("to_page", F.col("page_id").alias("from_page")).agg(F.count("*").alias("links"))
+    if cursor:
+        a, b = F.lit(cursor[0]), F.lit(cursor[1])
+        counted = counted.where((F.col("to_page") > a) | (F.col("to_page") == a) & (F.col("from_page") > b))
+    return counted.orderBy("to_page", "from_page").limit(limit)
+
+
+def link_degrees(links: DataFrame) -> DataFrame:
+    """(page_id, outlinks, backlinks): distinct pages that a page links to, and that link to it."""
+    pairs = links.where("page_id is not null and to_page is not null").select("page_id", "to_page").distinct()
+    ends = pairs.select("page_id", F.lit(1).alias("o"), F.lit(0).alias("b")).unionByName(pairs.select(F.col("to_page").alias("page_id"), F.lit(0).alias("o"), F.lit(1).alias("b")))
+    return ends.groupBy("page_id").agg(F.sum("o").alias("outlinks"), F.sum("b").alias("backlinks"))
+
+
+def relation_paths(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
+    """(seed, node, hop, via): the nodes reached from each seed with the fewest steps, and of the shortest paths the least one.
+
+    ``via`` is the path's edge ids (column edge_id of ``edges``: src, dst, edge_id) joined by ``>``. A node that is
+    reached is not passed again, so the rows are at most those of ``k_hop``; null ends are ignored.
+    """
+    links = edges.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.min("edge_id").alias("edge_id"))
+    seen = frontier = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"), F.lit("").alias("via")).distinct()
+    for hop in range(1, hops + 1):
+        via = F.concat("via", F.when(F.col("via") == "", "").otherwise(">"), "edge_id")
+        step = frontier.join(links, F.col("node") == F.col("src")).groupBy("seed", F.col("dst").alias("node")).agg(F.min(via).alias("via"))
+        frontier = cut(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(hop).alias("hop"), "via"))
+        seen = seen.unionByName(frontier)
+    return seen.where("hop > 0")

@@ -35,29 +35,41 @@ def running_count(df: DataFrame, key: str, order: str, flag: Column, name: str,
     return both.withColumn(name, F.col("_inside") + F.coalesce("_before", F.lit(0))).drop(key, "_bucket", "_b", "_flag", "_inside", "_before").withColumnRenamed("_key", key)
 
 
-def segments(blocks: DataFrame, most: int = SEGMENT_CHARS) -> DataFrame:
+def segments(blocks: DataFrame, most: int = SEGMENT_CHARS, stretch: int = ORDINALS_PER_BUCKET) -> DataFrame:
     """Blocks (document_id, ordinal, block_id, text) to segments: document_id, grp, part, n_blocks, n_chars, first_ordinal, last_ordinal, segment_id.
 
     A group begins at a block that starts with an article label or heading; its blocks are packed in order into parts
-    of at most ``most`` characters, a line end between two; a longer block is a part of its own. Repeated blocks count
-    once, null texts as empty.
+    of at most ``most`` characters, a line end between two; a longer block is cut every ``most`` characters first. A part
+    does not go over a border of ``stretch`` ordinals, so what is packed in one go is bounded however long a group is;
+    parts are numbered over the whole group. Repeated blocks count once, null texts as empty; each block without a
+    document is a document of its own.
     """
-    once = blocks.groupBy("document_id", "ordinal", "block_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
-    numbered = running_count(once, "document_id", "ordinal", F.col("text").rlike(LABEL), "grp")
-    listed = numbered.groupBy("document_id", "grp").agg(F.array_sort(F.collect_list(F.struct("ordinal", "block_id", F.length("text").alias("n")))).alias("x"))
-    start = F.struct(F.array().cast("array<struct<part:int,ordinal:int,n:int>>").alias("out"), F.lit(1).alias("part"), F.lit(0).alias("used"))
+    key = F.coalesce("document_id", F.concat(F.lit("?"), F.col("block_id")), F.lit("?")).alias("_doc")
+    once = blocks.groupBy(key, "document_id", "ordinal", "block_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    numbered = running_count(once, "_doc", "ordinal", F.col("text").rlike(LABEL), "grp")
+    sizes = F.when(F.length("text") == 0, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / most).cast("int")), lambda i: F.least(F.lit(most), F.length("text") - i * most)))
+    keys = ["_doc", "document_id", "grp"]
+    pieces = numbered.select(*keys, F.floor(F.coalesce("ordinal", F.lit(0)) / stretch).alias("stretch"), "ordinal", "block_id", F.posexplode(sizes).alias("i", "n"))
+    listed = pieces.groupBy(*keys, "stretch").agg(F.array_sort(F.collect_list(F.struct("ordinal", "block_id", "i", "n"))).alias("x"))
+    start = F.struct(F.array().cast("array<struct<part:int,ordinal:int,n:int>>").alias("out"), F.lit(1).alias("part"), F.lit(-1).alias("used"))
 
     def put(acc: Column, b: Column) -> Column:
-        fits = (acc["used"] == 0) | (acc["used"] + 1 + b["n"] <= most)
+        fits = (acc["used"] < 0) | (acc["used"] + 1 + b["n"] <= most)
         part = F.when(fits, acc["part"]).otherwise(acc["part"] + 1)
-        used = F.when(fits, acc["used"] + F.when(acc["used"] > 0, 1).otherwise(0) + b["n"]).otherwise(b["n"])
+        used = F.when(fits & (acc["used"] >= 0), acc["used"] + 1 + b["n"]).otherwise(b["n"])
         return F.struct(F.array_append(acc["out"], F.struct(part.alias("part"), b["ordinal"].alias("ordinal"), b["n"].alias("n"))).alias("out"), part.alias("part"), used.alias("used"))
 
-    packed = listed.select("document_id", "grp", F.explode(F.aggregate("x", start, put)["out"]).alias("p"))
-    out = packed.groupBy("document_id", "grp", F.col("p.part").alias("part")).agg(
+    packed = listed.select(*keys, "stretch", F.explode(F.aggregate("x", start, put)["out"]).alias("p"))
+    out = packed.groupBy(*keys, "stretch", F.col("p.part").alias("inner")).agg(
         F.count("*").alias("n_blocks"), (F.sum("p.n") + F.count("*") - 1).cast("long").alias("n_chars"), F.min("p.ordinal").alias("first_ordinal"), F.max("p.ordinal").alias("last_ordinal")
     )
-    return out.withColumn("segment_id", stable_id("seg", F.col("document_id"), F.col("grp"), F.col("part")))
+    # One row per stretch: the parts before it in its group.
+    ends = out.groupBy("_doc", "grp", "stretch").agg(F.max("inner").alias("parts"))
+    before = F.coalesce(F.sum("parts").over(Window.partitionBy("_doc", "grp").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select("_doc", "grp", "stretch", before.alias("before"))
+    out = out.join(ends, ["_doc", "grp", "stretch"]).withColumn("part", (F.col("before") + F.col("inner")).cast("int"))
+    out = out.select("document_id", "grp", "part", "n_blocks", "n_chars", "first_ordinal", "last_ordinal", "_doc")
+    return out.withColumn("segment_id", stable_id("seg", F.col("_doc"), F.col("grp"), F.col("part"))).drop("_doc")
 
 
 def sections(df: DataFrame, keys: list[str], text: str) -> DataFrame:

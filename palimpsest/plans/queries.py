@@ -85,6 +85,12 @@ def _unique_segments(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "segments").select("segment_id", *_SEGMENT_WEIGHTS)
 
 
+def _segment_index(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """Terms of the questions and their postings in the segments, tokenized once for all weightings."""
+    asked = fulltext.asked_terms(_questions(spark, base))
+    return asked, fulltext.postings(asked, _unique_segments(spark, base), "segment_id", list(_SEGMENT_WEIGHTS))
+
+
 _QUESTIONS = "SELECT item_id AS query_id, question AS text FROM eval_items"
 
 
@@ -133,9 +139,9 @@ def eval_metrics(spark, base):
 )
 def rrf_fusion(spark, base):
     """Reciprocal-rank fusion of a body channel and a label channel over segments."""
-    asked, items = _questions(spark, base), _unique_segments(spark, base)
-    body = fulltext.bm25(asked, items, "segment_id", _SEGMENT_WEIGHTS, 20).withColumn("channel", F.lit("body"))
-    label = fulltext.bm25(asked, items, "segment_id", {"heading": 1.0, "article_label": 1.0}, 20).withColumn("channel", F.lit("label"))
+    asked, index = _segment_index(spark, base)
+    body = fulltext.score(asked, index, list(_SEGMENT_WEIGHTS.values()), 20).withColumn("channel", F.lit("body"))
+    label = fulltext.score(asked, index, [1.0, 1.0, 0.0], 20).withColumn("channel", F.lit("label"))
     return fusion.reciprocal_rank(body.unionByName(label), {"body": 1.5, "label": 1.0})
 
 
@@ -183,7 +189,7 @@ def typo_match(spark, base):
     """Words of titles one typing error away from a word of the general codes."""
     words = lambda df, c: df.select(F.explode(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{4,}"), F.lit(0))).alias("word"))
     core = table(spark, base, "core_documents")
-    return fulltext.typo_matches(words(table(spark, base, "source_documents"), "title").distinct(), words(core, "title").union(words(core, "issuer")).distinct())
+    return fulltext.typo_matches(words(table(spark, base, "source_documents"), "title").distinct(), words(core, "title").union(words(core, "issuer")).distinct(), prefix=3)
 
 
 # --- dense ----------------------------------------------------------------------------------------------------------
@@ -739,9 +745,9 @@ def document_representatives(spark, base):
 )
 def channel_agreement(spark, base):
     """How many of the 10 best segments of two ways of ranking are the same."""
-    asked, items = _questions(spark, base), _unique_segments(spark, base)
-    a = fulltext.bm25(asked, items, "segment_id", _SEGMENT_WEIGHTS, 10).select("query_id", "item_id", F.lit(1).alias("a"))
-    b = fulltext.bm25(asked, items, "segment_id", {"text": 1.0}, 10).select("query_id", "item_id", F.lit(1).alias("b"))
+    asked, index = _segment_index(spark, base)
+    a = fulltext.score(asked, index, list(_SEGMENT_WEIGHTS.values()), 10).select("query_id", "item_id", F.lit(1).alias("a"))
+    b = fulltext.score(asked, index, [0.0, 0.0, 1.0], 10).select("query_id", "item_id", F.lit(1).alias("b"))
     return a.join(b, ["query_id", "item_id"], "full_outer").groupBy("query_id").agg(F.count("a").alias("weighted"), F.count("b").alias("plain"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"))
 
 

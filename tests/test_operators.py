@@ -38,7 +38,9 @@ def test_typos(spark):
     assert df.where(fulltext.osa_is_one(F.col("a"), F.col("b")) != F.col("w")).count() == 0
     words = lambda *w: spark.createDataFrame([(x,) for x in w], "word string")
     got = fulltext.typo_matches(words("tribunal", "cat", "court"), words("tribunla", "tribunals", "court", "cuort", "courts"))
-    assert {tuple(r) for r in got.collect()} == {("tribunal", "tribunla"), ("tribunal", "tribunals"), ("court", "courts")}
+    assert {tuple(r) for r in got.collect()} == {("tribunal", "tribunla"), ("tribunal", "tribunals"), ("court", "courts"), ("court", "cuort")}
+    assert {tuple(r) for r in fulltext.typo_matches(words("court"), words("cuort", "courts", "ourt", "xcourt"), prefix=3).collect()} == {("court", "courts")}
+    assert {tuple(r) for r in fulltext.typo_matches(words("court"), words("cuort", "ourt", "xcourt")).collect()} == {("court", "cuort"), ("court", "ourt"), ("court", "xcourt")}
 
 
 def test_bm25_edges(spark):
