@@ -70,6 +70,7 @@ def greedy_cover(candidates: DataFrame, most_items: int, most_size: int) -> Data
 
     ``candidates``: the bounded list of each query (query_id, item_id, rank, size, duties array). Each step takes, of the
     items that fit, the one adding most uncovered duties, then the better rank, then item_id; it ends when none adds.
+    Null sizes count 0, null duties are none.
     """
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
@@ -88,7 +89,8 @@ def greedy_cover(candidates: DataFrame, most_items: int, most_size: int) -> Data
     ship(candidates.sparkSession)
     kinds = dict(candidates.dtypes)
     schema = f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, place int, adds int"
-    return candidates.withColumnRenamed("size", "size_").groupBy("query_id").applyInPandas(pick, schema)
+    plain = candidates.select("query_id", "item_id", "rank", F.coalesce("size", F.lit(0)).alias("size_"), F.coalesce("duties", F.array().cast("array<string>")).alias("duties"))
+    return plain.groupBy("query_id").applyInPandas(pick, schema)
 
 
 def diverse(ranked: DataFrame, group: str, k: int, *per: str) -> DataFrame:

@@ -213,8 +213,7 @@ def dense_topk_cosine(spark, base):
 @query(
     """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, b.label, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
       FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
-      best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) <= 50),
-      one AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, item_id) = 1)
+      one AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, item_id) = 1)
       SELECT query_id, item_id, label, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INT) AS rank FROM one QUALIFY rank <= 5"""
 )
 def dense_group_diversity(spark, base):
@@ -376,8 +375,8 @@ def coverage_distinct_counts(spark, base):
 
 
 @query(
-    """SELECT document_id, count(*) AS blocks, round(sum(CASE WHEN confidence <= 1 THEN confidence * length(text) END) / nullif(sum(CASE WHEN confidence <= 1 THEN length(text) END), 0), 6) AS confidence
-      FROM document_blocks WHERE page IS NOT NULL GROUP BY document_id"""
+    """WITH b AS (SELECT document_id, length(text) AS n, CASE WHEN confidence BETWEEN 0 AND 1 THEN confidence WHEN confidence > 1 AND confidence <= 100 THEN confidence / 100 END AS c FROM document_blocks WHERE page IS NOT NULL)
+      SELECT document_id, count(*) AS blocks, round(sum(c * n) / nullif(sum(CASE WHEN c IS NOT NULL THEN n END), 0), 6) AS confidence FROM b GROUP BY document_id"""
 )
 def weighted_confidence(spark, base):
     """Mean confidence of scanned documents weighted by characters; null where none is known.
@@ -487,7 +486,7 @@ def move_detection(spark, base):
 
 @query(
     f"""WITH {_HELD}, v AS (SELECT document_id, source_key, lead(document_id) OVER (PARTITION BY source_key ORDER BY {_date_sql('effective_from')} NULLS FIRST, document_id) AS next_id FROM held WHERE source_key IS NOT NULL),
-      s AS (SELECT document_id, article_label, min(text_sha256) AS h FROM segments WHERE article_label IS NOT NULL GROUP BY ALL),
+      s AS (SELECT document_id, article_label, coalesce(string_agg(DISTINCT text_sha256, ' ' ORDER BY text_sha256), '') AS h FROM segments WHERE article_label IS NOT NULL GROUP BY ALL),
       o AS (SELECT v.document_id, v.next_id, s.article_label, s.h FROM v JOIN s USING (document_id) WHERE next_id IS NOT NULL), n AS (SELECT v.document_id, v.next_id, s.article_label, s.h FROM v JOIN s ON s.document_id = v.next_id)
       SELECT coalesce(o.document_id, n.document_id) AS old_id, coalesce(o.next_id, n.next_id) AS new_id, coalesce(o.article_label, n.article_label) AS article_label,
         CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' WHEN o.h = n.h THEN 'unchanged' ELSE 'changed' END AS change
@@ -570,7 +569,21 @@ def bridge_nodes(spark, base):
     return graph.bridges(_edges(spark, base), labels)
 
 
-@query()
+def _communities_sql(rounds: int) -> str:
+    """Label propagation with every round spelled out; at a fixed point further rounds change nothing."""
+    parts = [
+        "e AS (SELECT subject_document_id AS src, object_document_id AS dst, CASE WHEN lower(trim(predicate)) IN ('replaces', 'amends') THEN 2.0 ELSE 1.0 END AS weight FROM evidence_relations WHERE subject_document_id IS NOT NULL AND object_document_id IS NOT NULL AND subject_document_id <> object_document_id)",
+        "links AS MATERIALIZED (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM e UNION ALL SELECT dst, src, weight FROM e) GROUP BY ALL)",
+        "n0 AS (SELECT DISTINCT src AS node, src AS label, false AS settled FROM links)",
+    ]
+    for i in range(rounds):
+        label = "least(won, n.label)" if i % 2 else "won"
+        votes = f"SELECT src, label, round(sum(weight), 9) AS w FROM links JOIN n{i} ON n{i}.node = links.dst GROUP BY ALL"
+        parts.append(f"n{i + 1} AS MATERIALIZED (SELECT n.node, {label} AS label, won = n.label AS settled FROM n{i} n JOIN (SELECT src, arg_min(label, (-w, label)) AS won FROM ({votes}) GROUP BY src) v ON v.src = n.node)")
+    return f"WITH {', '.join(parts)} SELECT node, label, settled FROM n{rounds}"
+
+
+@query(_communities_sql(25))
 def relation_communities(spark, base):
     """Communities of documents by weighted label propagation over relations."""
     rel = table(spark, base, "evidence_relations")
@@ -603,7 +616,20 @@ def heading_sections(spark, base):
     return segment.sections(table(spark, base, "documents"), ["doc_id"], "text")
 
 
-@query()
+def _packed_sql() -> str:
+    fits = f"w.used + 1 + r.n <= {segment.SEGMENT_CHARS}"
+    return f"""WITH RECURSIVE b AS (SELECT coalesce(document_id, '?' || block_id, '?') AS doc, document_id, coalesce(ordinal, 0) AS ordinal, block_id, max(coalesce(text, '')) AS text FROM document_blocks GROUP BY ALL),
+      g AS (SELECT *, CAST(sum(CASE WHEN regexp_matches(text, '{segment.LABEL}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY ordinal RANGE UNBOUNDED PRECEDING) AS BIGINT) AS grp FROM b),
+      p AS (SELECT doc, document_id, grp, ordinal // 1000 AS stretch, ordinal, block_id, i, least({segment.SEGMENT_CHARS}, length(text) - i * {segment.SEGMENT_CHARS}) AS n FROM (SELECT *, unnest(range(0, greatest(1, (length(text) + {segment.SEGMENT_CHARS} - 1) // {segment.SEGMENT_CHARS}))) AS i FROM g)),
+      r AS (SELECT *, row_number() OVER (PARTITION BY doc, grp, stretch ORDER BY ordinal, block_id, i) AS rn FROM p),
+      w AS (SELECT doc, document_id, grp, stretch, ordinal, n, rn, 1 AS k, n AS used FROM r WHERE rn = 1
+        UNION ALL SELECT r.doc, r.document_id, r.grp, r.stretch, r.ordinal, r.n, r.rn, CASE WHEN {fits} THEN w.k ELSE w.k + 1 END, CASE WHEN {fits} THEN w.used + 1 + r.n ELSE r.n END FROM w JOIN r ON r.doc = w.doc AND r.grp = w.grp AND r.stretch = w.stretch AND r.rn = w.rn + 1),
+      s AS (SELECT doc, document_id, grp, stretch, k, count(*) AS n_blocks, CAST(sum(n) + count(*) - 1 AS BIGINT) AS n_chars, min(ordinal) AS first_ordinal, max(ordinal) AS last_ordinal FROM w GROUP BY ALL),
+      o AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc, grp ORDER BY stretch, k) AS INT) AS part FROM s)
+      SELECT document_id, grp, part, n_blocks, n_chars, first_ordinal, last_ordinal, 'seg_' || substr(sha256(doc || chr(0) || grp || chr(0) || part), 1, 24) AS segment_id FROM o"""
+
+
+@query(_packed_sql())
 def packed_segments(spark, base):
     """Blocks packed to segments of at most 4,500 characters, a new group at each article or heading."""
     return segment.segments(table(spark, base, "document_blocks").select("document_id", "ordinal", "block_id", "text"))
@@ -631,19 +657,41 @@ def token_estimate(spark, base):
 # --- selection ------------------------------------------------------------------------------------------------------
 
 
+_CANDIDATES = f"""{_bm25_sql(_QUESTIONS, 'segments', 'segment_id', _SEGMENT_WEIGHTS, 20)},
+      cand AS (SELECT r.query_id, r.item_id, r.rank, coalesce(length(s.text), 0) AS size, list_distinct({_terms_sql('s.text')}) AS t FROM ranked r JOIN segments s ON s.segment_id = r.item_id)"""
+_FITS = "len(w.ids) < 5 AND w.used + c.size <= 1500"
+
+
+def _cover_sql(steps: int, most: int) -> str:
+    """Greedy cover, each step spelled out: of the items that fit the one adding most uncovered terms."""
+    one = "SELECT {state}, c.item_id, c.size, list_filter(d.duties, lambda x: NOT list_contains({covered}, x)) AS news FROM {before} p JOIN cand c ON c.query_id = p.query_id JOIN duties d ON d.query_id = c.query_id AND d.item_id = c.item_id WHERE c.size <= p.room AND len(news) > 0 QUALIFY row_number() OVER (PARTITION BY p.query_id ORDER BY len(news) DESC, c.rank, c.item_id) = 1"
+    parts = [f"s0 AS (SELECT DISTINCT query_id, CAST([] AS VARCHAR[]) AS covered, {most} AS room FROM cand)"]
+    for i in range(1, steps + 1):
+        pick = one.format(state="p.query_id, p.covered, p.room", covered="p.covered", before=f"s{i - 1}")
+        parts.append(f"s{i} AS MATERIALIZED (SELECT query_id, covered || news AS covered, room - size AS room, item_id, CAST({i} AS INT) AS place, CAST(len(news) AS INT) AS adds FROM ({pick}))")
+    return f"""WITH {_CANDIDATES}, asked_terms AS (SELECT query_id, list_distinct({_terms_sql('text')}) AS q FROM q),
+      duties AS (SELECT c.query_id, item_id, list_filter(a.q, lambda x: list_contains(c.t, x)) AS duties FROM cand c JOIN asked_terms a ON a.query_id = c.query_id), {', '.join(parts)}
+      {' UNION ALL '.join(f'SELECT query_id, item_id, place, adds FROM s{i}' for i in range(1, steps + 1))}"""
+
+
 def _candidates(spark, base):
     items = table(spark, base, "segments").select(F.col("segment_id").alias("item_id"), F.length("text").alias("size"), F.array_distinct(T.terms(F.col("text"))).alias("t"))
     return fulltext.bm25(_questions(spark, base), _unique_segments(spark, base), "segment_id", _SEGMENT_WEIGHTS, 20).join(items, "item_id")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_CANDIDATES},
+      w AS (SELECT DISTINCT query_id, 0 AS rank, CAST([] AS VARCHAR[]) AS ids, CAST(0 AS BIGINT) AS used FROM cand
+        UNION ALL SELECT w.query_id, c.rank, CASE WHEN {_FITS} THEN list_append(w.ids, c.item_id) ELSE w.ids END, CASE WHEN {_FITS} THEN w.used + c.size ELSE w.used END FROM w JOIN cand c ON c.query_id = w.query_id AND c.rank = w.rank + 1)
+      SELECT query_id, array_to_string(arg_max(ids, rank), ',') AS ids, arg_max(used, rank) AS used FROM w GROUP BY query_id"""
+)
 def budget_first_fit(spark, base):
     """Segments for each question within 1,500 characters and 5 items, skipping what doesn't fit."""
     chosen = fusion.first_fit(_candidates(spark, base), "size", 5, 1500)
     return chosen.select("query_id", F.array_join("ids", ",").alias("ids"), "used")
 
 
-@query()
+@query(_cover_sql(5, 3000))
 def evidence_cover(spark, base):
     """Segments for each question that together hold most of its terms, within 3,000 characters and 5 items."""
     asked = _questions(spark, base).select("query_id", F.array_distinct(T.terms(F.col("text"))).alias("q"))
@@ -727,7 +775,7 @@ def recent_changes(spark, base):
 
 @query(
     f"""WITH {_bm25_sql(_QUESTIONS, 'segments', 'segment_id', _SEGMENT_WEIGHTS, 20)},
-      d AS (SELECT r.query_id, s.document_id, r.item_id, r.score FROM ranked r JOIN segments s ON s.segment_id = r.item_id QUALIFY row_number() OVER (PARTITION BY r.query_id, s.document_id ORDER BY r.score DESC, r.item_id) = 1)
+      d AS (SELECT r.query_id, s.document_id, r.item_id, r.score FROM scored r JOIN segments s ON s.segment_id = r.item_id QUALIFY row_number() OVER (PARTITION BY r.query_id, s.document_id ORDER BY r.score DESC, r.item_id) = 1)
       SELECT query_id, document_id, item_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INT) AS rank FROM d QUALIFY rank <= 3"""
 )
 def document_representatives(spark, base):
@@ -774,8 +822,8 @@ _NOT = r"(?i)\b(shall|may|must|does|is) not\b|不得|不应|未"
 
 @query(
     rf"""WITH s AS (SELECT DISTINCT trim(regexp_replace(unnest(regexp_split_to_array(regexp_replace(text, '\d+', '#', 'g'), '[。；，\n]|[.,] ')), '\s+', ' ', 'g')) AS clause FROM segments),
-      k AS (SELECT trim(regexp_replace(regexp_replace(clause, '{_NOT}', '', 'g'), '\s+', ' ', 'g')) AS bare, regexp_matches(clause, '{_NOT}') AS negated FROM s WHERE length(clause) >= 6)
-      SELECT bare, count_if(negated) AS negated, count_if(NOT negated) AS plain FROM k GROUP BY bare HAVING count_if(negated) > 0 AND count_if(NOT negated) > 0"""
+      k AS (SELECT trim(regexp_replace(regexp_replace(clause, '{_NOT}', '', 'g'), '\s+', ' ', 'g')) AS bare, regexp_matches(clause, '{_NOT}') AS negated FROM s)
+      SELECT bare, count_if(negated) AS negated, count_if(NOT negated) AS plain FROM k WHERE bare <> '' GROUP BY bare HAVING count_if(negated) > 0 AND count_if(NOT negated) > 0"""
 )
 def contradictions(spark, base):
     """Clauses that stand both with and without a negation, numbers aside; one row per clause, not per pair."""
@@ -879,7 +927,14 @@ def wiki_link_index(spark, base):
     return links.groupBy("target").agg(F.count("*").alias("links"), F.count_distinct("page_id").alias("pages"), F.max("status").alias("status"))
 
 
-@query()
+@query(
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents WHERE text IS NOT NULL),
+      f AS (SELECT *, regexp_matches(line, '^\s*(```|~~~)') AS fence, first_value(line) OVER (PARTITION BY doc_id ORDER BY n) AS head FROM l),
+      c AS (SELECT *, coalesce(sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside, min(CASE WHEN n > 0 AND line = '---' THEN n END) OVER (PARTITION BY doc_id) AS closing FROM f),
+      k AS (SELECT doc_id, line, CASE WHEN head = '---' AND n > 0 AND n < closing AND regexp_matches(line, '^[\w-]+:') THEN 'property' WHEN fence THEN NULL WHEN inside THEN 'code' WHEN regexp_matches(line, '^#{1,6} ') THEN 'heading'
+          WHEN regexp_matches(line, '^\s*([-*+]|\d+[.)]) ') THEN 'list_item' WHEN length(line) - length(replace(line, '|', '')) >= 2 THEN 'table' END AS kind FROM c)
+      SELECT kind, CASE WHEN kind = 'heading' THEN CAST(length(regexp_extract(line, '^#+')) AS INT) END AS level, count(*) AS lines, count(DISTINCT doc_id) AS texts FROM k WHERE kind IS NOT NULL GROUP BY ALL"""
+)
 def markdown_nodes(spark, base):
     """Headings, list items, table and code lines of the corpus by kind and source."""
     docs = table(spark, base, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
@@ -896,7 +951,12 @@ def block_content_ids(spark, base):
     return once.select("document_id", "ordinal", T.stable_id("block", F.col("document_id"), F.col("ordinal"), F.sha2("text", 256)).alias("content_id"), F.length("text").alias("n_chars"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_CANDIDATES}, best AS (SELECT *, count(*) OVER (PARTITION BY query_id) - rank AS after FROM cand WHERE rank <= 6),
+      w AS (SELECT DISTINCT query_id, CAST(NULL AS VARCHAR) AS item_id, 0 AS rank, CAST(0 AS BIGINT) AS share, CAST(2000 AS BIGINT) AS room FROM best
+        UNION ALL SELECT w.query_id, b.item_id, b.rank, greatest(0, least(b.size, w.room - b.after * 150)), w.room - greatest(0, least(b.size, w.room - b.after * 150)) FROM w JOIN best b ON b.query_id = w.query_id AND b.rank = w.rank + 1)
+      SELECT query_id, item_id, CAST(rank AS INT) AS rank, share FROM w WHERE rank > 0"""
+)
 def context_shares(spark, base):
     """How 2,000 characters are shared among the 6 best segments of each question, 150 kept for each one still to come."""
     best = _candidates(spark, base).where("rank <= 6")
