@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.codepoints import Rolling, Slice, slices, tables
-from palimpsest.plans.session import table
+from palimpsest.plans.session import cut, in_arrow, table
 
 WORDS, CHARS = 12, 24
 MAX_GRAMS = 4_000_000
@@ -130,18 +130,26 @@ def leaked_grams(texts: DataFrame, items: DataFrame, max_grams: int = MAX_GRAMS)
     repeated rows give one result row. An empty side gives an empty result.
     """
     spark = texts.sparkSession
-    grams = items.select(F.col("item_id").cast("long"), "passage", F.lower(F.trim("lang")).alias("lang")).mapInArrow(item_grams, "item_id bigint, lang string, h bigint, gram string").distinct().persist()
+    grams = cut(gram_table(items))
     total = grams.count()
     blocks = max(1, -(-total // max_grams))
     result = None
     for block in range(blocks):
         part = grams if blocks == 1 else grams.where(F.pmod(F.xxhash64("h"), F.lit(blocks)) == block)
-        pdf = part.select("lang", "h").distinct().toPandas()
-        shared = spark.sparkContext.broadcast({lang: g.to_numpy().view(np.uint64) for lang, g in pdf.groupby("lang")["h"]})
-        hits = texts.select("id", "text").mapInArrow(_scan(shared), "id bigint, lang string, h bigint, gram string")
-        hits = hits.distinct().join(part, ["lang", "h", "gram"])
-        result = hits if result is None else result.unionByName(hits)
-    return result.select("id", "item_id", "gram").distinct()
+        hashes = {lang: part.where(F.col("lang") == lang).select("h").distinct().toArrow().column("h").combine_chunks().to_numpy().view(np.uint64) for lang in _GRAMS}
+        shared = spark.sparkContext.broadcast(hashes)
+        hits = in_arrow(texts.select("id", "text"), _scan(shared), "id bigint, lang string, h bigint, gram string")
+        found = hits.distinct().join(part, ["lang", "h", "gram"]).select("id", "item_id", "gram")
+        # With many blocks each one's hits become a table, so that the plan does not grow with them.
+        found = found if blocks == 1 else cut(found)
+        result = found if result is None else result.unionByName(found)
+    return result.distinct()
+
+
+def gram_table(items: DataFrame) -> DataFrame:
+    """(item_id, lang, h, gram): the distinct n-grams of items (item_id, passage, lang)."""
+    plain = items.select(F.col("item_id").cast("long"), "passage", F.lower(F.trim("lang")).alias("lang"))
+    return in_arrow(plain, item_grams, "item_id bigint, lang string, h bigint, gram string").distinct()
 
 
 def _inputs(spark, base: str) -> tuple[DataFrame, DataFrame]:
@@ -157,7 +165,7 @@ def leaked_items(spark, base: str) -> DataFrame:
     """p6_items: each leaked item with the number of documents that hold a part of it and the share of its n-grams found."""
     texts, items = _inputs(spark, base)
     hits = leaked_grams(texts, items)
-    size = items.select(F.col("item_id").cast("long"), "passage", F.lower(F.trim("lang")).alias("lang")).mapInArrow(item_grams, "item_id bigint, lang string, h bigint, gram string").groupBy("item_id").agg(F.countDistinct("gram").alias("grams"))
+    size = gram_table(items).groupBy("item_id").agg(F.countDistinct("gram").alias("grams"))
     return hits.groupBy("item_id").agg(F.countDistinct("id").alias("documents"), F.countDistinct("gram").alias("n")).join(size, "item_id").select(
         "item_id", "documents", F.round(F.col("n") / F.col("grams"), 6).alias("share_found")
     )
@@ -167,5 +175,3 @@ def clean_documents(spark, base: str) -> DataFrame:
     """p6_clean: doc_id and text length of the documents that remain after leaked ones are removed."""
     docs = table(spark, base, "documents").select("doc_id", F.length("text").alias("n_chars"))
     return docs.join(found(spark, base).select("doc_id").distinct(), "doc_id", "left_anti")
-
-

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.plans.session import cut, small, table
+from palimpsest.plans.session import cut, discard, small, table
 
 RUN_CHARS = 32
 _MARK = "\x01"
@@ -33,6 +33,9 @@ LOOKALIKES = {
     "Cyrillic small": ("аеорсухѕіјһԁԛԝѵ", "aeopcyxsijhdqwv"),
     "Cyrillic capital": ("АВЕКМНОРСТУХЅІЈԌԚԜ", "ABEKMHOPCTYXSIJGQW"),
     "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϳ", "ABEZHIKMNOPTYXovj"),
+    "Armenian": ("զհոսցօԼՏՕ", "qhnugoLSO"),
+    "Cherokee": ("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᏀᏃᏎᏔᏙᏚᏞᏟᏢᏦᏧᏴ", "DRTiAJEWMHGZ4WVSLCPKdB"),
+    "Lisu": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
     "hyphens": ("‐‑", "--"),
     "radicals": (
         "⺁⺄⺈⺊⺌⺎⺒⺓⺕⺜⺝⺠⺧⺪⺫⺬⺮⺶⺹⺻⺼⺽⻁⻄⻅⻆⻉⻊⻋⻑⻓⻔⻗⻘⻙⻚⻛⻜⻝⻡⻢⻣⻤⻥⻦⻧⻨⻩⻪⻫⻬⻮⻰⻱",
@@ -177,13 +180,40 @@ def looks(values: DataFrame) -> DataFrame:
     return built.select("field", "id", "raw", F.array_join("p.t", "").alias("form"))
 
 
-def alike_pairs(values: DataFrame) -> DataFrame:
-    """(field, id_a, id_b): pairs of different ids of a field whose texts look the same but differ in their code points."""
+def _members(values: DataFrame) -> DataFrame:
+    """(field, look, raw, id) of the values that look like a value written with other characters, as a table."""
     keyed = cut(looks(values).select("field", "id", "raw", F.sha2("form", 256).alias("look")).distinct())
     mixed = keyed.groupBy("field", "look").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a < b").select("field", "look")
-    members = keyed.join(mixed, ["field", "look"])
-    left, right = members.select("field", "look", F.col("id").alias("id_a"), F.col("raw").alias("raw_a")), members.select("field", "look", F.col("id").alias("id_b"), F.col("raw").alias("raw_b"))
-    return left.join(right, ["field", "look"]).where("id_a < id_b and raw_a <> raw_b").select("field", "id_a", "id_b").distinct()
+    members = cut(keyed.join(mixed, ["field", "look"]).select("field", "look", "raw", "id"))
+    discard(keyed)
+    return members
+
+
+def alike_pairs(values: DataFrame) -> DataFrame:
+    """(field, id_a, id_b): pairs of different ids of a field whose texts look the same but differ in their code points.
+
+    The spellings of a look meet first, then their records, so that no pair of records with the same spelling is made:
+    the rows in between are those of the result. For one row per record instead of pairs see ``alike_classes``.
+    """
+    members = _members(values)
+    spellings = members.select("field", "look", "raw").distinct()
+    two = spellings.withColumnRenamed("raw", "raw_a").join(spellings.withColumnRenamed("raw", "raw_b"), ["field", "look"]).where("raw_a < raw_b")
+    side = lambda x: members.select("field", "look", F.col("raw").alias(f"raw_{x}"), F.col("id").alias(x))
+    pairs = two.join(side("a"), ["field", "look", "raw_a"]).join(side("b"), ["field", "look", "raw_b"]).where("a <> b")
+    return pairs.select("field", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
+
+
+def alike_classes(values: DataFrame) -> DataFrame:
+    """(field, id, class_id, records, spellings): each record that looks like one written with other characters.
+
+    ``class_id`` is the least id of its look, ``records`` and ``spellings`` count the look's ids and different texts. An
+    id with several texts has a row for each class it is in.
+    """
+    members = _members(values)
+    spelled = members.groupBy("field", "look", "raw").agg(F.min("id").alias("first"))
+    classes = members.groupBy("field", "look").agg(F.min("id").alias("class_id"), F.count_distinct("id").alias("records"))
+    classes = classes.join(spelled.groupBy("field", "look").agg(F.count("*").alias("spellings")), ["field", "look"])
+    return members.select("field", "look", "id").distinct().join(classes, ["field", "look"]).select("field", "id", "class_id", "records", "spellings")
 
 
 def _values(spark: SparkSession, base: str) -> DataFrame:
@@ -199,6 +229,11 @@ def found(spark: SparkSession, base: str) -> DataFrame:
     return alike_pairs(_values(spark, base)).withColumnRenamed("field", "field_name")
 
 
+def classes(spark: SparkSession, base: str) -> DataFrame:
+    """p4_classes: one row per record whose value is written otherwise elsewhere, with its class."""
+    return alike_classes(_values(spark, base)).withColumnRenamed("field", "field_name")
+
+
 def forms(spark: SparkSession, base: str) -> DataFrame:
     """p4_forms: the consistent form of every title, normalized title, name list and segment text."""
     return looks(_values(spark, base)).select(F.col("field").alias("field_name"), "id", "form").distinct()

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.plans.session import cut, small, table
+from palimpsest.plans.session import cut, in_arrow, small, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pattern that splits text before the merges of that vocabulary.
@@ -26,26 +27,29 @@ LEVEL_BITS, LEVELS = 10, 4
 _encodings: dict = {}
 
 
-def _encoding(path: str):
-    if path not in _encodings:
+def _encoding(name: str, data: bytes):
+    if name not in _encodings:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _encodings[path] = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path]
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines())}
+        _encodings[name] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[name]
 
 
 def count_tokens(records: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(id, source, tokens) of records (bigint id, source, text); null and empty texts have 0 tokens."""
+    """(id, source, tokens) of records (bigint id, source, text); null and empty texts have 0 tokens.
+
+    The vocabulary file (a megabyte) is read by the driver and broadcast, so executors need no such path.
+    """
+    shared = records.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(tokenizer).encode_ordinary
+        encode = _encoding(tokenizer, shared.value).encode_ordinary
         for batch in batches:
             tokens = [len(encode(text)) if text else 0 for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.int64())], names=["id", "source", "tokens"])
 
-    return records.select("id", "source", "text").mapInArrow(run, "id bigint, source string, tokens bigint")
+    return in_arrow(records.select("id", "source", "text"), run, "id bigint, source string, tokens bigint")
 
 
 def plain_source(source):
@@ -53,11 +57,16 @@ def plain_source(source):
     return F.regexp_replace(F.regexp_replace(F.lower(source), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), r"[-_\s\p{Z}]+", "_")
 
 
-def thresholds(sized: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
+ALL, EVEN = None, "even"
+
+
+def thresholds(sized: DataFrame, targets: DataFrame, total: int | str | None = ALL) -> DataFrame:
     """Plan of each mix: mix_name, source, target_share, max_repeats, available, wanted, copies, below.
 
     ``sized`` has source (plain), tokens, u (a hash from 0 to 2^(bits) - 1). ``total`` is the size of a mix in tokens;
-    without it, all tokens of the mix's sources. Every record of a source is taken ``copies`` times, those with
+    without it, all tokens of the mix's sources; "even" is the largest total at which every source with records reaches
+    its share within its repeats, so that no share drifts because another source is short (sources without any records
+    stay out of the total's bound and are reported missing). Every record of a source is taken ``copies`` times, those with
     u < below once more. A source too small for its share at max_repeats copies falls short; one without records has
     available 0. Null or negative shares and repeats count as 0.
     """
@@ -65,7 +74,9 @@ def thresholds(sized: DataFrame, targets: DataFrame, total: int | None = None) -
     goal = targets.select(
         "mix_name", "source", F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("target_share"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("max_repeats")
     ).join(available, "source", "left").fillna(0, ["available"])
-    size = F.lit(total) if total is not None else F.sum("available").over(Window.partitionBy("mix_name"))
+    mix = Window.partitionBy("mix_name")
+    bound = F.when((F.col("target_share") > 0) & (F.col("available") > 0), F.floor(F.col("available") * F.col("max_repeats") / F.col("target_share")))
+    size = F.sum("available").over(mix) if total is ALL else F.coalesce(F.min(bound).over(mix), F.lit(0)) if total == EVEN else F.lit(total)
     plan = goal.withColumn("wanted", F.round(F.col("target_share") * size).cast("long"))
     copies = F.when(F.col("available") > 0, F.least(F.col("max_repeats").cast("long"), F.floor(F.col("wanted") / F.col("available")))).otherwise(F.lit(0))
     plan = plan.withColumn("copies", copies.cast("int")).withColumn(
@@ -90,7 +101,7 @@ def thresholds(sized: DataFrame, targets: DataFrame, total: int | None = None) -
     return plan.drop("rest")
 
 
-def mix_records(records: DataFrame, targets: DataFrame, total: int | None = None, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+def mix_records(records: DataFrame, targets: DataFrame, total: int | str | None = ALL, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """(records of each mix: mix_name, id, source, tokens, copies; shares of each mix).
 
     Records (bigint id, source, text) whose source, plainly spelled, is in no mix, or null, are in none. The shares say
@@ -125,3 +136,8 @@ def mix(spark, base: str) -> DataFrame:
 def shares(spark, base: str) -> DataFrame:
     """p7_shares: target and actual shares of each mix, also of sources that fall short."""
     return mix_records(*_inputs(spark, base))[1]
+
+
+def even_shares(spark, base: str) -> DataFrame:
+    """p7_even: the shares of each mix at the largest total at which every source that has records holds its share."""
+    return mix_records(*_inputs(spark, base), total=EVEN)[1]

@@ -25,24 +25,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.codepoints import Rolling, slices, sliding_min
-from palimpsest.plans.session import cut, table
+from palimpsest.llm.codepoints import Rolling, Slice, slices, sliding_min
+from palimpsest.plans.session import cut, discard, in_arrow, small, table
 
 SPAN = 300
+BROADCAST_HASHES = 500_000  # of 8 bytes
 _POS_BITS = np.uint64(24)
+CHUNK_CHARS = 1 << 23
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def _chunks(parts: Iterator[Slice], span: int) -> Iterator[tuple[Slice, int]]:
+    """The slices, and where each begins in its text: a text too long for the position bits comes in overlapping chunks.
+
+    Every window of ``span`` characters lies in a chunk, and what is said of it depends on its own characters only.
+    """
+    for s in parts:
+        if len(s.cp) <= CHUNK_CHARS:
+            yield s, 0
+            continue
+        # A slice that long is one text.
+        for at in range(0, len(s.cp), CHUNK_CHARS):
+            cp = s.cp[at : at + CHUNK_CHARS + span - 1]
+            yield Slice(s.ids, s.rows, cp, np.array([0, len(cp)])), at
+
+
 def _anchor_batches(span: int):
     quarter = span // 4
     windows = span - quarter + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(batch.column(0), batch.column(1)):
+            for s, moved in _chunks(slices(batch.column(0), batch.column(1)), span):
                 if len(s.cp) < span:
                     continue
                 one, two = Rolling(s.cp, 1), Rolling(s.cp, 2)
@@ -68,7 +85,7 @@ def _anchor_batches(span: int):
                     [
                         pa.array(s.ids[doc]), pa.array(_signed(small[at])), pa.array(_signed(right)), pa.array(_signed(left)),
                         pa.array(_signed(one.at(lo, hi + span))), pa.array(_signed(two.at(lo, hi + span))),
-                        pa.array((lo - begin).astype(np.int32)), pa.array((hi - begin).astype(np.int32)),
+                        pa.array((lo - begin + moved).astype(np.int32)), pa.array((hi - begin + moved).astype(np.int32)),
                     ],
                     names=["id", "h", "right", "left", "hull", "hull2", "lo", "hi"],
                 )
@@ -98,6 +115,11 @@ def _window_batches(span: int):
     return run
 
 
+def _texts_of(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of the ids in ``rows``; few enough ids are broadcast, so that no other text is shuffled."""
+    return texts.join(small(rows.select("id").distinct(), BROADCAST_HASHES), "id", "left_semi")
+
+
 def _repeated(df: DataFrame, *keys: str) -> DataFrame:
     """The keys that occur in more than one record."""
     return df.groupBy(*keys).agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select(*keys)
@@ -106,7 +128,7 @@ def _repeated(df: DataFrame, *keys: str) -> DataFrame:
 def anchors(texts: DataFrame, span: int = SPAN) -> DataFrame:
     """Anchors of all texts (id, text): id, h, right, left, hull, hull2, lo, hi."""
     long_enough = texts.select(F.col("id").cast("long"), "text").where(F.length("text") >= span)
-    return long_enough.mapInArrow(_anchor_batches(span), "id bigint, h bigint, right bigint, left bigint, hull bigint, hull2 bigint, lo int, hi int")
+    return in_arrow(long_enough, _anchor_batches(span), "id bigint, h bigint, right bigint, left bigint, hull bigint, hull2 bigint, lo int, hi int")
 
 
 def shared_windows(texts: DataFrame, span: int = SPAN) -> DataFrame:
@@ -116,9 +138,11 @@ def shared_windows(texts: DataFrame, span: int = SPAN) -> DataFrame:
     record alone does not count. ``span`` should be a multiple of 4.
     """
     texts = texts.select(F.col("id").cast("long"), "text")
-    found = anchors(texts, span)
-    # A tenth of the anchors or less goes on; kept, so that the texts are hashed once for each side of this join only.
-    level1 = cut(found.join(_repeated(found, "h"), "h"))
+    # Kept, so that the texts are hashed once; of the anchors only hash and record are shuffled to find the repeated ones.
+    found = cut(anchors(texts, span))
+    repeated = cut(_repeated(found, "h"))
+    level1 = cut(found.join(small(repeated, BROADCAST_HASHES), "h"))
+    discard(found, repeated)
     sides = level1.select("id", "h", "hull", "hull2", "lo", "hi", F.explode(F.array("right", "left")).alias("w")).where("w <> 0")
     # Both sides of an anchor may survive; one row goes on.
     level2 = sides.join(_repeated(sides, "w"), "w").groupBy("id", "h", "lo", "hi", "hull", "hull2").agg(F.lit(1).alias("n")).drop("n")
@@ -129,22 +153,52 @@ def shared_windows(texts: DataFrame, span: int = SPAN) -> DataFrame:
     stand_in = level3.where("a is not null and id = a.id").select("h", F.explode(F.array("a", "b")).alias("x")).select("h", "x.id", "x.lo", "x.hi")
     stand_in = stand_in.join(edges.select("h").distinct(), "h", "left_semi").select("id", "lo", "hi").distinct()
     edge = edges.select("id", "lo", "hi").unionByName(stand_in).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("r"))
-    edge = edge.join(texts, "id").select("id", "text", F.col("r.lo").alias("los"), F.col("r.hi").alias("his"))
-    windows = edge.mapInArrow(_window_batches(span), "id bigint, h bigint, h2 bigint, lo int")
+    edge = cut(edge)
+    edge = _texts_of(edge, texts).join(edge, "id").select("id", "text", F.col("r.lo").alias("los"), F.col("r.hi").alias("his"))
+    windows = in_arrow(edge, _window_batches(span), "id bigint, h bigint, h2 bigint, lo int")
     inside = level3.where("a is not null").select("id", "lo", "hi")
     return inside.unionByName(windows.join(_repeated(windows, "h", "h2"), ["h", "h2"]).select("id", "lo", F.col("lo").alias("hi")))
 
 
+def _ranges(texts: DataFrame, span: int) -> DataFrame:
+    """(id, r): each record's shared windows as a list of (lo, hi) in order."""
+    return shared_windows(texts, span).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("r"))
+
+
 def shared_chars(texts: DataFrame, span: int = SPAN) -> DataFrame:
     """(id, shared_chars): the characters of each record that lie in shared windows; records without any are left out."""
-    runs = shared_windows(texts, span).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("r"))
     count = F.aggregate(
         "r", F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),
         lambda acc, x: F.struct(
             (acc["n"] + F.greatest(x["hi"] + span - F.greatest(x["lo"], acc["upto"]), F.lit(0))).alias("n"), F.greatest(acc["upto"], x["hi"] + span).alias("upto")
         ),
     )["n"]
-    return runs.select("id", count.alias("shared_chars"))
+    return _ranges(texts, span).select("id", count.alias("shared_chars"))
+
+
+def shared_spans(texts: DataFrame, span: int = SPAN) -> DataFrame:
+    """(id, begin, end, span_class, records): the shared spans of each record, as long as they go, and who holds the same.
+
+    A span is a stretch of overlapping or touching shared windows, from character ``begin`` (from 0) up to ``end``.
+    ``span_class`` is the SHA-256 of its text, and ``records`` how many records have a span of exactly that text: 1
+    where the others hold it as a part of a longer span or in pieces. Counted by class, never listed as pairs.
+    """
+    both = lambda b, e: F.struct(b.alias("begin"), e.alias("end"))
+    start = F.struct(F.array().cast("array<struct<begin:int,end:int>>").alias("done"), both(F.lit(-1), F.lit(-1)).alias("open"))
+
+    def step(acc, x):
+        goes_on = acc["open"]["end"] >= x["lo"]
+        return F.struct(
+            F.when(goes_on | (acc["open"]["end"] < 0), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"),
+            F.when(goes_on, both(acc["open"]["begin"], F.greatest(acc["open"]["end"], x["hi"] + span))).otherwise(both(x["lo"], x["hi"] + span)).alias("open"),
+        )
+
+    merged = cut(_ranges(texts, span).select("id", F.aggregate("r", start, step, lambda acc: F.array_append(acc["done"], acc["open"])).alias("s")))
+    texts = texts.select(F.col("id").cast("long"), "text")
+    each = _texts_of(merged, texts).join(merged, "id").select("id", "text", F.explode("s").alias("s"))
+    named = cut(each.select("id", "s.begin", "s.end", F.sha2(F.substring("text", F.col("s.begin") + 1, F.col("s.end") - F.col("s.begin")), 256).alias("span_class")))
+    held = named.groupBy("span_class").agg(F.count_distinct("id").alias("records"))
+    return named.join(held, "span_class").select("id", "begin", "end", "span_class", "records")
 
 
 def _texts(spark, base: str) -> DataFrame:
@@ -154,3 +208,8 @@ def _texts(spark, base: str) -> DataFrame:
 def found(spark, base: str) -> DataFrame:
     """p8_found: each record with a shared run of 300 characters, and how many of its characters are shared."""
     return shared_chars(_texts(spark, base)).select(F.col("id").alias("doc_id"), F.col("shared_chars").cast("int").alias("shared_chars"))
+
+
+def spans(spark, base: str) -> DataFrame:
+    """p8_spans: the shared spans themselves, with their class and the number of records that hold just this span."""
+    return shared_spans(_texts(spark, base)).withColumnRenamed("id", "doc_id")

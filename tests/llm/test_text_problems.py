@@ -1,12 +1,14 @@
 """The text operators against brute force, round trips and their edge cases."""
 
+import hashlib
 import random
 import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 
-from palimpsest.llm import eval_leaks, lookalikes, mixture, pieces, scan_noise, shared_spans
+from palimpsest.llm import codepoints, eval_leaks, lookalikes, mixture, pieces, scan_noise, shared_spans
 from palimpsest.llm.codepoints import Rolling, sliding_min
 
 
@@ -30,29 +32,48 @@ def test_pieces_round_trip():
         text = "".join(parts)
         limit, overlap = 200, 20
         out, longest = pieces.split_text(text, limit, overlap)
-        assert "".join(text[b:e] for _, b, e in out) == text
-        assert all(e - a <= limit for a, _, e in out)
-        assert all(b - a == overlap for a, b, _ in out[1:])
+        assert "".join(text[b:e] for _, b, e, _ in out) == text
+        assert all(e - a <= limit for a, _, e, _ in out)
+        assert all(b - a == overlap for a, b, _, _ in out[1:])
+        natural = {m.end() for m in re.finditer(r"\n|[。；！？]|[.;!?](?=\s)", text)} - {len(text)}
+        assert all((c == 0) == (e not in natural) for _, _, e, c in out[:-1]) and out[-1][3] == 5
+        # The cuts that are left inside stretches tell of the oversized stretch.
+        assert (longest > limit) == (longest > limit and any(c == 0 for *_, c in out))
         stretches = re.split(r"(?<=[\n。；！？])|(?<=[.;!?])(?=\s)", text)
         assert longest == max(map(len, stretches))
         if longest <= limit - overlap:
             ends = {0, len(text)} | {m.end() for m in re.finditer(r"\n|[。；！？]|[.;!?](?=\s)", text)}
-            assert all(e in ends for _, _, e in out)
+            assert all(e in ends for _, _, e, _ in out)
 
 
 def test_pieces_prefer_strong_boundaries():
     text = "one one. two two.\n\n" + "three three. four four."
     out, _ = pieces.split_text(text, 28, 4)
-    assert [text[b:e] for _, b, e in out] == ["one one. two two.\n\n", "three three. four four."]
+    assert [text[b:e] for _, b, e, _ in out] == ["one one. two two.\n\n", "three three. four four."]
+    windows = text.replace("\n", "\r\n")
+    assert [windows[b:e] for _, b, e, _ in pieces.split_text(windows, 30, 4)[0]] == ["one one. two two.\r\n\r\n", "three three. four four."]
+    # A first stretch may fill the whole piece, a later one only what the overlap leaves.
+    assert [c for *_, c in pieces.split_text("a" * 29 + "\n" + "b" * 29 + "\n", 30, 5)[0]] == [3, 0, 5]
 
 
 def test_pieces_spark(spark):
     df = spark.createDataFrame([("a", "x" * 30, 1), ("b", None, 1), ("c", "", 1), ("d", "y" * 10, 1)], "id string, text string, part_index int")
     got = pieces.split_oversized(df, 12, 2).orderBy("part_index").collect()
-    assert {r.id for r in got} == {"a"} and {r.hard_cut for r in got} == {1}
+    assert {r.id for r in got} == {"a"} and [r.part_index for r in got] == [1, 2, 3] and {r.longest for r in got} == {30} and [r.boundary for r in got] == [0, 0, 5]
     assert pieces.split_oversized(df.where("false"), 12, 2).count() == 0
 
 
+def test_piece_numbers_run_over_parts_of_an_article(spark, tmp_path):
+    long = "Sentence one. " * 700
+    rows = [("a", "d", 1, None, "Article 1", 1, "short"), ("b", "d", 2, None, "Article  1", 7, long), ("c", "d", 3, None, "Article 1", 1, long), ("e", "d", 9, None, "Article 1", 1, long), ("f", "d", 10, None, None, 1, long), ("g", None, 1, "H", "Article 1", 1, long), ("g", None, 1, "H", "Article 1", 1, long)]
+    schema = "segment_id string, document_id string, ordinal int, heading string, article_label string, part_index int, text string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/segments.parquet")
+    got = {}
+    for r in pieces.labelled_pieces(spark, str(tmp_path)).collect():
+        got.setdefault(r.segment_id, []).append(r.part_index)
+    assert {k: sorted(v) for k, v in got.items()} == {"b": [2, 3, 4], "c": [5, 6, 7], "e": [1, 2, 3], "f": [1, 2, 3], "g": [1, 1, 2, 2, 3, 3]}
+
+
 # --- problem 4
 
 
@@ -76,6 +97,29 @@ def test_alike_pairs(spark):
     rows = [("t", "1", "Act １"), ("t", "2", "Act 1"), ("t", "3", "Act 1"), ("t", "4", "act 1"), ("t", "5", "Act¹"), ("u", "6", "Act 1")]
     df = spark.createDataFrame(rows, "field string, id string, text string")
     assert {tuple(r) for r in lookalikes.alike_pairs(df).collect()} == {("t", "1", "2"), ("t", "1", "3")}
+    assert {tuple(r) for r in lookalikes.alike_classes(df).collect()} == {("t", i, "1", 3, 2) for i in "123"}
+    assert lookalikes.alike_classes(df.where("false")).count() == 0
+
+
+def test_looks_against_truth_made_by_hand(spark):
+    alike = [("Сourt", "Court"), ("Οrder", "Order"), ("ｆｅｅ", "fee"), ("cafe\u0301", "café"), ("a\u00a0b", "a b"), ("a\u3000b", "a b"), ("no\u200bte", "note"), ("ﬁle", "file"), ("⾦", "金"), ("Ⅳ", "IV"), ("\u212b", "Å"), ("ﾊﾟ", "パ"), ("օath", "oath"), ("ᎪᏟ", "AC"), ("ꓲꓳ", "IO"), ("Ａ１，", "A1,")]
+    other = [("x²", "x2"), ("Act", "act"), ("cafe", "café"), ("H₂O", "H2O"), ("日", "曰"), ("a b", "ab"), ("a\nb", "a b")]
+    rows = [("t", f"{i:02d}{x}", text + f" {i}") for i, pair in enumerate(alike + other) for x, text in zip("ab", pair, strict=True)]
+    got = {(r.id_a, r.id_b) for r in lookalikes.alike_pairs(spark.createDataFrame(rows, "field string, id string, text string")).collect()}
+    assert got == {(f"{i:02d}a", f"{i:02d}b") for i in range(len(alike))}
+
+
+def test_long_runs_and_hot_looks(spark):
+    texts = ["e" + "\u0301" * 40 + "\u0327" * 40, "ａ" * 100 + "\u0301", "\u200b" * 90 + "\u0301x", "\u0301" * 70]
+    df = spark.createDataFrame([("t", str(i), x) for i, x in enumerate(texts)], "field string, id string, text string")
+    assert {r.id: r.form for r in lookalikes.looks(df).collect()} == {str(i): look(t) for i, t in enumerate(texts)}
+    hot = [("t", f"h{i:03d}", "same") for i in range(300)] + [("t", "v", "ｓame")]
+    got = lookalikes.alike_pairs(spark.createDataFrame(hot, "field string, id string, text string"))
+    assert got.count() == 300 and got.where("id_b <> 'v'").count() == 0
+
+
+def test_alike_empty(spark):
+    df = spark.createDataFrame([], "field string, id string, text string")
     assert lookalikes.alike_pairs(df.where("false")).count() == 0
 
 
@@ -169,6 +213,9 @@ def test_mixture(spark):
     # A larger budget contains the smaller one's records.
     ids = lambda total: {r.id for r in mixture.mix_records(records, targets, total)[0].collect() if r.source == "big_source"}
     assert ids(4000) <= ids(9000)
+    # At the even total no share drifts: sources with records differ from their targets by their last record only.
+    even = {r.source: r for r in mixture.mix_records(records, targets, mixture.EVEN)[1].collect()}
+    assert even["small"].mixed == even["small"].wanted == 3 * even["small"].available and 0 <= even["big_source"].missing <= 45 and even["absent"].mixed == 0
     assert mixture.mix_records(records.where("false"), targets)[0].count() == 0
 
 
@@ -201,6 +248,27 @@ def test_shared_spans_against_brute_force(spark):
     got = {r.id: r.shared_chars for r in shared_spans.shared_chars(df, span).collect()}
     assert got == want
     assert shared_spans.shared_chars(df.where("false"), span).count() == 0
+    spans, by_id = {}, dict(texts)
+    for r in shared_spans.shared_spans(df, span).collect():
+        spans.setdefault(r.id, set()).update(range(r.begin, r.end))
+        assert r.end - r.begin >= span and r.span_class == hashlib.sha256(by_id[r.id][r.begin : r.end].encode()).hexdigest() and r.records >= 1
+    assert {i: len(x) for i, x in spans.items()} == want
+    assert shared_spans.shared_spans(df.where("false"), span).count() == 0
+
+
+def test_texts_longer_than_the_position_bits(spark, monkeypatch):
+    rng = random.Random(18)
+    a = "".join(rng.choice("abc") for _ in range(900))
+    texts = [(1, a), (2, "z" * 50 + a[200:800]), (3, "-" * 700), (4, "+" + "-" * 300)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    run = shared_spans._anchor_batches(40)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in texts]), pa.array([t for _, t in texts])], names=["id", "text"])
+    whole = {(r["id"], p) for b in run([batch]) for r in b.to_pylist() for p in range(r["lo"], r["hi"] + 1)}
+    monkeypatch.setattr(shared_spans, "CHUNK_CHARS", 128)
+    monkeypatch.setattr(shared_spans, "slices", lambda ids, t: codepoints.slices(ids, t, 1))
+    cut = {(r["id"], p) for b in run([batch]) for r in b.to_pylist() for p in range(r["lo"], r["hi"] + 1)}
+    assert whole == cut == {(i, p) for i, t in texts for p in range(len(t) - 39)}
+    assert df.count() == 4
 
 
 def test_invisible_characters_of_the_last_plane_go(spark):
