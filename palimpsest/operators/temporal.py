@@ -37,6 +37,37 @@ def following(df: DataFrame, key: str, at: str, tie: str, name: str) -> DataFram
     return both.withColumn(name, F.coalesce(name, "_over")).drop("_key", "_at", "_over")
 
 
+def _neighbours(df: DataFrame, key: str, number: str, inner: Column, bucketed: Column, outer: Column, name: str, bucket: int) -> DataFrame:
+    """Two levels of a window over the integer ``number`` of a key: ``inner`` within buckets of numbers, ``outer`` over one value per bucket."""
+    put = df.withColumn("_b", F.floor(F.col(number) / bucket)).withColumn("_inner", inner)
+    per = put.groupBy(key, "_b").agg(bucketed.alias("_v"))
+    per = per.select(F.col(key).alias("_key"), F.col("_b").alias("_bucket"), outer.alias("_outer"))
+    both = put.join(per, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_b") == F.col("_bucket")), "left")
+    return both.withColumn(name, F.coalesce("_inner", "_outer")).drop("_b", "_inner", "_key", "_bucket", "_outer")
+
+
+def next_by_number(df: DataFrame, key: str, number: str, value: str, name: str, bucket: int = 1000) -> DataFrame:
+    """``df`` with the ``value`` of the next row of its key by the integer ``number``, which is unique in its key, in two levels.
+
+    Numbers may have gaps. The last row of a key has null.
+    """
+    inner = F.lead(value).over(Window.partitionBy(key, "_b").orderBy(number))
+    outer = F.lead("_v").over(Window.partitionBy(key).orderBy("_b"))
+    return _neighbours(df, key, number, inner, F.min(F.struct(number, value))[value], outer, name, bucket)
+
+
+def greatest_before(df: DataFrame, key: str, number: str, value: Column, name: str, bucket: int = 1000) -> DataFrame:
+    """``df`` with the greatest ``value`` of the rows of its key before it by the integer ``number``, in two levels.
+
+    For values that grow with the number, nulls aside, that is the last one known. Before the first there is null.
+    """
+    df = df.withColumn("_value", value)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inner = F.max("_value").over(before(Window.partitionBy(key, "_b").orderBy(number)))
+    outer = F.max("_v").over(before(Window.partitionBy(key).orderBy("_b")))
+    return _neighbours(df, key, number, inner, F.max("_value"), outer, name, bucket).drop("_value")
+
+
 def interval_allows(start: Column, end: Column, day: Column) -> Column:
     """Half-open: start <= day < end; null bounds are open."""
     return (start.isNull() | (start <= day)) & (end.isNull() | (end > day))

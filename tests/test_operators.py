@@ -100,6 +100,18 @@ def test_versions(spark):
     assert {(r.k, r.v) for r in temporal.as_of(df, ["k"], ["at"], "at", F.lit(1)).collect()} == {("k", "a")}
 
 
+def test_neighbours_in_two_levels(spark):
+    rng = random.Random(3)
+    rows = [(k, n, f"{k}{n}", n if rng.random() < 0.2 else None) for k in ("a", "b", None) for n in sorted(rng.sample(range(60), 25))]
+    df = spark.createDataFrame(rows, "k string, n int, v string, x int")
+    for bucket in (1, 7, 1000):
+        got = {(r.k, r.n): (r.after, r.before) for r in temporal.greatest_before(temporal.next_by_number(df, "k", "n", "v", "after", bucket), "k", "n", F.col("x"), "before", bucket).collect()}
+        for k, n, _, _ in rows:
+            later, known = [v for a, m, v, _ in rows if a == k and m > n], [x for a, m, _, x in rows if a == k and m < n and x is not None]
+            assert got[k, n] == (later[0] if later else None, known[-1] if known else None)
+    assert temporal.next_by_number(df.where("false"), "k", "n", "v", "after").count() == 0
+
+
 def test_differences(spark):
     a = spark.createDataFrame([("p1", "h1"), ("p2", "h2"), ("p3", "h3"), ("p4", None), ("p5", "h5")], "path string, h string")
     b = spark.createDataFrame([("p1", "h1"), ("q2", "h2"), ("q3", "h3"), ("q33", "h3"), ("p4", "h4")], "path string, h string")
