@@ -1,17 +1,22 @@
 """Problem 5: noise in text from scanned pages.
 
 Edge lines. The blocks of a page are looked at together: a short line without a closing mark at the top or bottom
-edge, or in the margins where the box is known, is running matter; a number alone in the last line is the page number.
-
-Hyphens. A word cut at a line end goes on in the next line of text, on the page or the next one. Whether its mark
-belongs to its spelling is decided by the corpus: how often the word stands elsewhere joined, and how often hyphenated.
-
-Misread characters. Words of Latin script, and three-character windows of Han script around characters that are easily
-confused, are counted over the whole corpus. A word's anagram hash is the sum of its characters' hashes, so putting one
-character (or pair) for another changes it by a fixed difference: adding the differences of the confusable pairs to a
-rare word's hash and joining with the hashes of all words finds its frequent variants in one equi-join. They are then
-checked to differ in one place only, and ranked by frequency. A Han character counts as misread if all windows around
-it have the same frequent variant.
+edge, a line that stands there on several pages of the document, or one in the margins where the box is known, is
+running matter; a number alone in the last line is the page number.
+
+Hyphens. A word cut at a line end goes on in the next line of text, on the page or the next one that has text. Whether
+its mark belongs to its spelling is decided by the corpus: how often the word stands elsewhere joined, and how often
+hyphenated.
+
+Misread characters. Words of Latin script and three-character windows of Han script are counted over the whole corpus,
+blocks that came twice once. A word's anagram hash is the sum of its characters' hashes, so putting one character (or
+pair) for another changes it by a fixed difference: adding the differences of the confusable pairs to a rare word's hash
+and joining with the hashes of all words finds its frequent variants in one equi-join. They are then checked to differ
+in one place only, and ranked by frequency. Which characters are confused is learned from the same counts (see
+``learned_confusions``); a short list of known confusions helps where there is too little text to learn from. A Han
+character counts as misread if the windows around it have the same frequent variant and none is frequent as it stands.
+Blocks that say themselves that they were badly recognised (confidence, risk flags) and show no other noise are believed
+at weaker evidence.
 
 Grouping is by page, word or paragraph, never by document; counts are combined before they are shuffled.
 """
@@ -27,9 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palimpsest.llm.codepoints import slices
-from palimpsest.plans.session import cut, small, table
+from palimpsest.operators.temporal import greatest_before, next_by_number
+from palimpsest.plans.session import cut, in_arrow, small, table
 
-# What a scanned character is taken for, Latin script in lower case (right, wrong).
+# Known confusions of scanned characters, Latin script in lower case (right, wrong). Others are learned.
 LATIN_CONFUSIONS = [
     ("e", "c"), ("t", "f"), ("o", "0"), ("s", "5"), ("i", "!"), ("l", "1"), ("i", "1"), ("g", "9"), ("b", "6"), ("b", "8"), ("z", "2"),
     ("d", "cl"), ("n", "ri"), ("u", "ii"), ("m", "rn"), ("w", "vv"), ("h", "li"), ("q", "g"), ("c", "e"), ("f", "t"), ("m", "nn"), ("k", "lc"),
@@ -41,10 +47,18 @@ HAN_CONFUSIONS = (
     "入人 末未 土士 士土 干千 千干 己已 已己 大太 太大 日目 目日 人八 由田 间问 问间 自白 白自 今令 令今 治冶 师帅 析折 侯候 候侯 拔拨 天夫 力刀 贝见 王玉 主王 木本 休体 买卖 刑型 拆折 密蜜"
 ).split()
 
-# Heights of the margins in points, on pages of about 842.
-TOP_MARGIN, BOTTOM_MARGIN = 52.0, 765.0
+# Heights of a page and of its margins in points. Boxes below that height are on a larger page, whose
+# margins are in proportion.
+PAGE_HEIGHT, TOP_MARGIN, BOTTOM_MARGIN = 842.0, 52.0, 765.0
 SHORT_LINE = 0.6  # of the longest line of the page
+REPEATED_PAGES, REPEATED_CHARS = 3, 80  # pages of a document with the same edge line, and the longest such line
 LEAST_VARIANT, VARIANT_RATIO = 4, 8
+WEAK_VARIANT, WEAK_RATIO = 2, 2  # in blocks that were badly recognised
+BAD_CONFIDENCE = 0.8
+# Learned confusions: words of Latin script that show one, and how much oftener than the next best reading; windows of
+# Han script that show one at each of their three places.
+LEAST_WORDS, DOMINANCE, LEAST_WINDOWS = 5, 4, 2
+PARAGRAPH_PAGES = 64  # a paragraph over more pages comes in parts
 
 _BLANK = r"[ \x{a0}\x{2000}-\x{200a}\x{202f}]"
 _SPACED = rf"(?U)(?<!\w)(?:\w{_BLANK}){{2,}}\w(?!\w)"
@@ -53,7 +67,16 @@ _MARKS = "-‐¬­"
 _CUT = rf"[\p{{L}}\d!\x{{fffd}}][{_MARKS}]\s*$"
 _LETTER = r"[A-Za-z\x{c0}-\x{24f}]"
 _TOKEN = r"[A-Za-z\x{c0}-\x{24f}0-9!\x{fffd}]+"
-_HAN = "".join(sorted({c for pair in HAN_CONFUSIONS for c in pair}))
+
+
+def _bad(confidence: Column, flags: Column) -> Column:
+    """The block was badly recognised: its confidence, brought to the unit scale, is low, or a flag says so."""
+    unit = F.when(confidence.between(0, 1), confidence).when((confidence > 1) & (confidence <= 100), confidence / 100)
+    return F.coalesce(unit < BAD_CONFIDENCE, F.lit(False)) | F.coalesce(F.contains(flags, F.lit("low_confidence")), F.lit(False))
+
+
+def _optional(blocks: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name) if name in blocks.columns else F.lit(None).cast(kind)
 
 
 def _solid(line: Column) -> Column:
@@ -63,15 +86,20 @@ def _solid(line: Column) -> Column:
 
 
 def page_lines(blocks: DataFrame) -> DataFrame:
-    """Lines of scanned blocks: document_id, page, ordinal, block_id, kind, furniture, line_no, line, next_line, next_block.
+    """Lines of scanned blocks: document_id, page, ordinal, block_id, kind, furniture, bad, line_no, line, next_line, next_block.
 
     ``furniture`` is running_line, page_number or null; such blocks have one row and no next line. Blocks without page
     or text are no scanned text; blocks delivered twice count once. Blocks without document are each a page of their own.
     """
-    y = F.get_json_object("bbox_json", "$[1]").try_cast("double")
-    scanned = blocks.where("page is not null and text is not null and block_id is not null").select(
-        F.coalesce("document_id", F.concat(F.lit("?"), "block_id")).alias("document_id"), "page", F.coalesce("ordinal", F.lit(0)).alias("ordinal"), "block_id", "kind", y.alias("y"), "text"
-    )
+    at = lambda i: F.get_json_object("bbox_json", f"$[{i}]").try_cast("double")
+    owner = F.coalesce("document_id", F.concat(F.lit("?"), "block_id")).alias("document_id")
+    kept = blocks.where("page is not null and text is not null and block_id is not null")
+    bad = _bad(_optional(blocks, "confidence", "double"), _optional(blocks, "risk_flags_json", "string"))
+    scanned = kept.select(owner, "page", F.coalesce("ordinal", F.lit(0)).alias("ordinal"), "block_id", "kind", at(1).alias("y"), bad.alias("bad"), "text")
+    # Documents on larger pages, and the lines that several pages of a document have, digits aside: few, and combined before the shuffle.
+    large = kept.where(at(3) > PAGE_HEIGHT).groupBy(owner).agg((F.max(at(3)) / PAGE_HEIGHT).alias("scale"))
+    short = kept.where((F.length("text") <= REPEATED_CHARS) & ~F.contains("text", F.lit("\n")) & ~F.col("kind").isin("heading", "table_row"))
+    repeated = short.groupBy(owner, _mask(F.col("text")).alias("mask")).agg(F.count_distinct("page").alias("pages")).where((F.col("pages") >= REPEATED_PAGES) & (F.length("mask") > 2))
     page = ["document_id", "page"]
     once = scanned.repartition(*[F.col(c) for c in page]).dropDuplicates([*page, "block_id"])
     lines = F.transform(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
@@ -87,6 +115,8 @@ def page_lines(blocks: DataFrame) -> DataFrame:
     seen = seen.withColumn("number", number).withColumn("in_column", bare & F.coalesce(F.lag("number").over(down), F.lit(False)))
 
     last = F.element_at("lines", -1)
+    seen = seen.join(small(cut(large)), "document_id", "left").withColumn("y", F.col("y") / F.coalesce("scale", F.lit(1.0)))
+    seen = seen.withColumn("mask", F.when(F.size("lines") == 1, _mask(F.get("lines", F.lit(0))))).join(small(cut(repeated.withColumn("again", F.lit(True)).drop("pages"))), ["document_id", "mask"], "left")
     margin = F.when(F.col("y") < TOP_MARGIN, "top").when(F.col("y") >= BOTTOM_MARGIN, "bottom").when(F.col("y").isNotNull(), "body")
     edge = F.when(F.col("from_top") == 1, "top").when(F.col("from_bottom") <= 2, "bottom")
     open_short = (F.size("lines") == 1) & (F.col("wide") < SHORT_LINE * F.col("widest")) & ~last.rlike(r"[。；，、：.,;:!?！？]\s*$|^第.{1,4}条|^Article ")
@@ -98,22 +128,36 @@ def page_lines(blocks: DataFrame) -> DataFrame:
         .when(F.col("number") & (margin == "top"), "page_number")
         .when(F.col("number"), None)
         .when((margin == "top") & (F.col("from_top") <= 2) | (margin == "bottom") & (F.col("from_bottom") <= 2), "running_line")
-        .when(margin.isNull() & edge.isNotNull() & open_short & ~last.rlike(_CUT), "running_line")
+        .when(margin.isNull() & edge.isNotNull() & (open_short | F.col("again")) & ~last.rlike(_CUT), "running_line")
     )
     marked = seen.withColumn("furniture", furniture)
-    rows = marked.select(*page, "ordinal", "block_id", "kind", "furniture", F.posexplode(F.when(F.col("furniture").isNull(), F.col("lines")).otherwise(F.array(F.array_join("lines", " ")))).alias("line_no", "line"))
+    rows = marked.select(*page, "ordinal", "block_id", "kind", "furniture", "bad", F.posexplode(F.when(F.col("furniture").isNull(), F.col("lines")).otherwise(F.array(F.array_join("lines", " ")))).alias("line_no", "line"))
     text_down = Window.partitionBy(*page, F.col("furniture").isNull()).orderBy("ordinal", "block_id", "line_no")
     rows = cut(
         rows.withColumn("next_line", F.when(F.col("furniture").isNull(), F.lead("line").over(text_down))).withColumn("next_block", F.when(F.col("furniture").isNull(), F.lead("block_id").over(text_down)))
     )
-    # The last line of text of a page goes on in the first of the next page.
-    first = rows.where("furniture is null").groupBy("document_id", (F.col("page") - 1).alias("page")).agg(F.min(F.struct("ordinal", "block_id", "line_no", "line")).alias("first"))
-    over = rows.where("furniture is null and next_line is null").join(first, page, "left").select(
-        *page, "ordinal", "block_id", "kind", "furniture", "line_no", "line", F.col("first.line").alias("next_line"), F.col("first.block_id").alias("next_block")
+    # The last line of text of a page goes on in the first of the next page that has text, wherever that is.
+    text_lines = rows.where("furniture is null")
+    first = text_lines.groupBy(*page).agg(F.min(F.struct("ordinal", "block_id", "line_no", "line")).alias("first"))
+    after = next_by_number(first, "document_id", "page", "first", "then").select(*page, "then")
+    over = text_lines.where("next_line is null").join(after, page, "left").select(
+        *page, "ordinal", "block_id", "kind", "furniture", "bad", "line_no", "line", F.col("then.line").alias("next_line"), F.col("then.block_id").alias("next_block")
     )
     return rows.where("furniture is not null or next_line is not null").unionByName(over)
 
 
+def _mask(text: Column) -> Column:
+    """A line without its digits and outer white space."""
+    return F.trim(F.regexp_replace(text, r"\d+|^\s+|\s+$", ""))
+
+
+def weighted(blocks: DataFrame) -> DataFrame:
+    """(text, weight) of all blocks: one over the times that a block was delivered, so that it counts once; blocks without id count one each."""
+    again = cut(blocks.where("block_id is not null").groupBy("block_id").agg(F.count("*").alias("times")).where("times > 1"))
+    texts = blocks.where("text is not null").select("block_id", "text")
+    return texts.join(small(again), "block_id", "left").select("text", (F.lit(1.0) / F.coalesce("times", F.lit(1))).alias("weight"))
+
+
 def _tokens(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(_TOKEN), F.lit(0))
 
@@ -127,15 +171,16 @@ def broken_words(lines: DataFrame) -> DataFrame:
     ).where("head <> '' and tail <> ''")
 
 
-def vocabulary(blocks: DataFrame) -> DataFrame:
-    """(word, n): words of Latin script of all blocks, in lower case."""
-    return blocks.where("text is not null").select(F.explode(_tokens(F.lower("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+def vocabulary(texts: DataFrame) -> DataFrame:
+    """(word, n): words of Latin script of all texts (text, weight), in lower case."""
+    return texts.select(F.explode(_tokens(F.lower("text"))).alias("word"), "weight").groupBy("word").agg(F.round(F.sum("weight")).cast("long").alias("n")).where("n > 0")
 
 
-def hyphen_evidence(candidates: DataFrame, blocks: DataFrame, words: DataFrame) -> DataFrame:
+def hyphen_evidence(candidates: DataFrame, texts: DataFrame, words: DataFrame) -> DataFrame:
     """``candidates`` with ``spelled``: the mark belongs to the word, which stands hyphenated elsewhere more often than joined."""
     inside = F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<!{_LETTER}){_LETTER}{{2,}}+[-‐]{_LETTER}{{2,}}+"), F.lit(0))
-    hyphenated = cut(blocks.select(F.explode(inside).alias("w")).groupBy(F.translate("w", "‐", "-").alias("w")).agg(F.count("*").alias("hyphenated")))
+    hyphenated = texts.select(F.explode(inside).alias("w"), "weight").groupBy(F.translate("w", "‐", "-").alias("w")).agg(F.round(F.sum("weight")).cast("long").alias("hyphenated"))
+    hyphenated = cut(hyphenated)
     asked = candidates.withColumn("w", F.lower(F.concat("head", F.lit("-"), "tail"))).withColumn("j", F.lower(F.concat("head", "tail")))
     wanted = asked.select("j").distinct()
     joined = words.select(F.col("word").alias("j"), F.col("n").alias("joined")).join(wanted, "j", "left_semi")
@@ -148,27 +193,69 @@ def anagram_hash(word: Column) -> Column:
     return F.aggregate(F.regexp_extract_all(word, F.lit("(?s)."), F.lit(0)), F.lit(0).cast("long"), lambda acc, c: acc + F.hash(c).cast("long"))
 
 
-def corrections(words: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(word, right, wrong, at, variant, rank): rare words and the frequent words they are read for.
+def _points(word: Column) -> Column:
+    return F.regexp_extract_all(word, F.lit("(?s)."), F.lit(0))
+
 
-    ``words`` has word and n. ``at`` is the 1-based place of the wrong characters. A variant must come VARIANT_RATIO
-    times as often as the word, and LEAST_VARIANT times; rank 1 is the most frequent.
+def learned_confusions(words: DataFrame, places: bool) -> DataFrame:
+    """(right, wrong): single characters that are taken for each other, from words and their counts (word, n).
+
+    A word's anagram hash less one character's, with that character's place and the word's length, is the same for all
+    words that differ in this place only; of these the most frequent is what a rare one may stand for. A pair is learned
+    if many rare words show it. For windows of Han script (``places``) that is at least LEAST_WINDOWS windows at each of
+    the three places, as a window's neighbour may be a word of its own but not all three; for words LEAST_WORDS, and
+    DOMINANCE times as many as for any other reading of the wrong character. Each wrong character has its best readings.
+    """
+    # Words of one or two letters differ in one place from too much.
+    spread = words.where(F.length("word") >= (3 if places else 4)).select("n", anagram_hash(F.col("word")).alias("ah"), F.length("word").alias("len"), F.posexplode(_points(F.col("word"))).alias("at", "ch"))
+    if places:
+        spread = spread.where(F.col("ch").rlike(r"^[\x{3400}-\x{9fff}]$"))
+    spread = spread.select("n", "ch", "at", "len", (F.col("ah") - F.hash("ch").cast("long")).alias("rest"))
+    same = ["rest", "at", "len"]
+    best = spread.where(F.col("n") >= LEAST_VARIANT).groupBy(*same).agg(F.max(F.struct("n", "ch")).alias("best"))
+    shown = spread.join(best, same).where((F.col("ch") != F.col("best.ch")) & (F.col("best.n") >= VARIANT_RATIO * F.col("n"))).where(F.col("best.ch").rlike(r"^\p{L}$"))
+    counts = shown.groupBy(F.col("best.ch").alias("right"), F.col("ch").alias("wrong"), "at").agg(F.count("*").alias("k"))
+    if places:
+        per = counts.groupBy("right", "wrong").agg(F.count_if(F.col("k") >= LEAST_WINDOWS).alias("full"), F.min("k").alias("k")).where("full = 3")
+    else:
+        per = counts.groupBy("right", "wrong").agg(F.sum("k").alias("k"))
+    # One row per pair of characters from here on.
+    ranked = per.withColumn("place", F.rank().over(Window.partitionBy("wrong").orderBy(F.desc("k")))).withColumn("next", F.lead("k").over(Window.partitionBy("wrong").orderBy(F.desc("k"), "right")))
+    if not places:
+        ranked = ranked.where((F.col("k") >= LEAST_WORDS) & (F.col("k") >= DOMINANCE * F.coalesce("next", F.lit(0))))
+    return ranked.where("place = 1").select("right", "wrong")
+
+
+def confusions(words: DataFrame, known: list[tuple[str, str]], places: bool) -> DataFrame:
+    """(right, wrong): the learned and the known pairs, as a table; as many as there are confusable characters."""
+    fixed = words.sparkSession.createDataFrame(known, "right string, wrong string")
+    return cut(learned_confusions(words, places).unionByName(fixed).distinct())
+
+
+def corrections(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(word, right, wrong, at, variant, sure, rank): rare words and the frequent words they are read for.
+
+    ``words`` has word and n, ``pairs`` right and wrong. ``at`` is the 1-based place of the wrong characters. A variant
+    must come WEAK_RATIO times as often as the word and WEAK_VARIANT times; it is ``sure`` at VARIANT_RATIO and
+    LEAST_VARIANT. Rank 1 is the most frequent.
     """
-    shifts = words.sparkSession.createDataFrame(pairs, "right string, wrong string").withColumn("shift", anagram_hash(F.col("right")) - anagram_hash(F.col("wrong"))).collect()
-    confusions = F.array(*[F.struct(F.lit(c["right"]).alias("right"), F.lit(c["wrong"]).alias("wrong"), F.lit(c["shift"]).cast("long").alias("shift")) for c in shifts])
+    shifts = pairs.select("right", "wrong", (anagram_hash(F.col("right")) - anagram_hash(F.col("wrong"))).alias("shift"))
     hashed = words.withColumn("ah", anagram_hash(F.col("word")))
-    held = F.filter(confusions, lambda c: F.contains("word", c["wrong"]))
-    rare = hashed.select("word", "n", "ah", F.explode(held).alias("c")).select("word", "n", "c.right", "c.wrong", (F.col("ah") + F.col("c.shift")).alias("ah"))
-    variants = hashed.where((F.col("n") >= LEAST_VARIANT) & (F.length("word") >= 3)).select(F.col("word").alias("variant"), F.col("n").alias("times"), "ah")
-    near = rare.join(variants, "ah").where(F.col("times") >= VARIANT_RATIO * F.col("n"))
+    points = _points(F.col("word"))
+    # The characters and pairs of characters of a word meet the confusable ones.
+    parts = F.array_distinct(F.concat(points, F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda i: F.substring("word", i, F.lit(2)))))
+    rare = hashed.select("word", "n", "ah", F.explode(parts).alias("wrong")).join(small(shifts), "wrong").select("word", "n", "right", "wrong", (F.col("ah") + F.col("shift")).alias("ah"))
+    variants = hashed.where((F.col("n") >= WEAK_VARIANT) & (F.length("word") >= 3)).select(F.col("word").alias("variant"), F.col("n").alias("times"), "ah")
+    near = rare.join(variants, "ah").where(F.col("times") >= WEAK_RATIO * F.col("n"))
     places = F.filter(
         F.sequence(F.lit(1), F.length("word")),
         lambda i: (F.substring("word", i, F.length("wrong")) == F.col("wrong"))
         & (F.concat(F.substring("word", F.lit(1), i - 1), "right", F.substring("word", i + F.length("wrong"), F.length("word"))) == F.col("variant")),
     )
-    found = near.withColumn("at", F.get(places, F.lit(0))).where("at is not null")
+    sure = (F.col("times") >= VARIANT_RATIO * F.col("n")) & (F.col("times") >= LEAST_VARIANT)
+    found = near.withColumn("at", F.get(places, F.lit(0))).where("at is not null").withColumn("sure", sure)
     rank = F.row_number().over(Window.partitionBy("word", "at", "wrong").orderBy(F.desc("times"), "variant"))
-    return found.withColumn("rank", rank).select("word", "right", "wrong", "at", "variant", "rank")
+    return found.withColumn("rank", rank).select("word", "right", "wrong", "at", "variant", "sure", "rank")
 
 
 def _plain(line: Column) -> Column:
@@ -177,7 +264,7 @@ def _plain(line: Column) -> Column:
 
 
 def misread_latin(lines: DataFrame, candidates: DataFrame, words: DataFrame) -> DataFrame:
-    """(block_id, word, variant): misread words of Latin script; variant is null where only the spelling shows it."""
+    """(block_id, word, variant, sure): misread words of Latin script; variant is null where only the spelling shows it."""
     line = F.regexp_replace(_solid(F.col("line")), rf"({_TOKEN})[{_MARKS}]\s*$", "")
     single = lines.where("furniture is null").select("block_id", F.explode(_tokens(line)).alias("token"))
     # A token is taken once per block; a cut word stands with both its parts, not as the tail in its next line.
@@ -188,45 +275,52 @@ def misread_latin(lines: DataFrame, candidates: DataFrame, words: DataFrame) ->
     used = single.where(F.length("word") >= 3).unionByName(cut_words).distinct()
     asked = used.select("word").distinct()
     extra = asked.join(words, "word", "left_anti").withColumn("n", F.lit(1).cast("long"))
-    lexicon = corrections(words.unionByName(extra), LATIN_CONFUSIONS).where("rank = 1").groupBy("word").agg(F.min(F.struct("at", "variant")).alias("fix"))
+    fixes = corrections(words.unionByName(extra), confusions(words, LATIN_CONFUSIONS, places=False)).where("rank = 1")
+    lexicon = fixes.groupBy("word").agg(F.min(F.struct((~F.col("sure")).alias("weak"), "at", "variant")).alias("fix"))
     known = used.join(lexicon, "word").select(
-        F.when(F.col("fix.at") <= F.col("head"), F.col("block_id")).otherwise(F.coalesce("next_block", "block_id")).alias("block_id"), "word", F.col("fix.variant").alias("variant")
+        F.when(F.col("fix.at") <= F.col("head"), F.col("block_id")).otherwise(F.coalesce("next_block", "block_id")).alias("block_id"), "word", F.col("fix.variant").alias("variant"), (~F.col("fix.weak")).alias("sure")
     )
     letters = F.length(F.regexp_replace("word", r"[^\p{L}]", ""))
     odd_number = F.col("word").rlike(r"^[0-9lozibsgq]+$") & F.col("word").rlike(r"\d") & F.col("word").rlike(r"\p{L}")
     odd_word = (letters >= 3) & F.col("word").rlike(r"[015689]|!\p{L}") & ~F.col("word").rlike(r"^\d+\p{L}+$|^\p{L}+\d{2,}$")
     odd = lines.where("furniture is null").select("block_id", F.explode(_tokens(F.lower(_solid(F.col("line"))))).alias("word")).where(odd_number | odd_word | F.col("word").contains("�"))
     lost = lines.where("furniture is null").where(F.col("line").contains("�")).select("block_id", F.lit("�").alias("word"))
-    return known.unionByName(odd.unionByName(lost).withColumn("variant", F.lit(None).cast("string")))
+    return known.unionByName(odd.unionByName(lost).withColumn("variant", F.lit(None).cast("string")).withColumn("sure", F.lit(True)))
 
 
 def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    easily = np.zeros(0x110000, dtype=bool)
-    easily[[ord(c) for c in _HAN]] = True
     for batch in batches:
+        weight = batch.column(1).to_numpy()
         for s in slices(pa.array(np.zeros(batch.num_rows, dtype=np.int64)), batch.column(0)):
             if len(s.cp) < 3:
                 continue
             cp = np.where((s.cp >= 0x30) & (s.cp <= 0x39), ord("#"), s.cp).astype(np.int64)
-            inside, line_end, owner = easily[cp], cp == 0xA, s.owner()
+            inside, line_end, owner = (cp >= 0x3400) & (cp <= 0x9FFF), cp == 0xA, s.owner()
             keep = (inside[:-2] | inside[1:-1] | inside[2:]) & ~(line_end[:-2] | line_end[1:-1] | line_end[2:]) & (owner[:-2] == owner[2:])
-            coded, n = np.unique(((cp[:-2] << 42) | (cp[1:-1] << 21) | cp[2:])[keep], return_counts=True)
-            words = ["".join(map(chr, x)) for x in np.stack([coded >> 42, (coded >> 21) & 0x1FFFFF, coded & 0x1FFFFF], axis=1)]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n.astype(np.int64))], names=["word", "n"])
+            coded, which = np.unique(((cp[:-2] << 42) | (cp[1:-1] << 21) | cp[2:])[keep], return_inverse=True)
+            n = np.bincount(which, weights=weight[s.rows][owner[:-2][keep]], minlength=len(coded))
+            spelled = np.stack([coded >> 42, (coded >> 21) & 0x1FFFFF, coded & 0x1FFFFF], axis=1).astype(np.uint32).tobytes().decode("utf-32-le", "replace")
+            yield pa.RecordBatch.from_arrays([pa.array([spelled[i : i + 3] for i in range(0, len(spelled), 3)], pa.string()), pa.array(n)], names=["word", "n"])
 
 
-def han_windows(blocks: DataFrame) -> DataFrame:
-    """(word, n): windows of three characters of a line, digits as one sign, around characters that are easily confused."""
-    return blocks.where("text is not null").select("text").mapInArrow(_count_windows, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+def han_windows(texts: DataFrame) -> DataFrame:
+    """(word, n): windows of three characters of a line with Han script, digits as one sign, of all texts (text, weight)."""
+    return in_arrow(texts.select("text", "weight"), _count_windows, "word string, n double").groupBy("word").agg(F.round(F.sum("n")).cast("long").alias("n")).where("n > 0")
 
 
-def misread_han(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(block_id, line_no, at, right): misread characters of Han script; ``at`` is the 1-based place in the plain line."""
-    grams = cut(han_windows(blocks))
-    pairs = [(p[0], p[1]) for p in HAN_CONFUSIONS]
-    lexicon = corrections(grams, pairs).select("word", "right", "wrong", "at")
+def misread_han(lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """(block_id, line_no, at, right): misread characters of Han script; ``at`` is the 1-based place in the plain line.
+
+    Of the up to three windows around a character, those that have the same frequent variant must be all, or two if the
+    other is too rare to say anything; a window that is frequent as it stands speaks for the character read.
+    """
+    grams = cut(han_windows(texts))
+    pairs = confusions(grams, [(p[0], p[1]) for p in HAN_CONFUSIONS], places=True)
+    wrongs = [r["wrong"] for r in pairs.select("wrong").distinct().collect()]  # at most one per character of the script
+    asked = grams.where(F.col("word").rlike("[" + "".join(wrongs) + "]")) if wrongs else grams.where("false")
+    lexicon = corrections(grams, pairs).where("sure").select("word", "right", "wrong", "at")
+    frequent = asked.where(F.col("n") >= LEAST_VARIANT).select("word", F.lit(True).alias("frequent"))
 
-    wrongs = "".join(sorted({p[1] for p in HAN_CONFUSIONS}))
     plain = lines.where("furniture is null").select("block_id", "line_no", _plain(F.col("line")).alias("line")).where(F.length("line") > 0)
     is_wrong = lambda i: F.substring("line", i, F.lit(1)).isin(*wrongs)
     place = plain.select("block_id", "line_no", "line", F.explode(F.filter(F.sequence(F.lit(1), F.length("line")), is_wrong)).alias("at"))
@@ -235,41 +329,53 @@ def misread_han(lines: DataFrame, blocks: DataFrame) -> DataFrame:
         "block_id", "line_no", F.col("at").alias("place"), "windows", F.substring("line", F.col("start"), F.lit(3)).alias("word"), (F.col("at") - F.col("start") + 1).alias("at")
     )
     agreed = seen.join(lexicon, ["word", "at"]).groupBy("block_id", "line_no", "place", "right").agg(F.count("*").alias("n"), F.max("windows").alias("windows"))
-    return agreed.where("n = windows").select("block_id", "line_no", F.col("place").alias("at"), "right")
+    all_, most = agreed.where("n = windows"), agreed.where("n = 2 and windows = 3")
+    # What the third window says is asked for the few places where it does not agree.
+    third = most.join(seen.join(lexicon, ["word", "at"], "left_anti"), ["block_id", "line_no", "place"]).join(frequent, "word", "left_semi").select("block_id", "line_no", "place")
+    silent = most.join(third.distinct(), ["block_id", "line_no", "place"], "left_anti")
+    return all_.unionByName(silent).select("block_id", "line_no", F.col("place").alias("at"), "right")
 
 
 def noise(blocks: DataFrame) -> DataFrame:
     """(block_id, noise): each kind of noise of each scanned block.
 
-    ``blocks`` has block_id, document_id, ordinal, kind, page, bbox_json, text; other columns are ignored. Blocks without
-    page, text or block_id have none, an empty table gives an empty result. Repeated blocks give one row per kind.
+    ``blocks`` has block_id, document_id, ordinal, kind, page, bbox_json, text, and may have confidence and
+    risk_flags_json; other columns are ignored. Blocks without page, text or block_id have none, an empty table gives an
+    empty result. Repeated blocks give one row per kind.
     """
     lines = cut(page_lines(blocks))
     furniture = lines.where("furniture is not null").select("block_id", F.col("furniture").alias("noise"))
-    words = cut(vocabulary(blocks))
-    candidates = cut(hyphen_evidence(broken_words(lines), blocks, words))
+    texts = weighted(blocks)
+    words = cut(vocabulary(texts))
+    candidates = cut(hyphen_evidence(broken_words(lines), texts, words))
     kind = lambda df, name: df.select("block_id", F.lit(name).alias("noise"))
-    return (
+    latin = cut(misread_latin(lines, candidates, words))
+    sure = cut(
         furniture.unionByName(kind(candidates.where("not spelled"), "broken_word"))
         .unionByName(kind(lines.where("furniture is null").where(F.col("line").rlike(_SPACED)), "spaced_out"))
-        .unionByName(kind(misread_latin(lines, candidates, words), "misread"))
-        .unionByName(kind(misread_han(lines, blocks), "misread"))
+        .unionByName(kind(latin.where("sure"), "misread"))
+        .unionByName(kind(misread_han(lines, texts), "misread"))
         .distinct()
     )
+    # Badly recognised blocks that show nothing yet are believed at weaker evidence.
+    left = lines.where("bad").select("block_id").distinct().join(sure.select("block_id"), "block_id", "left_anti")
+    return sure.unionByName(kind(latin.where("not sure").join(left, "block_id", "left_semi"), "misread").distinct())
 
 
 def paragraphs(blocks: DataFrame) -> DataFrame:
-    """(document_id, page, paragraph, text): the continuous paragraphs of scanned documents, repaired.
+    """(document_id, page, paragraph, part, text): the continuous paragraphs of scanned documents, repaired.
 
     Edge lines are gone, cut words joined, letters set apart put together, misread characters corrected where a frequent
     variant is known. A paragraph begins with a heading, table row or article label, belongs to the page where it begins,
-    and goes on over page ends. ``paragraph`` counts from 1 on its page; text before the first beginning is 0.
+    and goes on over page ends. ``paragraph`` counts from 1 on its page; text before the first beginning is 0. What goes
+    on over more than PARAGRAPH_PAGES pages comes in parts, so no row is larger than that many pages.
     """
     lines = cut(page_lines(blocks))
-    words = cut(vocabulary(blocks))
-    candidates = cut(hyphen_evidence(broken_words(lines), blocks, words))
-    latin = misread_latin(lines, candidates, words).where("variant is not null").groupBy("block_id").agg(F.collect_set(F.struct("word", "variant")).alias("words"))
-    han = misread_han(lines, blocks).groupBy("block_id", "line_no").agg(F.collect_set(F.struct("at", "right")).alias("chars"))
+    texts = weighted(blocks)
+    words = cut(vocabulary(texts))
+    candidates = cut(hyphen_evidence(broken_words(lines), texts, words))
+    latin = misread_latin(lines, candidates, words).where("variant is not null and sure").groupBy("block_id").agg(F.collect_set(F.struct("word", "variant")).alias("words"))
+    han = misread_han(lines, texts).groupBy("block_id", "line_no").agg(F.collect_set(F.struct("at", "right")).alias("chars"))
     joined = candidates.groupBy("block_id", "line_no").agg(F.max("spelled").alias("spelled"))
     text = lines.where("furniture is null").join(latin, "block_id", "left").join(han, ["block_id", "line_no"], "left").join(joined, ["block_id", "line_no"], "left")
 
@@ -285,25 +391,18 @@ def paragraphs(blocks: DataFrame) -> DataFrame:
     down = Window.partitionBy("document_id", "page").orderBy("ordinal", "block_id", "line_no")
     placed = cut(text.select("document_id", "page", "ordinal", "block_id", "line_no", piece.alias("piece"), F.sum(begins.cast("int")).over(down.rowsBetween(Window.unboundedPreceding, 0)).alias("paragraph")))
 
-    # What stands before a page's first beginning goes on from the page before, or from further back if nothing begins there.
+    # What stands before a page's first beginning goes on from the last page before on which a paragraph begins.
     ends = placed.groupBy("document_id", "page").agg(F.max("paragraph").alias("last"))
-    back = lambda c: ends.select("document_id", F.col("page").alias(c), F.col("last").alias("found"))
-    open_ = placed.where("paragraph = 0").select("document_id", "page").distinct().withColumn("home", F.col("page") - 1)
-    homes, open_ = None, cut(open_.join(back("home"), ["document_id", "home"]))
-    while True:
-        done = open_.where("found > 0").select("document_id", "page", "home", "found")
-        homes = done if homes is None else homes.unionByName(done)
-        rest = open_.where("found = 0")
-        if rest.isEmpty():
-            break
-        open_ = cut(rest.select("document_id", "page", (F.col("home") - 1).alias("home")).join(back("home"), ["document_id", "home"]))
+    homes = greatest_before(ends, "document_id", "page", F.when(F.col("last") > 0, F.struct("page", "last")), "home").select("document_id", "page", "home")
     all_ = placed.join(homes, ["document_id", "page"], "left").withColumn("early", F.col("paragraph") == 0)
     owned = all_.select(
-        "document_id", F.when(F.col("early"), F.coalesce("home", "page")).otherwise(F.col("page")).alias("of_page"), F.when(F.col("early"), F.coalesce("found", F.lit(0))).otherwise(F.col("paragraph")).cast("int").alias("paragraph"),
+        "document_id", F.when(F.col("early"), F.coalesce("home.page", "page")).otherwise(F.col("page")).alias("of_page"),
+        F.when(F.col("early"), F.coalesce("home.last", F.lit(0))).otherwise(F.col("paragraph")).cast("int").alias("paragraph"),
         F.struct("page", "ordinal", "block_id", "line_no", "piece").alias("x"),
     )
-    whole = owned.groupBy("document_id", F.col("of_page").alias("page"), "paragraph").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    return whole.select("document_id", "page", "paragraph", F.trim(F.array_join("x.piece", "")).alias("text"))
+    part = F.floor((F.col("x.page") - F.col("of_page")) / PARAGRAPH_PAGES).cast("int").alias("part")
+    whole = owned.groupBy("document_id", F.col("of_page").alias("page"), "paragraph", part).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return whole.select("document_id", "page", "paragraph", "part", F.trim(F.array_join("x.piece", "")).alias("text"))
 
 
 def _blocks(spark: SparkSession, base: str) -> DataFrame:
@@ -315,8 +414,6 @@ def found(spark: SparkSession, base: str) -> DataFrame:
     return noise(_blocks(spark, base))
 
 
-
-
 def repaired(spark: SparkSession, base: str) -> DataFrame:
     """p5_paragraphs: the repaired paragraphs of all scanned documents."""
     return paragraphs(_blocks(spark, base))
