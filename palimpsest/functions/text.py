@@ -5,10 +5,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from palimpsest.plans.session import ship
+
 # Han ranges of the compact form and of the token estimate.
 HAN = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}"
 
@@ -28,11 +30,17 @@ def squeeze(text: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode NFKC, row by row within Arrow batches; null stays null."""
+def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def nfkc(text: Column) -> Column:
+    """Unicode NFKC, row by row within Arrow batches; null stays null."""
+    if session := SparkSession.getActiveSession():
+        ship(session)
+    return _nfkc(text)
+
+
 def normalize_text(text: Column) -> Column:
     return squeeze(nfkc(text))
 
@@ -73,6 +81,62 @@ def english_stem(word: Column) -> Column:
     )
 
 
+def expanded_terms(text: Column) -> Column:
+    """Distinct search terms of two or more characters, with what a reader may call them by.
+
+    Words joined by hyphen, underscore or dot, whole and in their parts; parts of camel case; stems of the parts; pairs
+    and triples of successive Han characters, and Han runs of up to twelve as they are. Null has none.
+    """
+    text = F.coalesce(text, F.lit(""))
+    low = F.lower(text)
+    grams = lambda n: F.regexp_extract_all(low, F.lit(f"(?=([{HAN}]{{{n}}}))"), F.lit(1))
+    runs = F.filter(F.regexp_extract_all(low, F.lit(f"[{HAN}]+"), F.lit(0)), lambda r: F.length(r) <= 12)
+    tokens = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9]+(?:[-_.][A-Za-z0-9]+)*"), F.lit(0))
+    camel = lambda t: F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "[-_.]+", " "), "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z])([A-Z][a-z])", "$1 $2")
+    parts = F.flatten(F.transform(tokens, lambda t: F.split(F.lower(camel(t)), " ")))
+    every = F.concat(F.transform(tokens, F.lower), parts, F.transform(parts, english_stem), grams(2), grams(3), runs)
+    return F.array_distinct(F.filter(every, lambda t: F.length(t) >= 2))
+
+
+def target_anchors(text: Column) -> Column:
+    """Distinct names in a query, lower case: two or more successive capitalised words, and words all in capitals."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"[A-Z][A-Za-z0-9]*(?: [A-Z][A-Za-z0-9]*)+|[A-Z]{2,}[A-Z0-9]*"), F.lit(0)), F.lower))
+
+
+def identity_text(text: Column) -> Column:
+    """Letters and digits only, NFKC, lower case: the same for spellings that differ in width, case and marks."""
+    return F.regexp_replace(F.lower(nfkc(text)), r"[^\p{L}\p{N}]+", "")
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON with sorted keys and no blanks; null for what isn't JSON, and for objects that name a key twice."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def as_of_moment(text: Column) -> Column:
+    """A day as its last second, other ISO-8601 times as they are: UTC seconds with Z; null if it is neither."""
+    return canonical_timestamp(F.when(F.length(text) == 10, F.concat(text, F.lit("T23:59:59Z"))).otherwise(text))
+
+
+# What must not leave by an answer: paths of a machine, secrets, hidden characters.
+UNSAFE = {
+    "local_path": r"(?:^|[\s\"'(])(?:/(?:home|Users|root|etc|var|tmp)/|[A-Za-z]:\\\\)",
+    "secret": r"(?i)\b(?:api[_-]?key|secret|password|token)\b\s*[:=]\s*\S{8,}|-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "hidden": INSTRUCTION_RISKS["hidden"],
+}
+
+
+def unsafe_reasons(text: Column) -> Column:
+    """Names of what makes a text unsafe to hand out, in fixed order."""
+    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(name)) for name, p in UNSAFE.items()]))
+
+
+def marker_places(text: Column, marker: Column) -> Column:
+    """The 1-based places of ``marker`` in a short text; each character is looked at, so windows only."""
+    n = F.length(text) - F.length(marker) + 1
+    return F.when(n > 0, F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.length(marker)) == marker)).otherwise(F.array().cast("array<int>"))
+
+
 def quoted_phrases(text: Column, most: int = 8) -> Column:
     return F.slice(F.regexp_extract_all(text, F.lit(r"[\"“「`]([^\"”」`]{1,200})[\"”」`]"), F.lit(1)), 1, most)
 

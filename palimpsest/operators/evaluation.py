@@ -21,6 +21,24 @@ def ranking_metrics(results: DataFrame, expected: DataFrame, by: str) -> DataFra
     )
 
 
+def weight_profile(channels: DataFrame, expected: DataFrame, grid: dict[str, dict[str, float]], constant: int = 60) -> DataFrame:
+    """(profile, queries, mrr, place): how well each set of channel weights of ``grid`` ranks, best first.
+
+    ``channels``: query_id, item_id, channel, rank; ``expected``: query_id, item_id. All profiles are fused in one pass;
+    equal scores rank by item_id, a query without a hit counts 0, equal profiles are placed by name.
+    """
+    profiles = F.explode(F.array(*[F.struct(F.lit(name).alias("profile"), F.create_map(*[F.lit(x) for kv in w.items() for x in kv]).alias("w")) for name, w in grid.items()]))
+    best = channels.groupBy("query_id", "item_id", "channel").agg(F.min("rank").alias("rank")).select("*", profiles.alias("p"))
+    weight = F.coalesce(F.element_at("p.w", F.col("channel")), F.lit(0.0))
+    fused = best.groupBy("p.profile", "query_id", "item_id").agg(F.round(F.sum(weight / (constant + F.col("rank"))), 9).alias("score"))
+    ranked = fused.withColumn("rank", F.row_number().over(Window.partitionBy("profile", "query_id").orderBy(F.desc("score"), "item_id")))
+    hits = ranked.join(expected.select("query_id", "item_id").distinct(), ["query_id", "item_id"]).groupBy("profile", "query_id").agg(F.min("rank").alias("first"))
+    asked = expected.select("query_id").distinct().select("query_id", F.explode(F.array(*[F.lit(n) for n in grid])).alias("profile"))
+    out = asked.join(hits, ["profile", "query_id"], "left").groupBy("profile").agg(F.count("*").alias("queries"), F.round(F.avg(F.coalesce(F.try_divide(F.lit(1.0), F.col("first")), F.lit(0.0))), 6).alias("mrr"))
+    # One row per profile: placing them in one task is bounded.
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mrr"), "profile")))
+
+
 def index_percentiles(df: DataFrame, by: str, value: str, buckets: int = 4096) -> DataFrame:
     """(by, n, p50, p95): values at index n // 2 and max(0, int(.95 n) - 1) of each group's ascending order.
 

@@ -102,3 +102,62 @@ def diverse(ranked: DataFrame, group: str, k: int, *per: str) -> DataFrame:
     one = ranked.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "rank")
     place = F.row_number().over(Window.partitionBy(*per, "query_id").orderBy(F.desc("score"), "item_id"))
     return one.withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def retrieve(channels: DataFrame, items: DataFrame, queries: DataFrame, weights: dict[str, float], k: int, most_items: int, most_size: int) -> DataFrame:
+    """(query_id, item_id, group, score, place): one answer list per query, from ranked channels to what fits a budget.
+
+    ``channels``: query_id, item_id, channel, rank; ``items``: item_id, group, s, e, size; ``queries``: query_id, day.
+    Items that are not valid on the query's day are dropped (half-open, null bounds open, a null day drops none), the
+    rest is fused by reciprocal ranks, the best item of each of the best ``k`` groups goes on, and what fits
+    ``most_items`` and ``most_size`` in rank order is taken. Null groups are one group.
+    """
+    day = queries.select("query_id", "day")
+    valid = F.col("day").isNull() | ((F.col("s").isNull() | (F.col("s") <= F.col("day"))) & (F.col("e").isNull() | (F.col("e") > F.col("day"))))
+    admitted = channels.join(items.select("item_id", "s", "e"), "item_id").join(day, "query_id").where(valid).select("query_id", "item_id", "channel", "rank")
+    fused = reciprocal_rank(admitted, weights).join(items.select("item_id", "group", "size"), "item_id")
+    best = diverse(fused.select("query_id", "item_id", "score", "rank", "group", "size"), "group", k)
+    chosen = first_fit(best, "size", most_items, most_size).select("query_id", F.posexplode("ids").alias("place", "item_id"))
+    kept = best.select("query_id", "item_id", "group", "score").join(chosen, ["query_id", "item_id"])
+    return kept.select("query_id", "item_id", "group", "score", (F.col("place") + 1).alias("place"))
+
+
+def partition_budget(ranked: DataFrame, total: int) -> DataFrame:
+    """(query_id, item_id, tokens): ``total`` split over each query's items (query_id, item_id, score) in proportion to their scores.
+
+    Whole numbers by largest remainders, ties by item_id; they add up to ``total``. Scores that are null or not above
+    zero get nothing. The lists are bounded.
+    """
+    per = Window.partitionBy("query_id")
+    usable = ranked.where("score > 0").select("query_id", "item_id", F.col("score").cast("double").alias("score"))
+    exact = usable.withColumn("exact", F.round(F.col("score") / F.sum("score").over(per) * total, 6))
+    floors = exact.withColumn("whole", F.floor("exact").cast("long")).withColumn("left", F.lit(total) - F.sum("whole").over(per))
+    place = F.row_number().over(per.orderBy(F.desc(F.round(F.col("exact") - F.col("whole"), 6)), "item_id"))
+    return floors.select("query_id", "item_id", (F.col("whole") + (place <= F.col("left")).cast("long")).alias("tokens"))
+
+
+# Bonus for a group not chosen yet, and penalty for each item already chosen of it, at most the last.
+NEW_GROUP, REPEATED, MOST_PENALTY = 0.002, 0.001, 0.004
+
+
+def diverse_greedy(ranked: DataFrame, most: int) -> DataFrame:
+    """(query_id, item_id, place): greedy choice by score with a bonus for new groups and a penalty for repeated ones.
+
+    ``ranked``: the bounded list of each query (query_id, item_id, group, score). Each step takes the item with the
+    highest score + bonus - penalty, the least item_id on ties. Null groups have neither. Spark folds each list in place.
+    """
+    listed = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("item_id", F.col("score").cast("double").alias("score"), F.col("group").cast("string").alias("group")))).alias("x"))
+    start = F.struct(F.array().cast("array<string>").alias("ids"), F.array().cast("array<string>").alias("groups"), F.col("x").alias("rest"))
+
+    def step(acc, _):
+        again = lambda v: F.size(F.filter(acc["groups"], lambda g: g == v["group"]))
+        change = lambda v: F.when(v["group"].isNull(), 0.0).when(again(v) == 0, NEW_GROUP).otherwise(-F.least(F.lit(MOST_PENALTY), REPEATED * again(v)))
+        # The least of (negative objective, id) is the best.
+        marked = F.transform(acc["rest"], lambda v: F.struct((-F.round(v["score"] + change(v), 9)).alias("o"), v["item_id"].alias("i"), v["group"].alias("g")))
+        best = F.array_min(marked)
+        return F.when(F.size(acc["rest"]) == 0, acc).otherwise(
+            F.struct(F.array_append(acc["ids"], best["i"].cast("string")).alias("ids"), F.array_append(acc["groups"], best["g"]).alias("groups"), F.filter(acc["rest"], lambda v: v["item_id"] != best["i"]).alias("rest"))
+        )
+
+    ids = F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["ids"]
+    return listed.select("query_id", F.posexplode(ids).alias("place", "item_id")).select("query_id", "item_id", (F.col("place") + 1).alias("place"))

@@ -28,6 +28,20 @@ def k_hop(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return seen.where("hop > 0")
 
 
+def reached(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """(node, hop): nodes within ``hops`` steps of any seed (column node) along the edges, with the fewest steps, seeds left out.
+
+    Each round joins only the newly reached nodes; null ends are ignored, cycles are fine.
+    """
+    links = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+    seen = frontier = cut(seeds.where("node is not null").select("node", F.lit(0).alias("hop")).distinct())
+    for hop in range(1, hops + 1):
+        step = frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        frontier = cut(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hop")))
+        seen = seen.unionByName(frontier)
+    return seen.where("hop > 0")
+
+
 def worst_reached(states: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, state): the greatest state among a node and all it depends on.
 

@@ -57,12 +57,12 @@ def _terms_sql(c: str) -> str:
     return f"(regexp_extract_all({low}, '[a-z0-9]+') || flatten(list_transform({runs}, lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))))"
 
 
-def _bm25_sql(queries: str, items: str, item: str, weights: dict[str, float], k: int) -> str:
-    parts = " UNION ALL ".join(f"SELECT {item} AS item_id, unnest({_terms_sql(c)}) AS term, {w} AS w FROM {items}" for c, w in weights.items())
-    sizes = " + ".join(f"len({_terms_sql(c)})" for c in weights)
+def _bm25_sql(queries: str, items: str, item: str, weights: dict[str, float], k: int, make=_terms_sql) -> str:
+    parts = " UNION ALL ".join(f"SELECT {item} AS item_id, unnest({make(c)}) AS term, {w} AS w FROM {items}" for c, w in weights.items())
+    sizes = " + ".join(f"len({make(c)})" for c in weights)
     return f"""
       q AS ({queries}),
-      asked AS (SELECT DISTINCT query_id, unnest({_terms_sql('text')}) AS term FROM q),
+      asked AS (SELECT DISTINCT query_id, unnest({make('text')}) AS term FROM q),
       post AS (SELECT item_id, term, sum(w) AS f FROM ({parts}) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
       size AS (SELECT {item} AS item_id, CAST({sizes} AS DOUBLE) AS d FROM {items}),
       whole AS (SELECT count(*) AS n_items, avg(d) AS mean FROM size),

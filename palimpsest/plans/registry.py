@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.operators import hierarchy, intervals
-from palimpsest.plans import queries
+from palimpsest.plans import knowledge, queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ QUERIES: dict[str, Query] = {
     "p3_lineage": hierarchy.newest_lineage,
     "p3_successors": hierarchy.key_successors,
     **queries.QUERIES,
+    **knowledge.QUERIES,
 }
 
 _DAYS = f"""
@@ -66,4 +67,5 @@ SQL: dict[str, str] = {
       down AS (SELECT root.id, link.id AS node FROM root JOIN link ON link.parent = root.id UNION ALL SELECT down.id, link.id FROM down JOIN link ON link.parent = down.node)
       SELECT id AS source_id, node AS descendant_id FROM down""",
     **queries.SQL,
+    **knowledge.SQL,
 }
