@@ -275,3 +275,70 @@ def test_invisible_characters_of_the_last_plane_go(spark):
     texts = ["法典", "法\U000e0100典\U000e01ef", "\U000e0001法典\U000e0041\U000e007f"]
     df = spark.createDataFrame([("t", str(i), x) for i, x in enumerate(texts)], "field string, id string, text string")
     assert {tuple(r) for r in lookalikes.alike_pairs(df).collect()} >= {("t", "0", "1"), ("t", "0", "2")}
+
+
+# --- problem 5, continued
+
+
+def test_scan_goes_on_over_pages_without_text(spark):
+    blocks = [
+        ("paragraph", 1, 90.0, "The panel shall record every decision and notice of inspec-"), ("paragraph", 1, 800.0, "1"),
+        ("paragraph", 2, 800.0, "2"),
+        ("paragraph", 5, 90.0, "tion in the ledger of the court and the panel shall go on"), ("paragraph", 5, 800.0, "5"),
+    ]
+    blocks += [("paragraph", None, None, "the inspection of the ledger")] * 3
+    df = scan(spark, blocks)
+    assert {tuple(r) for r in scan_noise.noise(df).collect()} == {("b0", "broken_word"), ("b1", "page_number"), ("b2", "page_number"), ("b4", "page_number")}
+    text = scan_noise.paragraphs(df).collect()
+    assert [(r.page, r.paragraph) for r in text if "ledger" in r.text] == [(5, 0)] and "".join(r.text for r in sorted(text, key=lambda r: r.page)).count("inspection") == 1
+
+
+def test_long_paragraphs_come_in_parts(spark):
+    pages = [("heading", 1, 90.0, "Heading of a long text without end")] + [("paragraph", p, 120.0, f"line of page {p} of the text that goes on and on") for p in range(1, 200, 2)]
+    rows = scan_noise.paragraphs(scan(spark, pages)).orderBy("part").collect()
+    assert {(r.page, r.paragraph) for r in rows} == {(1, 1)} and [r.part for r in rows] == [0, 1, 2, 3]
+    assert " ".join(r.text for r in rows).count("line of page") == 100
+
+
+def test_repeated_edge_lines_and_large_pages(spark):
+    body = "The panel shall record every decision and the notice of the court"
+    blocks = []
+    for p in range(1, 5):
+        blocks += [("paragraph", p, None, "A RATHER LONG HEADING THAT IS NOT SHORTER THAN TEXT 9"), ("paragraph", p, 200.0, body), ("paragraph", p, 300.0, "repeated in the middle of pages, never at an edge"), ("paragraph", p, 400.0, body)]
+    got = {tuple(r) for r in scan_noise.noise(scan(spark, blocks)).collect()}
+    assert got == {(f"b{i}", "running_line") for i in range(0, 16, 4)}
+    # On a page twice as high the margins are twice as wide.
+    rows = [("b0", "d", 0, "paragraph", 1, "[72.0,90.0,500.0,110.0]", body), ("b1", "d", 1, "paragraph", 1, "[72.0,200.0,500.0,1684.0]", body), ("b2", "d", 2, "paragraph", 1, "[72.0,1500.0,500.0,1520.0]", body)]
+    df = spark.createDataFrame(rows, "block_id string, document_id string, ordinal int, kind string, page int, bbox_json string, text string")
+    assert {tuple(r) for r in scan_noise.noise(df).collect()} == {("b0", "running_line")}
+
+
+def test_confusions_are_learned(spark):
+    """Pairs that are on no list are learned from what the corpus shows, and found in words held out from learning."""
+    rng = random.Random(15)
+    stems = ["harvest", "granary", "vessel", "advance", "cavern", "lavish", "novice", "savour", "travel", "velvet", "vacant", "vendor"]
+    words = [(w, 40) for w in stems] + [(w.replace("v", "y", 1), 1) for w in stems[:8]] + [("".join(rng.choice("bdmpt") for _ in range(6)), 2) for _ in range(30)]
+    df = spark.createDataFrame(words + [("ad", 90), ("ed", 1)], "word string, n long")
+    assert {tuple(r) for r in scan_noise.learned_confusions(df, places=False).collect()} == {("v", "y")}
+    han = [("甲应当", 50), ("应当保", 50), ("人应当", 50), ("各应由", 50), ("由应该", 50), ("该由应", 50), ("不由应", 50), ("甲盔当", 1), ("盔当保", 1), ("人盔当", 1), ("盔当然", 1), ("应当然", 9), ("该由盔", 1), ("不由盔", 1), ("会说明", 5), ("会查明", 60)]
+    assert {tuple(r) for r in scan_noise.learned_confusions(spark.createDataFrame(han, "word string, n long"), places=True).collect()} == {("应", "盔")}
+    body = "We harvest the granary and the vessel, advance to the cavern, lavish for a novice, savour the travel, in velvet, vacant for a vendor."
+    noisy = [body.replace(w, w.replace("v", "y", 1)) for w in stems[:8] if "v" in w]
+    blocks = [("paragraph", None, None, body)] * 30 + [("paragraph", p, 200.0, t) for p, t in enumerate(noisy, 1)] + [("paragraph", 50, 200.0, body.replace("vendor", "yendor")), ("paragraph", 51, 200.0, body)]
+    got = {tuple(r) for r in scan_noise.noise(scan(spark, blocks)).collect()}
+    assert got == {(f"b{30 + i}", "misread") for i in range(len(noisy) + 1)}
+
+
+def test_badly_recognised_blocks_are_believed_at_weaker_evidence(spark):
+    rows = [(f"n{i}", "d", i, "paragraph", None, None, "the market inspector", None, None) for i in range(3)]
+    rows += [("low", "d", 10, "paragraph", 1, "[72.0,200.0,500.0,210.0]", "the markct inspector", 62.0, None), ("flag", "d", 11, "paragraph", 2, "[72.0,200.0,500.0,210.0]", "the market inspcctor", None, '["ocr_low_confidence"]')]
+    rows += [("fine", "d", 12, "paragraph", 3, "[72.0,200.0,500.0,210.0]", "the market inspecfor", 0.95, "[]")]
+    df = spark.createDataFrame(rows, "block_id string, document_id string, ordinal int, kind string, page int, bbox_json string, text string, confidence double, risk_flags_json string")
+    assert {tuple(r) for r in scan_noise.noise(df).collect()} == {("low", "misread"), ("flag", "misread")}
+
+
+def test_blocks_delivered_twice_count_once(spark):
+    df = spark.createDataFrame([("a", "one two"), ("a", "one two"), ("a", "one two"), ("b", "one"), (None, "two"), (None, "two"), ("c", None)], "block_id string, text string")
+    assert {r.word: r.n for r in scan_noise.vocabulary(scan_noise.weighted(df)).collect()} == {"one": 2, "two": 3}
+    han = spark.createDataFrame([("a", "甲乙丙"), ("a", "甲乙丙"), ("b", "甲乙丙丁")], "block_id string, text string")
+    assert {r.word: r.n for r in scan_noise.han_windows(scan_noise.weighted(han)).collect()} == {"甲乙丙": 2, "乙丙丁": 1}
