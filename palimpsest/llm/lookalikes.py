@@ -170,7 +170,8 @@ def looks(values: DataFrame) -> DataFrame:
     plains, runs = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
     paired = F.flatten(F.transform(F.arrays_zip(plains.alias("p"), runs.alias("r")), lambda x: F.array(x["p"], F.coalesce(x["r"], F.lit("")))))
     kept = values.where("id is not null and text is not null")
-    rows = kept.select("field", "id", F.xxhash64("text").alias("raw"), F.when(F.col("text").contains(_MARK), paired).otherwise(marked).alias("parts"))
+    # Kept as a table: the search is the dearest step, and both the distinct runs and the pieces come from it.
+    rows = cut(kept.select("field", "id", F.xxhash64("text").alias("raw"), F.when(F.col("text").contains(_MARK), paired).otherwise(marked).alias("parts")))
     seen = rows.select(F.explode(F.array_distinct(F.filter("parts", lambda x, i: (i % 2 == 1) & (x != "")))).alias("run"))
     forms = cut(run_forms(seen.distinct()))
     pair = F.transform(F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / 2).cast("int")), lambda i: F.struct(F.get("parts", 2 * i).alias("plain"), F.get("parts", 2 * i + 1).alias("run")))
