@@ -67,6 +67,8 @@ def rerank(queries: DataFrame, candidates: DataFrame, items: DataFrame) -> DataF
     both = pairs.join(asked, "query_id").join(held, "item_id").select("query_id", "item_id", "utility", coverage.alias("coverage"))
     near = pair_cosine(pairs, feature_vectors(queries.select(F.col("query_id").alias("id"), "text")), feature_vectors(wanted.select(F.col("item_id").alias("id"), "text")))
     scored = both.join(near, ["query_id", "item_id"], "left").fillna(0.0, ["cosine"])
-    total = F.round(COVERAGE * F.col("coverage") + COSINE * F.col("cosine") + UTILITY * F.col("utility"), 6)
-    out = scored.select("query_id", "item_id", F.round("coverage", 6).alias("coverage"), F.round("cosine", 6).alias("cosine"), total.alias("score"))
+    total = COVERAGE * F.col("coverage") + COSINE * F.col("cosine") + UTILITY * F.col("utility")
+    # A sum just below zero is zero, not minus zero.
+    rounded = lambda c: F.when(F.round(c, 6) == 0, 0.0).otherwise(F.round(c, 6))
+    out = scored.select("query_id", "item_id", F.round("coverage", 6).alias("coverage"), rounded(F.col("cosine")).alias("cosine"), rounded(total).alias("score"))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")))

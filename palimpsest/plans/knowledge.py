@@ -75,7 +75,8 @@ def _vectors_sql(name: str, source: str) -> str:
     f"""WITH {base_queries._CANDIDATES}, {_vectors_sql('a', 'SELECT query_id AS id, text FROM q')}, {_vectors_sql('b', 'SELECT segment_id AS id, text FROM segments WHERE segment_id IN (SELECT item_id FROM cand)')},
       near AS (SELECT c.query_id, c.item_id, sum(a_v.v * b_v.v) / max(a_n.norm) / max(b_n.norm) AS cosine FROM cand c JOIN a_v ON a_v.id = c.query_id JOIN b_v ON b_v.id = c.item_id AND b_v.bucket = a_v.bucket JOIN a_n ON a_n.id = c.query_id JOIN b_n ON b_n.id = c.item_id GROUP BY ALL),
       cover AS (SELECT c.query_id, c.item_id, len(list_intersect(list_distinct({_terms_sql('q.text')}), c.t)) / greatest(1, len(list_distinct({_terms_sql('q.text')}))) AS coverage FROM cand c JOIN q USING (query_id)),
-      s AS (SELECT query_id, item_id, round(coverage, 6) AS coverage, round(coalesce(cosine, 0), 6) AS cosine, round(0.55 * coverage + 0.35 * coalesce(cosine, 0), 6) AS score FROM cover LEFT JOIN near USING (query_id, item_id))
+      r AS (SELECT query_id, item_id, round(coverage, 6) AS coverage, round(coalesce(cosine, 0), 6) AS cosine, round(0.55 * coverage + 0.35 * coalesce(cosine, 0), 6) AS score FROM cover LEFT JOIN near USING (query_id, item_id)),
+      s AS (SELECT query_id, item_id, coverage, CASE WHEN cosine = 0 THEN CAST(0 AS DOUBLE) ELSE cosine END AS cosine, CASE WHEN score = 0 THEN CAST(0 AS DOUBLE) ELSE score END AS score FROM r)
       SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INT) AS rank FROM s"""
 )
 def reranked_candidates(spark, base):
