@@ -97,7 +97,7 @@ def page_lines(blocks: DataFrame) -> DataFrame:
     bad = _bad(_optional(blocks, "confidence", "double"), _optional(blocks, "risk_flags_json", "string"))
     scanned = kept.select(owner, "page", F.coalesce("ordinal", F.lit(0)).alias("ordinal"), "block_id", "kind", at(1).alias("y"), bad.alias("bad"), "text")
     # Documents on larger pages, and the lines that several pages of a document have, digits aside: few, and combined before the shuffle.
-    large = kept.where(at(3) > PAGE_HEIGHT).groupBy(owner).agg((F.max(at(3)) / PAGE_HEIGHT).alias("scale"))
+    large = kept.where(F.col("bbox_json").rlike(r"(?:84[2-9]|8[5-9]\d|9\d\d|\d{4,})(?:\.\d+)?\s*\]")).where(at(3) > PAGE_HEIGHT).groupBy(owner).agg((F.max(at(3)) / PAGE_HEIGHT).alias("scale"))
     short = kept.where((F.length("text") <= REPEATED_CHARS) & ~F.contains("text", F.lit("\n")) & ~F.col("kind").isin("heading", "table_row"))
     repeated = short.groupBy(owner, _mask(F.col("text")).alias("mask")).agg(F.count_distinct("page").alias("pages")).where((F.col("pages") >= REPEATED_PAGES) & (F.length("mask") > 2))
     page = ["document_id", "page"]
@@ -328,10 +328,12 @@ def misread_han(lines: DataFrame, texts: DataFrame) -> DataFrame:
     seen = place.withColumn("windows", F.size(starts)).select("block_id", "line_no", "at", "windows", F.explode(starts).alias("start"), "line").select(
         "block_id", "line_no", F.col("at").alias("place"), "windows", F.substring("line", F.col("start"), F.lit(3)).alias("word"), (F.col("at") - F.col("start") + 1).alias("at")
     )
-    agreed = seen.join(lexicon, ["word", "at"]).groupBy("block_id", "line_no", "place", "right").agg(F.count("*").alias("n"), F.max("windows").alias("windows"))
+    agreed = cut(seen.join(lexicon, ["word", "at"]).groupBy("block_id", "line_no", "place", "right").agg(F.count("*").alias("n"), F.max("windows").alias("windows")))
     all_, most = agreed.where("n = windows"), agreed.where("n = 2 and windows = 3")
-    # What the third window says is asked for the few places where it does not agree.
-    third = most.join(seen.join(lexicon, ["word", "at"], "left_anti"), ["block_id", "line_no", "place"]).join(frequent, "word", "left_semi").select("block_id", "line_no", "place")
+    # What the third window says is asked for the few places where it does not agree; only their lines are looked at again.
+    again = plain.join(small(most.select("block_id", "line_no", "place").distinct()), ["block_id", "line_no"])
+    three = again.select("block_id", "line_no", "place", "line", F.explode(F.array(F.lit(2), F.lit(1), F.lit(0))).alias("k")).select("block_id", "line_no", "place", F.substring("line", F.col("place") - F.col("k"), F.lit(3)).alias("word"), (F.col("k") + 1).alias("at"))
+    third = three.join(lexicon, ["word", "at"], "left_anti").join(frequent, "word", "left_semi").select("block_id", "line_no", "place")
     silent = most.join(third.distinct(), ["block_id", "line_no", "place"], "left_anti")
     return all_.unionByName(silent).select("block_id", "line_no", F.col("place").alias("at"), "right")
 
