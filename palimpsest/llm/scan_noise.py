@@ -86,7 +86,7 @@ def _solid(line: Column) -> Column:
 
 
 def page_lines(blocks: DataFrame) -> DataFrame:
-    """Lines of scanned blocks: document_id, page, ordinal, block_id, kind, furniture, bad, line_no, line, next_line, next_block.
+    """Lines of scanned blocks, as tables: document_id, page, ordinal, block_id, kind, furniture, bad, line_no, line, next_line, next_block.
 
     ``furniture`` is running_line, page_number or null; such blocks have one row and no next line. Blocks without page
     or text are no scanned text; blocks delivered twice count once. Blocks without document are each a page of their own.
@@ -143,7 +143,7 @@ def page_lines(blocks: DataFrame) -> DataFrame:
     over = text_lines.where("next_line is null").join(after, page, "left").select(
         *page, "ordinal", "block_id", "kind", "furniture", "bad", "line_no", "line", F.col("then.line").alias("next_line"), F.col("then.block_id").alias("next_block")
     )
-    return rows.where("furniture is not null or next_line is not null").unionByName(over)
+    return rows.where("furniture is not null or next_line is not null").unionByName(cut(over))
 
 
 def _mask(text: Column) -> Column:
@@ -345,7 +345,7 @@ def noise(blocks: DataFrame) -> DataFrame:
     risk_flags_json; other columns are ignored. Blocks without page, text or block_id have none, an empty table gives an
     empty result. Repeated blocks give one row per kind.
     """
-    lines = cut(page_lines(blocks))
+    lines = page_lines(blocks)
     furniture = lines.where("furniture is not null").select("block_id", F.col("furniture").alias("noise"))
     texts = weighted(blocks)
     words = cut(vocabulary(texts))
@@ -372,7 +372,7 @@ def paragraphs(blocks: DataFrame) -> DataFrame:
     and goes on over page ends. ``paragraph`` counts from 1 on its page; text before the first beginning is 0. What goes
     on over more than PARAGRAPH_PAGES pages comes in parts, so no row is larger than that many pages.
     """
-    lines = cut(page_lines(blocks))
+    lines = page_lines(blocks)
     texts = weighted(blocks)
     words = cut(vocabulary(texts))
     candidates = cut(hyphen_evidence(broken_words(lines), texts, words))
