@@ -7,7 +7,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.plans.session import cut, cut_counted, discard, scratch, shared_folder, ship, small
+from palimpsest.plans.session import cut, cut_counted, discard, scratch, shared_folder, ship, small, together
 
 
 def test_cut_and_discard(spark):
@@ -77,3 +77,14 @@ def test_small_counts_bytes_too(spark):
     wide = spark.range(3).select("id", F.repeat(F.lit("x"), 1000).alias("t"))
     plan = lambda df: spark.range(10).join(df, "id")._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in plan(small(wide, 5, 4000)) and "broadcast" not in plan(small(wide, 5, 2000))
+
+
+def test_together_keeps_order_scratch_and_errors(spark):
+    spark.sparkContext.setLocalProperty("spark.test.name", "x")
+    with scratch():
+        a, b, name = together(spark, lambda: cut(spark.range(3)), lambda: cut(spark.range(4)), lambda: spark.sparkContext.getLocalProperty("spark.test.name"))
+        assert a.count() == 3 and b.count() == 4 and name == "x"
+        folders = [df._cut_path.removeprefix("file://") for df in (a, b)]
+    assert not any(map(os.path.exists, folders))
+    with pytest.raises(ZeroDivisionError):
+        together(spark, lambda: 1 / 0, lambda: 1)
