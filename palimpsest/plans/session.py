@@ -8,14 +8,11 @@ import uuid
 import warnings
 import zipfile
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from contextvars import ContextVar, copy_context
+from contextvars import ContextVar
 from functools import cache
 from pathlib import Path
-from threading import Lock
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +43,6 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _shipped: set[str] = set()
-_shipping = Lock()
 
 
 def ship(spark: SparkSession) -> None:
@@ -54,26 +50,25 @@ def ship(spark: SparkSession) -> None:
 
     Warns if adaptive execution is off: joins with a hot key count on it to split them.
     """
-    with _shipping:
-        app = spark.sparkContext.applicationId
-        if app in _shipped:
-            return
-        _shipped.add(app)
-        for name in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"):
-            if spark.conf.get(name).lower() != "true":
-                warnings.warn(f"{name} is off; joins with a hot key are not split", stacklevel=2)
-        root = Path(__file__).resolve().parents[1]
-        data = io.BytesIO()
-        with zipfile.ZipFile(data, "w") as z:
-            for file in sorted(root.rglob("*.py")):
-                z.write(file, file.relative_to(root.parent))
-        path = f"{shared_folder(spark)}/code-{uuid.uuid4().hex}.zip"
-        fs, target = _path(spark, path)
-        stream = fs.create(target, True)
-        stream.write(bytearray(data.getvalue()))
-        stream.close()
-        fs.deleteOnExit(target)
-        spark.sparkContext.addPyFile(path)
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    for name in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"):
+        if spark.conf.get(name).lower() != "true":
+            warnings.warn(f"{name} is off; joins with a hot key are not split", stacklevel=2)
+    root = Path(__file__).resolve().parents[1]
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    path = f"{shared_folder(spark)}/code-{uuid.uuid4().hex}.zip"
+    fs, target = _path(spark, path)
+    stream = fs.create(target, True)
+    stream.write(bytearray(data.getvalue()))
+    stream.close()
+    fs.deleteOnExit(target)
+    spark.sparkContext.addPyFile(path)
 
 
 def in_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
@@ -128,18 +123,6 @@ def cut_counted(df: DataFrame, flag: str = "true") -> tuple[DataFrame, int]:
     return kept, seen.get["n"]
 
 
-def together(spark: SparkSession, *makers: Callable) -> list:
-    """The results of ``makers``, which write tables that don't need each other, run at the same time.
-
-    Their jobs share the executors, so that one's last tasks and planning don't leave them idle. Tables belong to the
-    ``scratch`` around it, and jobs to its job group. The first error is raised once all have ended.
-    """
-    run = inheritable_thread_target(spark)
-    with ThreadPoolExecutor(len(makers)) as pool:
-        jobs = [pool.submit(run(copy_context().run), maker) for maker in makers]
-    return [job.result() for job in jobs]
-
-
 def discard(*cuts: DataFrame) -> None:
     """Delete tables that ``cut`` wrote and nothing reads any more."""
     for df in cuts:
