@@ -74,18 +74,18 @@ def _ranked(chained: DataFrame, left: int) -> DataFrame:
     """(id, parent, size, chain_id, chain_pos) of nodes (id, parent, size, along): ``along`` leads up the own chain, null at its top.
 
     ``left`` is the number of nodes with ``along``. A node at distance d below a closed one makes that one's size more
-    than d, so of the closed rows only those of more than 2^k nodes go on to round k.
+    than d, so of the closed rows only those of more than 2^k nodes go on to round k. 2^k is a column: as a literal each round
+    would be new code to compile.
     """
     top = F.when(F.col("along").isNull(), F.col("id"))
-    state = chained.select("id", "parent", "size", F.col("along").alias("ptr"), top.alias("top"), F.col("along").isNotNull().cast("long").alias("dist"), F.lit(True).alias("fresh"))
-    done, steps = state.where("top is not null"), 1
+    state = chained.select("id", "parent", "size", F.col("along").alias("ptr"), top.alias("top"), F.col("along").isNotNull().cast("long").alias("dist"), F.lit(True).alias("fresh"), F.lit(2).cast("long").alias("steps"))
+    done = state.where("top is not null")
     while left:
         ahead = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("top").alias("top2"), F.col("dist").alias("dist2"))
         moved = state.where("top is null").join(ahead, "ptr").select(
-            "id", "parent", "size", F.when(F.col("top2").isNull(), F.col("ptr2")).alias("ptr"), F.col("top2").alias("top"), (F.col("dist") + F.col("dist2")).alias("dist"), F.lit(True).alias("fresh")
+            "id", "parent", "size", F.when(F.col("top2").isNull(), F.col("ptr2")).alias("ptr"), F.col("top2").alias("top"), (F.col("dist") + F.col("dist2")).alias("dist"), F.lit(True).alias("fresh"), (F.col("steps") * 2).alias("steps")
         )
-        steps *= 2
-        carried = state.where((F.col("top").isNotNull()) & (F.col("size") > steps)).withColumn("fresh", F.lit(False))
+        carried = state.where("top is not null and size > steps").withColumns({"fresh": F.lit(False), "steps": F.col("steps") * 2})
         state, left = cut_counted(moved.unionByName(carried), "top is null")
         done = done.unionByName(state.where("fresh and top is not null"))
     return done.select("id", "parent", "size", F.col("top").alias("chain_id"), F.col("dist").alias("chain_pos"))
@@ -122,17 +122,16 @@ def heavy_paths(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     state, left = cut_counted(
         heads.select(
             "chain_id", "size", F.col("above").alias("ptr"),
-            F.when(F.col("above").isNull(), none).otherwise(F.array(F.struct(F.col("above").alias("chain"), F.col("upto").alias("upto")))).alias("segments"), F.lit(True).alias("fresh"),
+            F.when(F.col("above").isNull(), none).otherwise(F.array(F.struct(F.col("above").alias("chain"), F.col("upto").alias("upto")))).alias("segments"), F.lit(True).alias("fresh"), F.lit(3).alias("least"),
         ),
         "ptr is not null",
     )
-    chains, steps = state.where("ptr is null"), 1
+    chains = state.where("ptr is null")
     while left:
         up = state.select(F.col("chain_id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("segments").alias("before"))
-        moved = state.where("ptr is not null").join(up, "ptr").select("chain_id", "size", F.col("ptr2").alias("ptr"), F.concat("before", "segments").alias("segments"), F.lit(True).alias("fresh"))
+        moved = state.where("ptr is not null").join(up, "ptr").select("chain_id", "size", F.col("ptr2").alias("ptr"), F.concat("before", "segments").alias("segments"), F.lit(True).alias("fresh"), (2 * F.col("least") - 1).alias("least"))
         # Each chain hangs below a node more than twice its size, so a chain d chains above another has 2^(d+1) nodes or more.
-        steps *= 2
-        carried = state.where(F.col("ptr").isNull() & (F.log2(F.col("size") + 1) >= steps + 1)).withColumn("fresh", F.lit(False))
+        carried = state.where(F.col("ptr").isNull() & (F.log2(F.col("size") + 1) >= F.col("least"))).withColumns({"fresh": F.lit(False), "least": 2 * F.col("least") - 1})
         state, left = cut_counted(moved.unionByName(carried), "ptr is not null")
         chains = chains.unionByName(state.where("fresh and ptr is null"))
     return nodes, chains.select("chain_id", "segments"), cyclic
