@@ -298,9 +298,10 @@ def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             inside, line_end, owner = (cp >= 0x3400) & (cp <= 0x9FFF), cp == 0xA, s.owner()
             keep = (inside[:-2] | inside[1:-1] | inside[2:]) & ~(line_end[:-2] | line_end[1:-1] | line_end[2:]) & (owner[:-2] == owner[2:])
             coded, which = np.unique(((cp[:-2] << 42) | (cp[1:-1] << 21) | cp[2:])[keep], return_inverse=True)
+            # Of no windows bincount makes whole numbers, whatever the weights: the type is given below.
             n = np.bincount(which, weights=weight[s.rows][owner[:-2][keep]], minlength=len(coded))
             spelled = np.stack([coded >> 42, (coded >> 21) & 0x1FFFFF, coded & 0x1FFFFF], axis=1).astype(np.uint32).tobytes().decode("utf-32-le", "replace")
-            yield pa.RecordBatch.from_arrays([pa.array([spelled[i : i + 3] for i in range(0, len(spelled), 3)], pa.string()), pa.array(n)], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([spelled[i : i + 3] for i in range(0, len(spelled), 3)], pa.string()), pa.array(n, pa.float64())], names=["word", "n"])
 
 
 def han_windows(texts: DataFrame) -> DataFrame:

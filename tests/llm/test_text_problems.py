@@ -342,3 +342,19 @@ def test_blocks_delivered_twice_count_once(spark):
     assert {r.word: r.n for r in scan_noise.vocabulary(scan_noise.weighted(df)).collect()} == {"one": 2, "two": 3}
     han = spark.createDataFrame([("a", "甲乙丙"), ("a", "甲乙丙"), ("b", "甲乙丙丁")], "block_id string, text string")
     assert {r.word: r.n for r in scan_noise.han_windows(scan_noise.weighted(han)).collect()} == {"甲乙丙": 2, "乙丙丁": 1}
+
+
+def test_slices_without_han_script_count_as_the_others(spark):
+    """Batches and slices in which no window is left have the same schema as those with windows."""
+    texts = ["甲乙丙", "no such script", "甲乙丙", "", "甲\n乙", "丙"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([t]), pa.array([1.0])], names=["text", "weight"]) for t in texts]
+    out = list(scan_noise._count_windows(iter(batches)))
+    assert {b.schema for b in out} == {pa.schema([("word", pa.string()), ("n", pa.float64())])}
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        for order in (texts, texts[1:] + texts[:1], texts[1:2]):
+            df = spark.createDataFrame([(t, 1.0) for t in order], "text string, weight double").coalesce(1)
+            assert {r.word: r.n for r in scan_noise.han_windows(df).collect()} == ({"甲乙丙": order.count("甲乙丙")} if "甲乙丙" in order else {})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
